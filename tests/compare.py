@@ -1,0 +1,45 @@
+"""Compare a Spark result with DuckDB: columns by name, rows as a multiset."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings "
+    "pages benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+    return con
+
+
+def _cell(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else f"{value:.6g}"
+    if isinstance(value, (list, tuple)):
+        return tuple(_cell(v) for v in value)
+    if isinstance(value, (bytes, bytearray)):
+        return bytes(value).hex()
+    return value
+
+
+def rows_of(names, rows) -> tuple[list[str], Counter]:
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(names), Counter(tuple(_cell(r[i]) for i in order) for r in rows)
+
+
+def spark_rows(frame):
+    return rows_of(frame.columns, [tuple(r) for r in frame.collect()])
+
+
+def duck_rows(con, sql):
+    result = con.execute(sql)
+    names = [d[0] for d in result.description]
+    return rows_of(names, result.fetchall())
