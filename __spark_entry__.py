@@ -28,6 +28,7 @@ from litframe.operators.pages import extract_pages  # noqa: E402
 from litframe.plans import requests as plans  # noqa: E402
 from litframe.sources import captures, files, store  # noqa: E402
 from litframe.sources.scratch import scratch_dir  # noqa: E402
+from litframe.streaming import new_articles as feed  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -241,6 +242,28 @@ def q_fulltext_targets_limit(spark, sf_dir):
     )
 
 
+def q_new_articles(spark, sf_dir):
+    """Captured articles that no stored run names."""
+    details = flat_details(_details(spark, sf_dir))
+    return merge.new_articles(details, I.publications(spark, sf_dir)).select(
+        "page_id", "PMID", "PMCID", "doi"
+    )
+
+
+def q_new_articles_feed(spark, sf_dir):
+    """The same as a stream over a folder of captures, each article once."""
+    folder = scratch_dir(spark, "feed")
+    timed = I.article_captures(spark, sf_dir).withColumn(
+        "captured_at", F.lit("2024-12-01 00:00:00").cast("timestamp")
+    )
+    timed.write.parquet(f"{folder}/captures")
+    details = feed.stream_details(feed.read_capture_stream(spark, f"{folder}/captures"))
+    feed.start_feed(
+        details, I.publications(spark, sf_dir), f"{folder}/new", f"{folder}/checkpoint"
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/new").select("PMID", "PMCID")
+
+
 # ---- filters, paths, outcomes, order -----------------------------------------
 
 
@@ -520,6 +543,16 @@ def oracle_sql() -> dict[str, str]:
         "fulltext_targets_limit": of(
             E.FULLTEXT, f"select {target} from targets order by run_id, id limit {TOP_TARGETS}"
         ),
+        "new_articles": of(
+            E.PUBLICATIONS,
+            "select page_id, PMID, PMCID, doi from flat where PMID is not null "
+            "and PMID not in (select PMID from publications)",
+        ),
+        "new_articles_feed": of(
+            E.PUBLICATIONS,
+            "select distinct PMID, PMCID from flat where PMID is not null "
+            "and PMID not in (select PMID from publications)",
+        ),
         "has_detail": of(
             E.PUBLICATIONS,
             "select run_id, PMCID, PMID, doctitle from publications where PMCID is not null",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,17 +103,17 @@ def _plain_abstract(block: Column) -> Column:
     return strip(squeeze(decode_entities(F.coalesce(F.get(nodes, F.lit(0)), F.lit("")))))
 
 
-def extract_details(captures: DataFrame) -> DataFrame:
+def extract_details(captures: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """One row per captured article page (``DETAIL``); failed pages give none.
 
-    ``captures``: page_id, html. No shuffle. A page without its own identifier
+    ``captures``: html and the columns to ``keep``. No shuffle. A page without its own identifier
     keeps a NULL PMID and so takes no part in a merge.
     """
     cleaned = captures.where(F.col("html").isNotNull()).select(
-        "page_id", M.clean_markup(F.col("html")).alias("html")
+        *keep, M.clean_markup(F.col("html")).alias("html")
     )
     cut = cleaned.select(
-        "page_id", *[c.alias(name) for name, c in _blocks(F.col("html")).items()]
+        *keep, *[c.alias(name) for name, c in _blocks(F.col("html")).items()]
     )
     doi = F.regexp_extract(
         F.col("ids"),
@@ -120,7 +122,7 @@ def extract_details(captures: DataFrame) -> DataFrame:
         1,
     )
     read = cut.select(
-        "page_id",
+        *keep,
         blank_to_null(decode_entities(M.first_text(F.col("ids"), M.open_tag(*CURRENT_ID))))
         .alias("PMID"),
         _pmcid(F.col("pmc")).alias("PMCID"),
@@ -134,11 +136,11 @@ def extract_details(captures: DataFrame) -> DataFrame:
     )
     parts = [_part(F.col("sections"), name).alias(name.lower()) for name in S.SECTIONS]
     return read.select(
-        "page_id", "PMID", "PMCID", "doi",
+        *keep, "PMID", "PMCID", "doi",
         F.struct(*parts, F.col("plain").alias("abstract")).alias("abstract"),
         "affiliations", "full_text_link",
     ).select(
-        "page_id", "PMID", "PMCID", "doi", "abstract",
+        *keep, "PMID", "PMCID", "doi", "abstract",
         F.col("abstract.keywords").alias("keyword"), "affiliations", "full_text_link",
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litframe import schemas as S
+from litframe.operators.merge import join_key
 
 TARGET_COLUMNS = ("run_id", "id", "PMCID", "PMID", "doctitle", "savepath", "url")
 
@@ -62,16 +63,23 @@ def file_paths(files: DataFrame) -> DataFrame:
     return files.select(plain.alias("savepath")).distinct()
 
 
+def _by_path(paths: DataFrame, files: DataFrame, how: str) -> DataFrame:
+    # titles repeat, so one path may stand for very many records
+    right = file_paths(files).select(join_key(F.col("savepath")).alias("_key"))
+    left = paths.withColumn("_key", join_key(F.col("savepath")))
+    return left.join(right, "_key", how).select(*TARGET_COLUMNS)
+
+
 def already_saved(paths: DataFrame, files: DataFrame) -> DataFrame:
     """Records whose file exists: only their ``savepath`` is to be recorded."""
-    return paths.join(file_paths(files), "savepath", "left_semi").select(*TARGET_COLUMNS)
+    return _by_path(paths, files, "left_semi")
 
 
 def fulltext_targets(
     paths: DataFrame, files: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """Records whose file does not exist yet; with ``limit`` the first n in order."""
-    targets = paths.join(file_paths(files), "savepath", "left_anti").select(*TARGET_COLUMNS)
+    targets = _by_path(paths, files, "left_anti")
     return targets if limit is None else targets.orderBy("run_id", "id").limit(limit)
 
 
@@ -84,11 +92,12 @@ def fetch_outcomes(targets: DataFrame, fetched: DataFrame) -> DataFrame:
     arrived = fetched.groupBy("PMCID").agg(
         F.bool_or(F.col("content").isNotNull()).alias("_ok")
     )
+    right = arrived.select(join_key(F.col("PMCID")).alias("_key"), "_ok")
     ok = F.coalesce(F.col("_ok"), F.lit(False))
     return (
-        targets.join(arrived, "PMCID", "left")
-        .withColumn("status", F.when(ok, "saved").otherwise("failed"))
-        .select(*TARGET_COLUMNS, "status")
+        targets.withColumn("_key", join_key(F.col("PMCID")))
+        .join(right, "_key", "left")
+        .select(*TARGET_COLUMNS, F.when(ok, "saved").otherwise("failed").alias("status"))
     )
 
 

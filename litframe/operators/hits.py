@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litframe import schemas as S
 from litframe.functions import markup as M
-from litframe.functions.text import decode_entities, strip
+from litframe.functions.text import bind, decode_entities, strip
 
 # Where a search page keeps each field (tag, exact class).
 HIT_BLOCK = ("div", "class", "docsum-content")
@@ -60,16 +60,20 @@ def extract_hits(captures: DataFrame, title_sep: str = "") -> DataFrame:
             for name, cls in SPAN_CLASSES.items()
         ],
     )
-    mark = decode_entities(F.col("freemark"))
+    def free_kind(mark: Column) -> Column:
+        return (
+            F.when(F.contains(mark, F.lit("Free PMC article")), S.FREE_PMC)
+            .when(F.contains(mark, F.lit("Free article")), S.FREE)
+            .otherwise(S.NOT_FREE)
+        )
+
     fields = {
         "doctitle": _title(F.col("title"), title_sep),
         **{
             name: decode_entities(F.col(name))
             for name in ("short_author", "full_author", "short_journal", "full_journal", "PMID")
         },
-        "freemark": F.when(F.contains(mark, F.lit("Free PMC article")), S.FREE_PMC)
-        .when(F.contains(mark, F.lit("Free article")), S.FREE)
-        .otherwise(S.NOT_FREE),
+        "freemark": bind(decode_entities(F.col("freemark")), free_kind),
         "reviewmark": F.col("reviewmark") != "",
     }
     return raw.select(

@@ -11,16 +11,26 @@ SPREAD = 4096  # how many ways rows without a usable key are spread
 DETAIL_FIELDS = ("PMCID", "doi", "abstract", "keyword", "affiliations")
 
 
+def join_key(key: Column) -> Column:
+    """Key of a side that was reduced to one row per key before.
+
+    A new expression, so this side gets an exchange of its own after the
+    aggregate. Only then can adaptive execution split a partition of the other
+    side that one key blows up, as it looks for a join of two shuffles.
+    """
+    return F.concat(F.lit("k"), key)
+
+
 def spread_key(key: Column, *vary: str) -> Column:
-    """``key``, or where it is NULL or empty a value that matches nothing.
+    """Key of the side that keeps all rows, matching ``join_key``.
 
-    Rows without a key may be most of the table; left as they are, an outer
-    join would send them all to one task. They get one of ``SPREAD`` keys that
-    no real key equals (it starts with a NUL), so they fan out instead.
+    Rows whose key is NULL or empty match nothing and may be most of the table.
+    An outer join would still send them all to one task; they are spread over
+    ``SPREAD`` keys of their own instead.
     """
     usable = key.isNotNull() & (key != "")
     bucket = F.pmod(F.xxhash64(*vary), F.lit(SPREAD)).cast("string")
-    return F.when(usable, key).otherwise(F.concat(F.lit("\0"), bucket))
+    return F.when(usable, join_key(key)).otherwise(F.concat(F.lit("x"), bucket))
 
 
 def last_per_key(
@@ -46,14 +56,15 @@ def merge_details(hits: DataFrame, details: DataFrame) -> DataFrame:
     """
     latest = last_per_key(details, "PMID", "page_id", *DETAIL_FIELDS)
     left = hits.withColumn("_key", spread_key(F.col("PMID"), "page_id", "position"))
-    joined = left.join(latest.withColumnRenamed("PMID", "_key"), "_key", "left")
+    right = latest.select(join_key(F.col("PMID")).alias("_key"), *DETAIL_FIELDS)
+    joined = left.join(right, "_key", "left")
     return joined.withColumn("savepath", F.lit(None).cast("string")).select(*S.PUBLICATION.names)
 
 
 def apply_details(publications: DataFrame, details: DataFrame) -> DataFrame:
     """``merge_details`` on stored records: unmatched rows keep what they hold."""
     latest = last_per_key(details, "PMID", "page_id", *DETAIL_FIELDS).select(
-        F.col("PMID").alias("_key"), F.lit(True).alias("_hit"),
+        join_key(F.col("PMID")).alias("_key"), F.lit(True).alias("_hit"),
         *[F.col(c).alias(f"_{c}") for c in DETAIL_FIELDS],
     )
     left = publications.withColumn("_key", spread_key(F.col("PMID"), "run_id", "id"))
@@ -70,7 +81,7 @@ def mark_saved(publications: DataFrame, saved: DataFrame) -> DataFrame:
     last by ``id`` counts, so rows never multiply.
     """
     last = last_per_key(saved, "PMCID", "id", "savepath", group=("run_id",)).select(
-        "run_id", F.col("PMCID").alias("_key"), F.col("savepath").alias("_saved")
+        "run_id", join_key(F.col("PMCID")).alias("_key"), F.col("savepath").alias("_saved")
     )
     left = publications.withColumn("_key", spread_key(F.col("PMCID"), "run_id", "id"))
     path = F.coalesce(F.col("_saved"), F.col("savepath"))
@@ -78,3 +89,14 @@ def mark_saved(publications: DataFrame, saved: DataFrame) -> DataFrame:
         left.join(last, ["run_id", "_key"], "left")
         .withColumn("savepath", path).select(*S.PUBLICATION.names)
     )
+
+
+def new_articles(details: DataFrame, publications: DataFrame) -> DataFrame:
+    """Details of articles that no stored record names yet."""
+    known = publications.where(F.col("PMID") != "").select("PMID").distinct()
+    right = known.select(join_key(F.col("PMID")).alias("_key"))
+    left = details.where(F.col("PMID").isNotNull())
+    return (
+        left.withColumn("_key", join_key(F.col("PMID")))
+        .join(right, "_key", "left_anti").drop("_key")
+    )
