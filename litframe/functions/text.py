@@ -36,7 +36,8 @@ def squeeze(col: Column, by: str = " ") -> Column:
 
 
 def blank_to_null(col: Column) -> Column:
-    return F.nullif(col, F.lit(""))
+    """``col``, or NULL where it is ``''``."""
+    return bind(col, lambda text: F.when(text != "", text))
 
 
 # the HTML 4 names, as one constant that the optimizer folds into a map

@@ -106,11 +106,13 @@ def _plain_abstract(block: Column) -> Column:
 def extract_details(captures: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """One row per captured article page (``DETAIL``); failed pages give none.
 
-    ``captures``: html and the columns to ``keep``. No shuffle. A page without its own identifier
+    ``captures``: html and the columns to ``keep``. No shuffle. The cleaned page
+    comes out of a generator, through which no filter is pushed: a filter on a
+    field costs that field once more, not the cleaning of the page. A page without its own identifier
     keeps a NULL PMID and so takes no part in a merge.
     """
     cleaned = captures.where(F.col("html").isNotNull()).select(
-        *keep, M.clean_markup(F.col("html")).alias("html")
+        *keep, F.explode(F.array(M.clean_markup(F.col("html")))).alias("html")
     )
     cut = cleaned.select(
         *keep, *[c.alias(name) for name, c in _blocks(F.col("html")).items()]

@@ -16,9 +16,11 @@ def join_key(key: Column) -> Column:
 
     A new expression, so this side gets an exchange of its own after the
     aggregate. Only then can adaptive execution split a partition of the other
-    side that one key blows up, as it looks for a join of two shuffles.
+    side that one key blows up, as it looks for a join of two shuffles. It is
+    never NULL (a NULL key becomes ``-``, which ``spread_key`` never yields), so
+    no filter is inferred that would parse pages once more to test their key.
     """
-    return F.concat(F.lit("k"), key)
+    return F.coalesce(F.concat(F.lit("k"), key), F.lit("-"))
 
 
 def spread_key(key: Column, *vary: str) -> Column:
@@ -30,20 +32,20 @@ def spread_key(key: Column, *vary: str) -> Column:
     """
     usable = key.isNotNull() & (key != "")
     bucket = F.pmod(F.xxhash64(*vary), F.lit(SPREAD)).cast("string")
-    return F.when(usable, join_key(key)).otherwise(F.concat(F.lit("x"), bucket))
+    real = F.concat(F.lit("k"), key)
+    return F.when(usable, real).otherwise(F.concat(F.lit("x"), bucket))
 
 
 def last_per_key(
     rows: DataFrame, key: str, order: str, *columns: str, group: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per usable key (per ``group``), the one with the highest ``order``.
+    """One row per key (per ``group``), the one with the highest ``order``.
 
-    An aggregate with map-side combine, so a key with very many copies leaves
-    each task as one row.
+    An aggregate with map-side combine, so a key with very many copies (or no
+    key at all) leaves each task as one row.
     """
-    kept = rows.where(F.col(key).isNotNull() & (F.col(key) != ""))
     last = F.max_by(F.struct(*columns), F.col(order)).alias("last")
-    return kept.groupBy(*group, key).agg(last).select(*group, key, "last.*")
+    return rows.groupBy(*group, key).agg(last).select(*group, key, "last.*")
 
 
 def merge_details(hits: DataFrame, details: DataFrame) -> DataFrame:

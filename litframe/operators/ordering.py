@@ -14,6 +14,11 @@ PAGES_PER_BLOCK = 4096
 ROWS_PER_BLOCK = 65536
 
 
+def _div(col: Column, by: int) -> Column:
+    """Whole-number division, exact for any BIGINT; NULL counts as 0."""
+    return F.coalesce(F.call_function("div", col, F.lit(by)), F.lit(0).cast("long"))
+
+
 def _offsets(counts: DataFrame, group: list[str], order: str) -> DataFrame:
     """Running sum of ``n`` before each row, in ``order``, per group."""
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(
@@ -27,7 +32,7 @@ def page_offsets(hits: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> Dat
 
     Two levels: pages inside blocks of page numbers, and the blocks of a run.
     """
-    block = F.floor(F.coalesce("page_no", F.lit(0)) / pages_per_block).alias("block")
+    block = _div(F.col("page_no"), pages_per_block).alias("block")
     pages = (
         hits.groupBy("run_id", "page_no", "page_id").agg(F.count(F.lit(1)).alias("n"))
         .select("run_id", "page_no", "page_id", "n", block)
@@ -39,12 +44,20 @@ def page_offsets(hits: DataFrame, pages_per_block: int = PAGES_PER_BLOCK) -> Dat
         Window.unboundedPreceding, -1
     )
     numbered = pages.withColumn("offset", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return numbered.join(blocks, ["run_id", "block"]).select(
-        "run_id", "page_no", "page_id", "n",
+    return _same(numbered, blocks, "run_id", "block").select(
+        "l.run_id", "page_no", "page_id", "n",
         (F.col("block_offset") + F.col("offset")).alias("before"),
     )
 
 
+def _same(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Inner join on keys that may be NULL, so that no row is lost; sides ``l``, ``r``."""
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
+    return left.alias("l").join(right.alias("r"), condition)
+
+
 def with_run_order(
     hits: DataFrame, start: Column | int = 0, pages_per_block: int = PAGES_PER_BLOCK
 ) -> DataFrame:
@@ -55,14 +68,9 @@ def with_run_order(
     """
     offsets = page_offsets(hits, pages_per_block).drop("n")
     first = F.lit(start) if isinstance(start, int) else start
-    placed = hits.alias("h").join(
-        offsets.alias("o"),
-        (F.col("h.run_id") == F.col("o.run_id"))
-        & F.col("h.page_no").eqNullSafe(F.col("o.page_no"))
-        & (F.col("h.page_id") == F.col("o.page_id")),
-    )
+    placed = _same(hits, offsets, "run_id", "page_no", "page_id")
     return placed.select(
-        (F.col("o.before") + F.col("h.position") + first).cast("long").alias("id"), "h.*"
+        (F.col("r.before") + F.col("l.position") + first).cast("long").alias("id"), "l.*"
     )
 
 
@@ -70,15 +78,13 @@ def dense_position(
     rows: DataFrame, group: list[str], order: str = "id", rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Add ``pos``: 1..n by a unique whole-number column, gaps closed, per group."""
-    blocked = rows.withColumn("_block", F.floor(F.col(order) / rows_per_block))
+    blocked = rows.withColumn("_block", _div(F.col(order), rows_per_block))
     counts = blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("n"))
     offsets = _offsets(counts, group, "_block").drop("n")
     inside = Window.partitionBy(*group, "_block").orderBy(order)
-    return (
-        blocked.withColumn("_row", F.row_number().over(inside))
-        .join(offsets, [*group, "_block"])
-        .withColumn("pos", F.col("offset") + F.col("_row"))
-        .drop("_block", "_row", "offset")
+    numbered = blocked.withColumn("_row", F.row_number().over(inside))
+    return _same(numbered, offsets, *group, "_block").select(
+        *[f"l.{c}" for c in rows.columns], (F.col("offset") + F.col("_row")).alias("pos")
     )
 
 
@@ -94,7 +100,7 @@ def plan_batches(
         rows.select("run_id", F.col(order).alias("pos"), key) if dense
         else dense_position(rows.select("run_id", order, key), ["run_id"], order)
     )
-    batch = F.floor((F.col("pos") - 1) / size).cast("long").alias("batch_no")
+    batch = _div(F.col("pos") - 1, size).alias("batch_no")
     pairs = F.array_sort(F.collect_list(F.struct("pos", F.col(key).alias("key"))))
     return (
         placed.groupBy("run_id", batch)

@@ -15,6 +15,6 @@ def extract_pages(
 ) -> DataFrame:
     """One row per page, one column per selector; failed pages give no rows."""
     cleaned = captures.where(F.col("html").isNotNull()).select(
-        *keep, clean_markup(F.col("html")).alias("html")
+        *keep, F.explode(F.array(clean_markup(F.col("html")))).alias("html")
     )
     return cleaned.select(*keep, *[s.column(F.col("html")).alias(s.name) for s in selectors])

@@ -54,8 +54,9 @@ def plan_pages(requests: DataFrame, base: str = S.SEARCH_BASE_URL) -> DataFrame:
 
     Takes the output of ``valid_requests``; invalid requests plan nothing.
     """
-    pages = F.ceil(F.col("result_num") / S.PAGE_SIZE).cast("int")
-    n = F.least(pages, F.col("page_limit").cast("int"))
+    full = F.col("result_num") + (S.PAGE_SIZE - 1)
+    pages = F.call_function("div", full, F.lit(S.PAGE_SIZE))
+    n = F.least(pages, F.col("page_limit")).cast("int")
     planned = request_params(requests.where("valid")).select(
         "request_id", "params",
         F.explode(
