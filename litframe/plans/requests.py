@@ -60,7 +60,7 @@ def plan_pages(requests: DataFrame, base: str = S.SEARCH_BASE_URL) -> DataFrame:
     planned = request_params(requests.where("valid")).select(
         "request_id", "params",
         F.explode(
-            F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+            F.when(pages.isNotNull() & (n >= 1), F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
         ).alias("page_no"),
     )
     return planned.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,6 +73,22 @@ def as_publications(hits: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def _dynamic_overwrite(spark: SparkSession):
+    """Overwrite only the partitions that are written.
+
+    Inserting into a table takes no such option, so the setting of the session
+    is changed for the time of the write.
+    """
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class RunStore:
     """A managed Parquet table of ``PUBLICATION`` rows, partitioned by run_id."""
 
@@ -138,8 +155,8 @@ class RunStore:
         # a rebalance by run makes few files per run, and splits a run that
         # holds much of the table over many tasks
         even = rows.select(*S.PUBLICATION.names).hint("rebalance", "run_id")
-        writer = even.write.option("partitionOverwriteMode", "dynamic")
-        writer.insertInto(self.table, overwrite=overwrite)
+        with _dynamic_overwrite(self.spark):
+            even.write.insertInto(self.table, overwrite=overwrite)
 
     def drop_run(self, run_id: str) -> bool:
         """Remove a run; tells whether it was there."""
