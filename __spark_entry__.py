@@ -65,7 +65,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_details(I.article_captures(spark, sf_dir))
+    return extract_details(captures.spread_captures(I.article_captures(spark, sf_dir)))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,7 @@ def q_detail_requests(spark, sf_dir):
 
 
 def q_extract_hits(spark, sf_dir):
-    return extract_hits(I.search_captures(spark, sf_dir))
+    return extract_hits(captures.spread_captures(I.search_captures(spark, sf_dir)))
 
 
 def q_extract_details(spark, sf_dir):
@@ -199,7 +199,7 @@ def q_affiliations_text(spark, sf_dir):
 
 
 def q_extract_pages(spark, sf_dir):
-    pages = I.table(spark, sf_dir, "pages")
+    pages = captures.spread_captures(I.table(spark, sf_dir, "pages"))
     return extract_pages(pages, PAGE_SELECTORS, keep=("page_id", "url")).withColumn(
         "links", F.array_join("links", " ")
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from litframe.sources.captures import spread_captures
 from litframe.sources.scratch import stage
 
 DIRECTORY = "/library/pub"
@@ -152,7 +153,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litframe.operators.hits import extract_hits
 
     return _staged(
-        spark, sf_dir, "hits", lambda: extract_hits(search_captures(spark, sf_dir))
+        spark, sf_dir, "hits", lambda: extract_hits(spread_captures(search_captures(spark, sf_dir)))
     )
 
 
@@ -163,7 +164,8 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litframe.operators.ordering import with_run_order
 
     def build() -> DataFrame:
-        details = flat_details(extract_details(article_captures(spark, sf_dir)))
+        articles = spread_captures(article_captures(spark, sf_dir))
+        details = flat_details(extract_details(articles))
         return merge_details(with_run_order(hits(spark, sf_dir)), details)
 
     return _staged(spark, sf_dir, "publications", build)

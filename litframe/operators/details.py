@@ -79,17 +79,25 @@ def _affiliations(authors: Column) -> Column:
 
 
 def _sections(block: Column) -> Column:
-    """Paragraphs of the abstract as (headings, whole text)."""
-    head = M.open_tag(*SECTION_HEAD)
+    """Paragraphs of the abstract that have a section heading: (headings, whole text)."""
+    head = f"{M.open_tag(*SECTION_HEAD)}({M.TEXT})"
 
-    def section(p: Column) -> Column:
-        heads = F.regexp_extract_all(p, F.lit(f"{head}({M.TEXT})"), F.lit(1))
-        return F.struct(
-            decode_entities(F.array_join(heads, "\n")).alias("heads"),
-            squeeze(F.array_join(M.all_texts(p), " ")).alias("text"),
-        )
+    def heads(p: Column) -> Column:
+        found = F.regexp_extract_all(p, F.lit(head), F.lit(1))
+        return F.struct(decode_entities(F.array_join(found, "\n")).alias("heads"), p.alias("p"))
 
-    return F.transform(M.paragraphs(block), section)
+    # the text of a paragraph is put together only if it can be a section
+    headed = F.filter(
+        F.transform(M.paragraphs(block), heads),
+        lambda s: s["heads"].rlike("|".join(S.SECTIONS)),
+    )
+    return F.transform(
+        headed,
+        lambda s: F.struct(
+            s["heads"].alias("heads"),
+            squeeze(F.array_join(M.all_texts(s["p"]), " ")).alias("text"),
+        ),
+    )
 
 
 def _part(sections: Column, name: str) -> Column:

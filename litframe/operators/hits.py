@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litframe import schemas as S
 from litframe.functions import markup as M
-from litframe.functions.text import bind, decode_entities, strip
+from litframe.functions.text import decode_entities, strip
 
 # Where a search page keeps each field (tag, exact class).
 HIT_BLOCK = ("div", "class", "docsum-content")
@@ -60,25 +60,24 @@ def extract_hits(captures: DataFrame, title_sep: str = "") -> DataFrame:
             for name, cls in SPAN_CLASSES.items()
         ],
     )
-    def free_kind(mark: Column) -> Column:
-        return (
-            F.when(F.contains(mark, F.lit("Free PMC article")), S.FREE_PMC)
-            .when(F.contains(mark, F.lit("Free article")), S.FREE)
-            .otherwise(S.NOT_FREE)
-        )
-
+    # one decoding step for all plain fields of a hit
+    names = list(SPAN_CLASSES)[:-1]
+    texts = raw.select(
+        "run_id", "page_no", "page_id", "position", "title", "reviewmark",
+        F.transform(F.array(*names), decode_entities).alias("texts"),
+    )
+    text = {name: F.get("texts", F.lit(i)) for i, name in enumerate(names)}
+    mark = text["freemark"]
+    free = (
+        F.when(F.contains(mark, F.lit("Free PMC article")), S.FREE_PMC)
+        .when(F.contains(mark, F.lit("Free article")), S.FREE)
+        .otherwise(S.NOT_FREE)
+    )
     fields = {
-        "doctitle": _title(F.col("title"), title_sep),
-        **{
-            name: decode_entities(F.col(name))
-            for name in ("short_author", "full_author", "short_journal", "full_journal", "PMID")
-        },
-        "freemark": bind(decode_entities(F.col("freemark")), free_kind),
+        **text, "doctitle": _title(F.col("title"), title_sep), "freemark": free,
         "reviewmark": F.col("reviewmark") != "",
     }
-    return raw.select(
-        "run_id", "page_no", "page_id", "position", *[c.alias(n) for n, c in fields.items()]
-    )
+    return texts.select(*[fields.get(f, F.col(f)).alias(f) for f in S.HIT.names])
 
 
 def result_counts(captures: DataFrame) -> DataFrame:

@@ -8,20 +8,20 @@ from litframe import schemas as S
 from litframe.operators import fulltext, merge
 from litframe.operators.details import extract_details, flat_details
 from litframe.operators.hits import extract_hits
-from litframe.sources.captures import usable, with_page_no, with_run
+from litframe.sources.captures import spread_captures, usable, with_page_no, with_run
 from litframe.sources.scratch import stage
 from litframe.sources.store import RunStore
 
 
 def search_run(store: RunStore, captures: DataFrame, run_id: str) -> None:
     """Captured search pages to stored hits of one run."""
-    pages = usable(with_page_no(with_run(captures, run_id)))
+    pages = usable(with_page_no(with_run(spread_captures(captures), run_id)))
     store.append_hits(extract_hits(pages))
 
 
 def enrich_run(store: RunStore, captures: DataFrame, run_id: str) -> None:
     """Captured article pages onto the stored hits of one run."""
-    details = flat_details(extract_details(captures))
+    details = flat_details(extract_details(spread_captures(captures)))
     store.replace_run(merge.apply_details(store.publications(run_id), details))
 
 

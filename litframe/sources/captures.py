@@ -32,14 +32,18 @@ def with_run(captures: DataFrame, run_id: str) -> DataFrame:
     return captures.withColumn("run_id", F.lit(run_id))
 
 
-def spread_captures(captures: DataFrame, partitions: int) -> DataFrame:
-    """Even out captures that arrive in a few big files.
+def spread_captures(captures: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Even out captures that arrive in fewer splits than the cluster has cores.
 
     Parsing costs far more than moving a page, and a Parquet row group can
-    hold thousands of pages that one task would parse alone. Not needed when
-    the input has several splits per core already.
+    hold thousands of pages that one task would parse alone. A table with
+    splits enough for all cores is left as it is and not shuffled. Takes a
+    plain scan, whose splits are known without running anything.
     """
-    return captures.repartition(partitions)
+    wanted = partitions or captures.sparkSession.sparkContext.defaultParallelism
+    if captures.rdd.getNumPartitions() >= wanted:
+        return captures
+    return captures.repartition(wanted, "page_id")
 
 
 def read_html_dir(spark: SparkSession, directory: str) -> DataFrame:

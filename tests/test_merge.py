@@ -176,7 +176,7 @@ def test_hot_path_is_split(spark, small_partitions):
     pubs = pubs.withColumns({"PMCID": F.concat(F.lit("P"), F.col("id").cast("string"))})
     paths = fulltext.fulltext_paths(pubs, "/d")
     files = spark.range(0, 30000, 1, 8).selectExpr(
-        "concat('file:/d/', case when id % 2 = 0 then 'same' else id end, '.pdf') as path",
+        "concat('file:/d/', if(id % 2 = 0, 'same', cast(id as string)), '.pdf') as path",
         "id as length")
     totals = F.count(F.lit(1)), F.sum(F.hash("id", "url", "PMCID"))  # keeps rows wide
     rows, plan = final_plan(fulltext.fulltext_targets(paths, files).agg(*totals))

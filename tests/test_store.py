@@ -222,7 +222,9 @@ def test_read_captures(spark, tmp_path):
     frame.write.parquet(path)
     got = captures.read_captures(spark, path)
     assert rows(got, "page_id", "page_no") == [(1, 12), (2, None)]
-    assert captures.spread_captures(got, 7).rdd.getNumPartitions() == 7
+    splits = got.rdd.getNumPartitions()
+    assert captures.spread_captures(got, splits) is got
+    assert captures.spread_captures(got, splits + 7).rdd.getNumPartitions() == splits + 7
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
