@@ -105,7 +105,7 @@ def q_src_captures_detail(spark, sf_dir):
 
 def q_src_html_files(spark, sf_dir):
     folder = scratch_dir(spark, "html")
-    html = I.table(spark, sf_dir, "pages").select("html")
+    html = captures.spread_captures(I.table(spark, sf_dir, "pages")).select("html")
     html.write.option("maxRecordsPerFile", 1).text(folder)
     return captures.read_html_dir(spark, folder).select("html")
 
@@ -434,7 +434,9 @@ def oracle_sql() -> dict[str, str]:
         "cast(null as varchar) as affiliations, freemark, reviewmark, "
         "cast(null as varchar) as savepath, run_id"
     )
-    decoded = "replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    decoded = "{}"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("amp", "&")):
+        decoded = f"replace({decoded}, '&{name};', '{char}')"
     plain_html = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
     fetched = (
         "select PMCID, savepath, url from targets "

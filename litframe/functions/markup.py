@@ -111,8 +111,16 @@ def paragraphs(html: Column) -> Column:
 
 def direct_texts(inner: Column) -> Column:
     """Direct text nodes of an element, given its inner markup; still encoded."""
-    flat = F.regexp_replace(inner, CHILD, GAP)
-    return F.filter(F.split(flat, ANY_TAG), lambda t: t != "")
+
+    def nodes(markup: Column) -> Column:
+        flat = F.regexp_replace(markup, CHILD, GAP)
+        # a long text without any tag skips both patterns
+        pieces = F.when(F.contains(markup, F.lit("<")), F.split(flat, ANY_TAG)).otherwise(
+            F.array(markup)
+        )
+        return F.filter(pieces, lambda t: t != "")
+
+    return F.flatten(F.transform(F.array(inner), nodes))
 
 
 def all_texts(inner: Column) -> Column:

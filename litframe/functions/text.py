@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from html.entities import name2codepoint
 
@@ -9,15 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as white space when text is stripped
-# or squeezed (the Unicode white-space set plus the four ASCII separators).
-WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
-)
-WHITESPACE_CLASS = (
-    r"[\x09-\x0d\x1c-\x20\x85\xa0  -     　]"
+# or squeezed (the Unicode white-space set plus the four ASCII separators), as
+# the inside of a pattern class.
+_SPACES = (
+    r"\x09-\x0d\x1c-\x20\x85\xa0"
+    r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 )
+WHITESPACE_CLASS = f"[{_SPACES}]"
+WHITESPACE = "".join(re.findall(WHITESPACE_CLASS, "".join(map(chr, range(0x3001)))))
 
 
 def bind(col: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,7 +32,8 @@ def strip(col: Column) -> Column:
 
 def squeeze(col: Column, by: str = " ") -> Column:
     """Replace every run of two or more white-space characters with ``by``."""
-    return F.regexp_replace(col, WHITESPACE_CLASS + "{2,}", by)
+    # the lookahead passes over printable ASCII, which is most of any text
+    return F.regexp_replace(col, "(?![!-~])" + WHITESPACE_CLASS + "{2,}", by)
 
 
 def blank_to_null(col: Column) -> Column:

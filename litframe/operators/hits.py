@@ -22,7 +22,7 @@ SPAN_CLASSES = {
     "reviewmark": "publication-type spaced-citation-item citation-part",
 }
 COUNT_PATH = (
-    (None, "id", "search-results"),
+    ("div", "id", "search-results"),
     ("section", "class", "search-results-list"),
     ("span", "class", "value"),
 )

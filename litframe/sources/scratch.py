@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,26 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(frame.sparkSession, name)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a staged folder once its rows are safe elsewhere."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def staged(frame: DataFrame, name: str):
+    """``stage`` for the length of a block; the copy goes away when it ends well.
+
+    If the block fails the copy stays, and the error says where it is: it may
+    be the only whole copy of rows that were being replaced.
+    """
+    spark, path = frame.sparkSession, scratch_dir(frame.sparkSession, name)
+    frame.write.parquet(path)
+    try:
+        yield spark.read.schema(frame.schema).parquet(path)
+    except Exception as error:
+        error.add_note(f"the staged rows are kept at {path}")
+        raise
+    remove(spark, path)

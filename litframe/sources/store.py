@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from litframe import schemas as S
 from litframe.operators.ordering import with_run_order
-from litframe.sources.scratch import stage
+from litframe.sources.scratch import staged
 
 _RUN_ID = re.compile(r"[0-9A-Za-z_-]+")
 
@@ -136,20 +136,22 @@ class RunStore:
         The hits are staged once, so pages are parsed once although the page
         counts need a pass of their own.
         """
-        staged = stage(hits, "hits")
-        stored = self.publications().select("run_id").distinct()
-        again = staged.select("run_id").distinct().join(stored, "run_id", "left_semi")
-        if not again.isEmpty():
-            raise ValueError("a run can be inserted only once; use replace_run to change it")
-        self._write(as_publications(with_run_order(staged)), overwrite=False)
+        with staged(hits, "hits") as rows:
+            stored = self.publications().select("run_id").distinct()
+            again = rows.select("run_id").distinct().join(stored, "run_id", "left_semi")
+            if not again.isEmpty():
+                raise ValueError("a run can be inserted only once; replace_run changes it")
+            self._write(as_publications(with_run_order(rows)), overwrite=False)
 
     def replace_run(self, publications: DataFrame) -> None:
         """Swap in new contents of the runs that occur in ``publications``.
 
         The new rows usually come from the partitions they replace, so they are
-        staged in the shared folder before any partition is overwritten.
+        staged in the shared folder before any partition is overwritten. A swap
+        that breaks off can be done again from the staged copy.
         """
-        self._write(stage(publications.select(*S.PUBLICATION.names), "runs"), overwrite=True)
+        with staged(publications.select(*S.PUBLICATION.names), "runs") as rows:
+            self._write(rows, overwrite=True)
 
     def _write(self, rows: DataFrame, overwrite: bool) -> None:
         # a rebalance by run makes few files per run, and splits a run that

@@ -74,6 +74,21 @@ def test_a_run_is_inserted_once(spark, store):
     assert store.publications().count() == 1
 
 
+def test_staged_copies_go_away_unless_the_write_fails(spark, tmp_path):
+    paths = []
+    frame = spark.range(3)
+    with scratch.staged(frame, "t") as rows_:
+        paths.append(rows_.inputFiles()[0].rsplit("/", 1)[0])
+        assert rows_.count() == 3
+    with pytest.raises(ValueError) as caught:
+        with scratch.staged(frame, "t") as rows_:
+            paths.append(rows_.inputFiles()[0].rsplit("/", 1)[0])
+            raise ValueError("broken off")
+    gone, kept = (p.removeprefix("file://") for p in paths)
+    assert not glob.glob(gone) and glob.glob(kept)
+    assert kept in caught.value.__notes__[0]
+
+
 def test_run_names_are_checked(store):
     with pytest.raises(ValueError):
         store.drop_run("x' OR '1'='1")
