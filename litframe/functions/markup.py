@@ -221,6 +221,9 @@ def _attribute(name: str) -> str:
 
 
 def attribute_of(html: Column, opening: str, name: str, skip: str = "") -> Column:
-    """Attribute of the first element that has both this start tag and the attribute."""
+    """Attribute of the first element that has this start tag and the attribute, raw.
+
+    ``skip`` is what must come right before the element.
+    """
     raw = F.regexp_extract(html, rf"{skip}(?={opening}){_attribute(name)}", 1)
-    return decode_entities(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
+    return F.regexp_replace(raw, "^[\"']|[\"']$", "")

@@ -56,48 +56,64 @@ def _blocks(html: Column) -> dict[str, Column]:
     }
 
 
-def _pmcid(spans: Column) -> Column:
-    texts = F.flatten(
-        F.transform(spans, lambda s: F.flatten(
-            F.transform(M.all_inner(s, M.open_tag(*ID_LINK)), M.direct_texts)))
+def _doi(ids: Column) -> Column:
+    link = M.open_tag(*ID_LINK)
+    return F.regexp_extract(
+        ids,
+        rf"{M.open_tag(*DOI_SPAN)}(?:{M.TEXT}|(?!{link}){M.CHILD})*+"
+        rf"{link}(?:{M.CHILD})*+({M.TEXT})",
+        1,
     )
-    texts = F.transform(texts, lambda t: strip(decode_entities(t)))
+
+
+def _pmc_links(spans: Column) -> Column:
+    links = F.flatten(F.transform(spans, lambda s: M.all_inner(s, M.open_tag(*ID_LINK))))
+    return F.flatten(F.transform(links, M.direct_texts))
+
+
+def _pmcid(texts: Column) -> Column:
     named = F.filter(texts, lambda t: F.contains(t, F.lit("PMC")))
-    return F.coalesce(F.get(named, F.lit(0)), F.lit(""))
+    return F.coalesce(strip(F.get(named, F.lit(0))), F.lit(""))
 
 
-def _affiliations(authors: Column) -> Column:
+def _affiliation_texts(authors: Column) -> Column:
     items = M.all_inner(authors, M.open_tag(*AFFILIATION), M.until(r"</?(?i:li|ul)(?=[\s/>])"))
-    texts = F.flatten(F.transform(items, M.direct_texts))
+    return F.flatten(F.transform(items, M.direct_texts))
+
+
+def _numbered(texts: Column) -> Column:
     return F.transform(
         texts,
         lambda t, i: F.concat(
-            (i + 1).cast("string"), F.lit("."),
-            strip(squeeze(strip(decode_entities(t)), by="")),
+            (i + 1).cast("string"), F.lit("."), strip(squeeze(strip(t), by=""))
         ),
     )
 
 
 def _sections(block: Column) -> Column:
-    """Paragraphs of the abstract that have a section heading: (headings, whole text)."""
+    """Paragraphs of the abstract that have a heading: (headings, whole text)."""
     head = f"{M.open_tag(*SECTION_HEAD)}({M.TEXT})"
 
     def heads(p: Column) -> Column:
         found = F.regexp_extract_all(p, F.lit(head), F.lit(1))
-        return F.struct(decode_entities(F.array_join(found, "\n")).alias("heads"), p.alias("p"))
+        return F.struct(found.alias("heads"), p.alias("p"))
+
+    def section(s: Column) -> Column:
+        # headings and text nodes are decoded together, headings first
+        n = F.size(s["heads"])
+        texts = F.transform(F.concat(s["heads"], F.split(s["p"], M.ANY_TAG)), decode_entities)
+        return F.struct(
+            F.slice(texts, 1, n).alias("heads"),
+            F.transform(F.slice(texts, n + 1, F.size(texts)), strip).alias("texts"),
+        )
+
+    def whole(s: Column) -> Column:
+        text = F.array_join(F.filter(s["texts"], lambda t: t != ""), " ")
+        return F.struct(F.array_join(s["heads"], "\n").alias("heads"), squeeze(text).alias("text"))
 
     # the text of a paragraph is put together only if it can be a section
-    headed = F.filter(
-        F.transform(M.paragraphs(block), heads),
-        lambda s: s["heads"].rlike("|".join(S.SECTIONS)),
-    )
-    return F.transform(
-        headed,
-        lambda s: F.struct(
-            s["heads"].alias("heads"),
-            squeeze(F.array_join(M.all_texts(s["p"]), " ")).alias("text"),
-        ),
-    )
+    headed = F.filter(F.transform(M.paragraphs(block), heads), lambda s: F.size(s["heads"]) > 0)
+    return F.transform(F.transform(headed, section), whole)
 
 
 def _part(sections: Column, name: str) -> Column:
@@ -106,9 +122,9 @@ def _part(sections: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(own, F.lit(-1))["text"], F.lit(""))
 
 
-def _plain_abstract(block: Column) -> Column:
+def _plain_text(block: Column) -> Column:
     nodes = F.flatten(F.transform(M.paragraphs(block), M.direct_texts))
-    return strip(squeeze(decode_entities(F.coalesce(F.get(nodes, F.lit(0)), F.lit("")))))
+    return F.coalesce(F.get(nodes, F.lit(0)), F.lit(""))
 
 
 def extract_details(captures: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:
@@ -125,30 +141,39 @@ def extract_details(captures: DataFrame, keep: Sequence[str] = ("page_id",)) ->
     cut = cleaned.select(
         *keep, *[c.alias(name) for name, c in _blocks(F.col("html")).items()]
     )
-    doi = F.regexp_extract(
-        F.col("ids"),
-        rf"{M.open_tag(*DOI_SPAN)}(?:{M.TEXT}|(?!{M.open_tag(*ID_LINK)}){M.CHILD})*+"
-        rf"{M.open_tag(*ID_LINK)}(?:{M.CHILD})*+({M.TEXT})",
-        1,
-    )
+    ids = F.col("ids")
+    texts = {
+        "PMID": M.first_text(ids, M.open_tag(*CURRENT_ID)),
+        # only identifiers in a ``ul`` count here
+        "doi": F.when(ids.rlike("^<(?i:ul)"), _doi(ids)).otherwise(""),
+        "link": F.col("link"),
+        "plain": _plain_text(F.col("plain")),
+    }
+    lists = {
+        "pmc": _pmc_links(F.col("pmc")),
+        "affiliations": _affiliation_texts(F.col("authors")),
+    }
+    # single texts and lists of texts are decoded in one step each
     read = cut.select(
         *keep,
-        blank_to_null(decode_entities(M.first_text(F.col("ids"), M.open_tag(*CURRENT_ID))))
-        .alias("PMID"),
-        _pmcid(F.col("pmc")).alias("PMCID"),
-        # the reference list element is a ``ul``; identifiers elsewhere do not count
-        F.when(F.col("ids").rlike("^<(?i:ul)"), strip(decode_entities(doi)))
-        .otherwise("").alias("doi"),
+        F.transform(F.array(*texts.values()), decode_entities).alias("texts"),
+        F.transform(
+            F.array(*lists.values()), lambda found: F.transform(found, decode_entities)
+        ).alias("lists"),
         _sections(F.col("abstract")).alias("sections"),
-        _plain_abstract(F.col("plain")).alias("plain"),
-        _affiliations(F.col("authors")).alias("affiliations"),
-        F.col("link").alias("full_text_link"),
     )
+    text = {name: F.get("texts", F.lit(i)) for i, name in enumerate(texts)}
+    found = {name: F.get("lists", F.lit(i)) for i, name in enumerate(lists)}
     parts = [_part(F.col("sections"), name).alias(name.lower()) for name in S.SECTIONS]
+    plain = strip(squeeze(text["plain"])).alias("abstract")
     return read.select(
-        *keep, "PMID", "PMCID", "doi",
-        F.struct(*parts, F.col("plain").alias("abstract")).alias("abstract"),
-        "affiliations", "full_text_link",
+        *keep,
+        blank_to_null(text["PMID"]).alias("PMID"),
+        _pmcid(found["pmc"]).alias("PMCID"),
+        strip(text["doi"]).alias("doi"),
+        F.struct(*parts, plain).alias("abstract"),
+        _numbered(found["affiliations"]).alias("affiliations"),
+        text["link"].alias("full_text_link"),
     ).select(
         *keep, "PMID", "PMCID", "doi", "abstract",
         F.col("abstract.keywords").alias("keyword"), "affiliations", "full_text_link",

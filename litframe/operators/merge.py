@@ -95,10 +95,10 @@ def mark_saved(publications: DataFrame, saved: DataFrame) -> DataFrame:
 
 def new_articles(details: DataFrame, publications: DataFrame) -> DataFrame:
     """Details of articles that no stored record names yet."""
-    known = publications.where(F.col("PMID") != "").select("PMID").distinct()
+    # a NULL among the known keys drops details without a PMID in the join; as a
+    # filter on the left it would be pushed down and parse parts of pages twice
+    nothing = publications.sparkSession.range(1).select(F.lit(None).cast("string").alias("PMID"))
+    known = publications.select("PMID").unionByName(nothing).distinct()
     right = known.select(join_key(F.col("PMID")).alias("_key"))
-    left = details.where(F.col("PMID").isNotNull())
-    return (
-        left.withColumn("_key", join_key(F.col("PMID")))
-        .join(right, "_key", "left_anti").drop("_key")
-    )
+    left = details.withColumn("_key", join_key(F.col("PMID")))
+    return left.join(right, "_key", "left_anti").drop("_key")

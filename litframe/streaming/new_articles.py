@@ -31,7 +31,8 @@ def stream_details(captures: DataFrame, delay: str = "1 day") -> DataFrame:
     """
     timed = captures.withWatermark("captured_at", delay)
     details = extract_details(timed, keep=("page_id", "captured_at"))
-    return details.where("PMID is not null").dropDuplicatesWithinWatermark(["PMID"])
+    # details without a PMID become one row here and are dropped in ``start_feed``
+    return details.dropDuplicatesWithinWatermark(["PMID"])
 
 
 def start_feed(
