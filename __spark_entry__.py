@@ -253,13 +253,10 @@ def q_new_articles(spark, sf_dir):
 def q_new_articles_feed(spark, sf_dir):
     """The same as a stream over a folder of captures, each article once."""
     folder = scratch_dir(spark, "feed")
-    timed = I.article_captures(spark, sf_dir).withColumn(
-        "captured_at", F.lit("2024-12-01 00:00:00").cast("timestamp")
-    )
-    timed.write.parquet(f"{folder}/captures")
-    details = feed.stream_details(feed.read_capture_stream(spark, f"{folder}/captures"))
+    I.article_captures(spark, sf_dir).write.parquet(f"{folder}/captures")
+    pages = feed.read_capture_stream(spark, f"{folder}/captures")
     feed.start_feed(
-        details, I.publications(spark, sf_dir), f"{folder}/new", f"{folder}/checkpoint"
+        pages, I.publications(spark, sf_dir), f"{folder}/new", f"{folder}/checkpoint"
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/new").select("PMID", "PMCID")
 
@@ -552,8 +549,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "new_articles_feed": of(
             E.PUBLICATIONS,
-            "select distinct PMID, PMCID from flat where PMID is not null "
-            "and PMID not in (select PMID from publications)",
+            "select PMID, PMCID from latest where PMID not in (select PMID from publications)",
         ),
         "has_detail": of(
             E.PUBLICATIONS,

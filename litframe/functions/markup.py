@@ -34,18 +34,18 @@ _QUOTED = r"""(?:"[^"]*+"|'[^']*+')"""
 _REST = rf"""[^>"']*+(?:{_QUOTED}[^>"']*+)*+>"""
 _OTHER_VALUE = rf"""(?:{_QUOTED}|[^\s"'>][^\s>]*+)"""
 _VOID = "(?i:" + "|".join(VOID_TAGS) + r")(?=[\s/>])"
-_VOID_TAG = rf"<(?:[!?]|{_VOID}){_REST}"
 TEXT = r"(?:[^<]++|<(?![A-Za-z/!?]))++"
 ANY_TAG = rf"<[A-Za-z/!?]{_REST}"
 
 
 def _child(depth: int) -> str:
     """One complete child: a void tag, or an element nested up to ``depth``."""
-    pattern = _VOID_TAG
+    void = rf"(?:[!?]|{_VOID}){_REST}"
+    pattern = f"<{void}"
     for _ in range(depth):
+        # both kinds share their first character, so plain text fails on one test
         pattern = (
-            rf"(?:{_VOID_TAG}|<(?!{_VOID})[A-Za-z]{_REST}"
-            rf"(?:{TEXT}|{pattern})*+</[^>]*+>)"
+            rf"<(?:{void}|(?!{_VOID})[A-Za-z]{_REST}(?:{TEXT}|{pattern})*+</[^>]*+>)"
         )
     return pattern
 
@@ -88,9 +88,11 @@ def after(start: str) -> str:
 
 def clean_markup(html: Column) -> Column:
     """Replace comments, scripts and styles by a gap that still parts text."""
-    return F.regexp_replace(
-        html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", GAP
+    pattern = (
+        r"<(?:!--(?s:.*?)-->"
+        r"|(?i:(script|style))(?=[\s/>])[^>]*+>(?s:.*?)</(?i:\1)\s*+>)"
     )
+    return F.regexp_replace(html, pattern, GAP)
 
 
 def first_text(html: Column, opening: str) -> Column:
@@ -184,7 +186,8 @@ class Selector:
     within: tuple | None = None
     first: bool = True
 
-    def column(self, html: Column) -> Column:
+    def found(self, html: Column) -> Column:
+        """Matches in page order, raw except that ``all_text`` is complete."""
         source = html
         if self.within is not None:
             outer = self.within[0]
@@ -193,21 +196,20 @@ class Selector:
             )
         opening = open_tag(self.tag, self.attr, self.value)
         if self.get.startswith("@"):
-            # a second lookahead reads the attribute inside the selected tag
+            # the lookahead selects the tag, the pattern after it reads the attribute
             inside = rf"(?={opening}){_attribute(self.get[1:])}"
-            found = F.regexp_extract_all(source, F.lit(inside), F.lit(1))
-            found = F.transform(found, lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
-        elif self.get == "all_text":
-            closed = until(close_tag(self.tag)) if self.tag else INNER
-            found = F.transform(
-                all_inner(source, opening, closed), lambda t: F.array_join(all_texts(t), " ")
+            values = F.regexp_extract_all(source, F.lit(inside), F.lit(1))
+            return F.transform(values, lambda v: F.regexp_replace(v, "^[\"']|[\"']$", ""))
+        if self.get == "all_text":
+            content = until(close_tag(self.tag)) if self.tag else INNER
+            return F.transform(
+                all_inner(source, opening, content), lambda t: F.array_join(all_texts(t), " ")
             )
-            return F.coalesce(F.get(found, F.lit(0)), F.lit("")) if self.first else found
-        elif self.first:
-            return decode_entities(first_text(source, opening))
-        else:
-            found = F.flatten(F.transform(all_inner(source, opening), direct_texts))
-        found = F.transform(found, decode_entities)
+        if self.first:
+            return F.array(first_text(source, opening))
+        return F.flatten(F.transform(all_inner(source, opening), direct_texts))
+
+    def result(self, found: Column) -> Column:
         return F.coalesce(F.get(found, F.lit(0)), F.lit("")) if self.first else found
 
 

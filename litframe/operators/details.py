@@ -100,16 +100,16 @@ def _sections(block: Column) -> Column:
 
     def section(s: Column) -> Column:
         # headings and text nodes are decoded together, headings first
-        n = F.size(s["heads"])
-        texts = F.transform(F.concat(s["heads"], F.split(s["p"], M.ANY_TAG)), decode_entities)
-        return F.struct(
-            F.slice(texts, 1, n).alias("heads"),
-            F.transform(F.slice(texts, n + 1, F.size(texts)), strip).alias("texts"),
-        )
+        raw = F.concat(s["heads"], F.split(s["p"], M.ANY_TAG))
+        encoded = F.contains(s["p"], F.lit("&"))
+        texts = F.when(encoded, F.transform(raw, decode_entities)).otherwise(raw)
+        return F.struct(F.size(s["heads"]).alias("n"), texts.alias("texts"))
 
     def whole(s: Column) -> Column:
-        text = F.array_join(F.filter(s["texts"], lambda t: t != ""), " ")
-        return F.struct(F.array_join(s["heads"], "\n").alias("heads"), squeeze(text).alias("text"))
+        texts = F.transform(F.slice(s["texts"], s["n"] + 1, F.size(s["texts"])), strip)
+        text = F.array_join(F.filter(texts, lambda t: t != ""), " ")
+        heads = F.array_join(F.slice(s["texts"], 1, s["n"]), "\n")
+        return F.struct(heads.alias("heads"), squeeze(text).alias("text"))
 
     # the text of a paragraph is put together only if it can be a section
     headed = F.filter(F.transform(M.paragraphs(block), heads), lambda s: F.size(s["heads"]) > 0)

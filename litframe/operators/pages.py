@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litframe.functions.markup import Selector, clean_markup
+from litframe.functions.text import decode_entities
 
 
 def extract_pages(
@@ -17,4 +18,16 @@ def extract_pages(
     cleaned = captures.where(F.col("html").isNotNull()).select(
         *keep, F.explode(F.array(clean_markup(F.col("html")))).alias("html")
     )
-    return cleaned.select(*keep, *[s.column(F.col("html")).alias(s.name) for s in selectors])
+    html = F.col("html")
+    raw = [s for s in selectors if s.get != "all_text"]
+    whole = {s.name: s.result(s.found(html)) for s in selectors if s.get == "all_text"}
+    # all raw matches are decoded in one step
+    matches = F.array(*[s.found(html) for s in raw]).cast("array<array<string>>")
+    read = cleaned.select(
+        *keep, *[column.alias(name) for name, column in whole.items()],
+        F.transform(matches, lambda found: F.transform(found, decode_entities)).alias("_found"),
+    )
+    results = {s.name: s.result(F.get("_found", F.lit(i))) for i, s in enumerate(raw)}
+    return read.select(
+        *keep, *[results.get(s.name, F.col(s.name)).alias(s.name) for s in selectors]
+    )

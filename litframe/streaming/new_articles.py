@@ -7,11 +7,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from litframe.operators.details import extract_details, flat_details
-from litframe.operators.merge import new_articles
+from litframe.operators.merge import last_per_key, new_articles
 
 STREAM_CAPTURES = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
-     T.StructField("html", T.StringType()), T.StructField("captured_at", T.TimestampType())]
+     T.StructField("html", T.StringType())]
 )
 
 
@@ -23,30 +23,26 @@ def read_capture_stream(
     return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def stream_details(captures: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Details of each article once, the first capture within ``delay``.
-
-    The watermark bounds the state: an article captured again later than that
-    comes through, and the stored runs hold it back in ``start_feed``.
-    """
-    timed = captures.withWatermark("captured_at", delay)
-    details = extract_details(timed, keep=("page_id", "captured_at"))
-    # details without a PMID become one row here and are dropped in ``start_feed``
-    return details.dropDuplicatesWithinWatermark(["PMID"])
-
-
 def start_feed(
-    details: DataFrame, known: DataFrame, path: str, checkpoint: str
+    captures: DataFrame, known: DataFrame, path: str, checkpoint: str
 ) -> StreamingQuery:
-    """Append details of articles not in ``known`` to Parquet at ``path``.
+    """Append details of articles not in ``known`` to Parquet at ``path``, each once.
 
-    ``checkpoint`` must be in a folder all executors share. Each batch goes to
-    a folder named after it and replaces that folder when it is run again, so a
-    restart leaves no rows twice.
+    What was fed before is looked up in the output itself, so there is no state
+    that grows or expires, and copies of one article are reduced to the last
+    one before they are shuffled. Each batch goes to a folder named after it and
+    replaces that folder when it is run again, so a restart leaves no rows twice.
+    ``path`` and ``checkpoint`` must be in folders all executors share.
     """
+    details = flat_details(extract_details(captures))
+    names = [c for c in details.columns if c != "PMID"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = new_articles(flat_details(batch), known)
+        seen = known.select("PMID")
+        if batch_id > 0:
+            fed = batch.sparkSession.read.schema("PMID string, batch long").parquet(path)
+            seen = seen.unionByName(fed.where(fed.batch < batch_id).select("PMID"))
+        fresh = new_articles(last_per_key(batch, "PMID", "page_id", *names), seen)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (

@@ -294,21 +294,23 @@ def test_workflow(spark, store, tmp_path):
 
 def test_feed(spark, tmp_path):
     def arrive(n, *articles):
-        at = F.lit("2024-12-01 00:00:00").cast("timestamp")
-        frame = spark.createDataFrame([(p, None, article_page(q)) for p, q in articles], ARTICLE)
-        frame.withColumn("captured_at", at).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        pages = [(p, None, article_page(q) if q else "<p></p>") for p, q in articles]
+        frame = spark.createDataFrame(pages, ARTICLE)
+        frame.coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
 
     known = spark.createDataFrame([("1",)], "PMID string")
 
-    def run():
-        stream = feed.read_capture_stream(spark, f"{tmp_path}/in/*")
-        query = feed.start_feed(
-            feed.stream_details(stream), known, f"{tmp_path}/out", f"{tmp_path}/check")
+    def run(files_per_trigger=1000):
+        stream = feed.read_capture_stream(spark, f"{tmp_path}/in/*", files_per_trigger)
+        query = feed.start_feed(stream, known, f"{tmp_path}/out", f"{tmp_path}/check")
         query.awaitTermination()
-        return rows(spark.read.parquet(f"{tmp_path}/out"), "PMID")
+        return rows(spark.read.parquet(f"{tmp_path}/out"), "PMID", "page_id")
 
     arrive(1, (1, 1), (2, 2), (3, 2))
-    assert run() == [("2",)]
+    assert run() == [("2", 3)]
     arrive(2, (4, 2), (5, 3))
-    assert run() == [("2",), ("3",)]
-    assert run() == [("2",), ("3",)]
+    arrive(3, (6, 3), (7, 4))
+    arrive(4, (8, None))
+    got = run(files_per_trigger=1)
+    assert [p for p, _ in got] == ["2", "3", "4"] and got[0] == ("2", 3)
+    assert run() == got
