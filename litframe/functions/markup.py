@@ -2,8 +2,8 @@
 
 A selector is a Java regular expression put together from a tag name and an
 exact attribute value. All repeated groups are possessive: they run as loops
-(no stack growth on long pages) and never backtrack, so cost stays linear in
-the length of the page. Run them on ``clean_markup`` output.
+(no stack growth on long pages) and do not backtrack, so cost is linear in the
+length of a well-formed page. Run them on ``clean_markup`` output.
 """
 
 from __future__ import annotations
@@ -87,10 +87,13 @@ def after(start: str) -> str:
 
 
 def clean_markup(html: Column) -> Column:
-    """Replace comments, scripts and styles by a gap that still parts text."""
+    """Replace comments, scripts and styles by a gap that still parts text.
+
+    One that is never closed reaches to the end of the page.
+    """
     pattern = (
-        r"<(?:!--(?s:.*?)-->"
-        r"|(?i:(script|style))(?=[\s/>])[^>]*+>(?s:.*?)</(?i:\1)\s*+>)"
+        r"<(?:!--(?s:.*?)(?:-->|\z)"
+        r"|(?i:(script|style))(?=[\s/>])[^>]*+>(?s:.*?)(?:</(?i:\1)\s*+>|\z))"
     )
     return F.regexp_replace(html, pattern, GAP)
 

@@ -79,8 +79,10 @@ def test_exact_attribute_values(spark):
 
 
 def test_comments_scripts_and_styles_leave_a_gap(spark):
-    given = ['a<!-- <p>x --> b', '<script>var t="</p>";</script>c', "<STYLE>p{}</STYLE >d"]
-    assert column(spark, given, M.clean_markup) == ["a<!----> b", "<!---->c", "<!---->d"]
+    given = ['a<!-- <p>x --> b', '<script>var t="</p>";</script>c', "<STYLE>p{}</STYLE >d",
+             "a<!--" * 50000, "a<script>" * 50000, "<scripted>x</scripted>"]
+    assert column(spark, given, M.clean_markup) == [
+        "a<!----> b", "<!---->c", "<!---->d", "a<!---->", "a<!---->", "<scripted>x</scripted>"]
 
 
 # ---- search pages ------------------------------------------------------------
