@@ -30,6 +30,13 @@ from litframe.sources import captures, files, store  # noqa: E402
 from litframe.sources.scratch import scratch_dir  # noqa: E402
 from litframe.streaming import new_articles as feed  # noqa: E402
 
+try:
+    from litframe.llm import queries as llm
+except ModuleNotFoundError as missing:  # the subpackage or the pipeline is not installed
+    if missing.name not in ("litframe.llm", "litframe.llm.queries", "corpus_pipeline"):
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 PAGE_SELECTORS = (
@@ -402,8 +409,8 @@ def q_retain_runs(spark, sf_dir):
     return kept.select("run_id", "id", "PMID")
 
 
-def queries() -> dict[str, Query]:
-    """One entry per operator: name to callable(spark, sf_dir)."""
+def own_queries() -> dict[str, Query]:
+    """Queries of the library itself, without those of the ``llm`` subpackage."""
     return {
         name.removeprefix("q_"): fn
         for name, fn in sorted(globals().items())
@@ -411,7 +418,7 @@ def queries() -> dict[str, Query]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
+def own_oracle_sql() -> dict[str, str]:
     of, cols = E.of, E.PUBLICATION_COLUMNS
     target = "run_id, id, PMCID, PMID, doctitle, savepath, url"
     report = ", ".join(
@@ -619,3 +626,13 @@ def oracle_sql() -> dict[str, str]:
             f"(select distinct run_id from numbered order by run_id desc limit {LAST_RUNS})",
         ),
     }
+
+
+def queries() -> dict[str, Query]:
+    """One entry per operator: name to callable(spark, sf_dir)."""
+    return own_queries() | (llm.queries() if llm else {})
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL for each query that SQL can express."""
+    return own_oracle_sql() | (llm.oracle_sql() if llm else {})

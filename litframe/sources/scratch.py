@@ -2,38 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+WAREHOUSE_KEY = "spark.sql.warehouse.dir"
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which all executors see.
 
-    Only a local session may run without that setting; it then gets a
-    temporary folder, kept in the setting for the rest of the session.
+    Where that is unset, the folder lies in the session's warehouse, which its
+    tables share as well; without either this raises.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        warehouse = spark.conf.get(WAREHOUSE_KEY, None)
+        if not warehouse:
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        root = _local_root()
+        root = f"{warehouse.rstrip('/')}/_scratch"
     return f"{root.rstrip('/')}/litframe-{name}-{uuid.uuid4().hex}"
 
 
-_LOCAL: list[str] = []
-
-
-def _local_root() -> str:
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="litframe-"))
-    return _LOCAL[0]
-
-
 def stage(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 

@@ -5,8 +5,8 @@ import pytest
 
 import __spark_entry__ as registry
 
-QUERIES = registry.queries()
-ORACLES = registry.oracle_sql()
+QUERIES = registry.own_queries()
+ORACLES = registry.own_oracle_sql()
 
 
 def test_every_query_has_an_oracle():
