@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import io
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litframe.sources.scratch import stage
+from litframe.sources.scratch import scratch_dir, stage
 
-__all__ = ["stage", "table", "text_of", "own_columns", "empty_text"]
+__all__ = ["stage", "table", "empty_text", "ship"]
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever it is installed.
+
+    Its sources go to the shared folder as a zip file, once per application.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_litframe_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as file:
+        for source in sorted(root.rglob("*.py")):
+            file.writestr(str(source.relative_to(root.parent)), source.read_text())
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark, "package"), "litframe.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(packed.getvalue())
+    out.close()
+    context.addPyFile(path.toString())
+    context._litframe_shipped = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +42,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def empty_text(column: str | Column) -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-
-
-def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Just id and text, under fixed names: other columns may be called anything."""
-    return docs.select(F.col(id_col).alias("doc_id"), empty_text(text_col).alias("text"))
-
-
-def own_columns(docs: DataFrame, used: Iterable[str]) -> str:
-    """A prefix that no column of ``docs`` starts with, for columns that are added."""
-    prefix = "_"
-    while any(c.lower().startswith(prefix) for c in (*docs.columns, *used)):
-        prefix += "_"
-    return prefix

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litframe.llm.flow import Network
-from litframe.llm.frames import empty_text, stage
+from litframe.llm.frames import empty_text, ship, stage
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -94,6 +94,7 @@ def cuts(histogram: DataFrame, use: DataFrame) -> DataFrame:
     """``pattern, class, whole, below``: documents are used ``whole`` times, and
     once more if their draw is below ``below``."""
 
+    ship(histogram.sparkSession)
     def choose(key, rows):
         import pandas as pd
 

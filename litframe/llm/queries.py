@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litframe.llm import chat, exact_dedup, mixing, resharding
+from litframe.llm import chat, decontaminate, exact_dedup, importance, line_templates, mixing
+from litframe.llm import resharding, token_codes, toxicity
 from litframe.llm.frames import empty_text, table
 from litframe.sources.scratch import scratch_dir
 
@@ -32,6 +33,35 @@ def op2_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a fifth of the ids (by crc32) are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score(docs, lexicon).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "weight", "words",
+    )
+
+
+def op5_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_direct_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, then read back from the files."""
+    path = scratch_dir(spark, "codes")
+    token_codes.write_codes(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    return token_codes.documents(token_codes.read_codes(spark, path))
+
+
 def op7_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs, F.array("source"))
@@ -49,6 +79,23 @@ def op8_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_parts(table(spark, sf_dir, "conversations"))
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "labels"))
+
+
+def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        F.to_json("spans").alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
 
