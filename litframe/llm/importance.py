@@ -27,8 +27,8 @@ from litframe.llm.frames import empty_text, ship, stage
 BUCKETS = 1 << 16
 #: Labelled rows that the target model is fitted on, at most (drawn by a hash of the id).
 FIT_ROWS = 20_000
-#: Weight of the raw model as a prior of the target model, in grams.
-PRIOR = 20_000.0
+#: Grams per bucket by which the target model leans on the raw one.
+PRIOR = 50.0
 #: Rows among which the last place of the top k is found by sorting.
 SORTED_ROWS = 10_000
 
@@ -93,7 +93,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_sample(labels: DataFrame, id_col: str, label_col: str, rows: int = FIT_ROWS) -> DataFrame:
     """``fit_id, good``: at most about ``rows`` labelled ids, drawn by hash; ids
     with a null id or label are left out, ids that repeat count once as the larger."""
-    known = labels.select(F.col(id_col).alias("fit_id"), F.col(label_col).cast("int").alias("good")).dropna()
+    known = labels.select(F.col(id_col).cast("long").alias("fit_id"), F.col(label_col).cast("int").alias("good")).dropna()
     total = known.count()
     share = min(1.0, rows / total) if total else 1.0
     drawn = known.filter(F.pmod(F.xxhash64("fit_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -103,38 +103,50 @@ def fit_sample(labels: DataFrame, id_col: str, label_col: str, rows: int = FIT_R
 def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Log ratio of target to raw probability per bucket, as a fixed-size array.
 
-    The sample is bounded by its parameter, so it may be broadcast.
+    A document's own grams are in the raw model, and in the target model if it
+    was fitted on, which would favour the latter; so one gram is taken out of
+    either again. Row 0 holds the ratios for other documents, row 1 those for
+    documents the target model was fitted on. Buckets that the target model
+    has hardly seen get ratios near 0. The sample is bounded by its parameter,
+    so it may be broadcast.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("fit_id"), empty_text(text_col).alias("text"))
-    rows = rows.join(F.broadcast(sample), "fit_id", "left").select("text", F.coalesce("good", F.lit(0)).alias("good"))
     summed = (
-        rows.mapInArrow(_counts, "bucket int, raw long, target long")
+        _marked(docs, sample, id_col, text_col).select("text", "good")
+        .mapInArrow(_counts, "bucket int, raw long, target long")
         .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
         .toPandas()  # one row per bucket
     )
-    raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
-    raw[summed["bucket"]] += summed["raw"]
-    target[summed["bucket"]] += summed["target"]
-    share = raw / raw.sum()
-    return np.log((target + PRIOR * share) / (target.sum() + PRIOR)) - np.log(share)
+    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    raw[summed["bucket"]] = summed["raw"]
+    target[summed["bucket"]] = summed["target"]
+    expected = np.maximum(raw - 1, 0) * (target.sum() / max(raw.sum(), 1.0))
+    own = np.stack([target, np.maximum(target - 1, 0)])
+    return np.log((own + PRIOR) / (expected + PRIOR))
 
 
-def log_ratios(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _marked(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``fit_id, text, good``: 1 for rows that the target model is fitted on."""
+    rows = docs.select(F.col(id_col).cast("long").alias("fit_id"), empty_text(text_col).alias("text"))
+    return rows.join(F.broadcast(sample), "fit_id", "left").withColumn("good", F.coalesce("good", F.lit(0)))
+
+
+def log_ratios(docs: DataFrame, sample: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, log_ratio`` of every row; 0 for a text without words."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            good = (batch.column(2).to_numpy(zero_copy_only=False) == 1).astype(np.int64)
             for row, end, data, offsets in W.chunks(batch.column(1)):
                 bucket, of = grams(data, offsets)
-                sums = np.bincount(of, sent.value[bucket], end - row)
+                sums = np.bincount(of, sent.value[good[row:end][of], bucket], end - row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[row:end], pa.array(np.round(sums, 6))], ["doc_id", "log_ratio"]
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_text(text_col).alias("text"))
+    rows = _marked(docs, sample, id_col, text_col).select("fit_id", "text", "good")
     return rows.mapInArrow(run, "doc_id long, log_ratio double")
 
 
@@ -213,7 +225,7 @@ def resample(
     """
     sample = fit_sample(labels, id_col, label_col, fit_rows)
     weights = fit(docs, sample, id_col, text_col)
-    scored = stage(log_ratios(docs, weights, id_col, text_col), "ratios")
+    scored = stage(log_ratios(docs, sample, weights, id_col, text_col), "ratios")
     if k is None:
         labelled = scored.join(F.broadcast(sample), F.col("doc_id") == F.col("fit_id")).select("log_ratio", "good")
         cut = best_cut(labelled)
