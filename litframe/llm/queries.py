@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litframe.llm import chat, decontaminate, exact_dedup, importance, line_templates, mixing
+from litframe.llm import chat, decontaminate, exact_dedup, importance, line_templates, mixing, ngram_join
 from litframe.llm import resharding, token_codes, toxicity
 from litframe.llm.frames import empty_text, table
 from litframe.sources.scratch import scratch_dir
@@ -33,6 +34,10 @@ def op2_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op4_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of a fifth of the ids (by crc32) are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,7 +102,8 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
+    named = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
+    return named | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
