@@ -22,8 +22,8 @@ WORDS, PERCENT = 5, 80
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling keeps, with the target model of good labels."""
     weighed = importance.resample(docs, table(spark, sf_dir, "labels"))
-    kept = weighed.filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
+    kept = weighed.filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents of which less than a twentieth are passages of benchmark items."""
     found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
     dirty = found.filter(decontaminate.contaminated(F.col("n_hit"), F.col("n_words")))
-    dirty = dirty.select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti").select(*COLUMNS)
+    dirty = dirty.select(F.col("doc_id").alias("id")).distinct()
+    return docs.select(*COLUMNS).join(dirty, F.col("doc_id").eqNullSafe(F.col("id")), "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

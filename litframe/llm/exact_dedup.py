@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litframe.llm.frames import empty_text, stage
+from litframe.llm.frames import empty_text, packed, stage
 
 
 def content_hash(text: Column) -> Column:
@@ -79,11 +79,8 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id and its text stay as often as they are there.
     """
     kept = exact_groups(docs, id_col, text_col, keep).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")
+        F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")
     ).distinct()
-    return docs.join(
-        kept,
-        F.col(id_col).eqNullSafe(F.col("_kept_id"))
-        & (F.sha2(empty_text(text_col), 256) == F.col("_kept_sha")),
-        "left_semi",
-    )
+    rows = packed(docs, id=F.col(id_col), sha=F.sha2(empty_text(text_col), 256))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
+    return rows.join(kept, same, "left_semi").select("row.*")

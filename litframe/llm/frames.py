@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from litframe.sources.scratch import scratch_dir, stage
 
-__all__ = ["stage", "table", "empty_text", "ship"]
+__all__ = ["stage", "table", "empty_text", "packed", "ship"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -39,6 +39,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def packed(docs: DataFrame, added: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """All columns of ``docs`` as one struct ``row``, and the given ones beside it.
+
+    Names in ``docs`` cannot clash with those an operator works with; columns
+    named like the ``added`` ones are left out, as these replace them.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]
+    return docs.select(F.struct(*own).alias("row"), *(c.alias(n) for n, c in columns.items()))
+
+
 def empty_text(column: str | Column) -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -20,10 +20,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from litframe.llm.flow import Network
-from litframe.llm.frames import empty_text, ship, stage
+from litframe.llm.frames import empty_text, packed, ship, stage
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,7 +30,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 #: Draws per size class; the last class of a pattern is off by one draw at most.
 DRAWS = 4096
-CUTS = "pattern string, class int, whole int, below int"
+CUTS = "pattern string, size_class int, whole int, below int"
+ADDED = ("mix_size", "mix_pattern", "mix_times")
 
 
 def word_count(text: Column) -> Column:
@@ -91,7 +91,7 @@ def _draw(seed: int, id_col: Column, size: Column) -> Column:
 
 
 def cuts(histogram: DataFrame, use: DataFrame) -> DataFrame:
-    """``pattern, class, whole, below``: documents are used ``whole`` times, and
+    """``pattern, size_class, whole, below``: documents are used ``whole`` times, and
     once more if their draw is below ``below``."""
 
     ship(histogram.sparkSession)
@@ -101,7 +101,7 @@ def cuts(histogram: DataFrame, use: DataFrame) -> DataFrame:
         words, wanted = int(rows["total"].iloc[0]), int(rows["use"].iloc[0])
         whole, odd = divmod(wanted, words) if words else (0, 0)
         made, seen, got = [], 0, 0
-        for size_class, part in rows.sort_values(["class", "draw"]).groupby("class", sort=True):
+        for size_class, part in rows.sort_values(["size_class", "draw"]).groupby("size_class", sort=True):
             summed = part["words"].cumsum().to_numpy()
             seen += int(summed[-1])
             goal = odd * seen / words - got if words else 0
@@ -110,7 +110,7 @@ def cuts(histogram: DataFrame, use: DataFrame) -> DataFrame:
             got += steps[best]
             below = 0 if best == 0 else int(part["draw"].iloc[best - 1]) + 1
             made.append((key[0], int(size_class), whole, below))
-        return pd.DataFrame(made, columns=["pattern", "class", "whole", "below"])
+        return pd.DataFrame(made, columns=["pattern", "size_class", "whole", "below"])
 
     return histogram.join(use, "pattern").groupBy("pattern").applyInPandas(choose, CUTS)
 
@@ -144,34 +144,27 @@ def mix(
     """
     tag = lambda s: F.when(s.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), s))
     pattern = F.to_json(F.array_sort(F.array_distinct(F.transform(members, tag))))
-    sized = docs.withColumns({
-        "mix_size": word_count(F.col(text_col)), "mix_pattern": F.coalesce(pattern, F.lit("[]")),
-    })
-    made, goals = _plan(sized, id_col, weights, most, seed)
-    odd = F.when(F.col("_mix_draw") < F.col("_below"), 1).otherwise(0)
+    size = word_count(F.col(text_col))
+    sized = packed(
+        docs, ADDED, size=size, pattern=F.coalesce(pattern, F.lit("[]")),
+        size_class=_size_class(size), draw=_draw(seed, F.col(id_col), size),
+    )
+    made, goals = _plan(sized, weights, most)
+    odd = F.when(F.col("draw") < F.col("below"), 1).otherwise(0)
     # the cuts are a few rows per pattern; Spark broadcasts them by their measured size
-    rows = sized.withColumns({
-        "_mix_class": _size_class(F.col("mix_size")),
-        "_mix_draw": _draw(seed, F.col(id_col), F.col("mix_size")),
-    }).join(
-        made.toDF("_pattern", "_class", "_whole", "_below"),
-        (F.col("mix_pattern") == F.col("_pattern")) & (F.col("_mix_class") == F.col("_class")), "left",
-    ).withColumn("mix_times", F.coalesce(F.col("_whole") + odd, F.lit(0)))
-    return Mix(
-        rows.drop("_mix_class", "_mix_draw", "_pattern", "_class", "_whole", "_below"), goals
+    rows = sized.join(made, ["pattern", "size_class"], "left").select(
+        "row.*", F.col("size").alias("mix_size"), F.col("pattern").alias("mix_pattern"),
+        F.coalesce(F.col("whole") + odd, F.lit(0)).alias("mix_times"),
     )
+    return Mix(rows, goals)
 
 
-def _plan(sized, id_col, weights, most, seed):
+def _plan(sized, weights, most):
     import json
 
     spark = sized.sparkSession
     histogram = stage(
-        sized.select(
-            F.col("mix_pattern").alias("pattern"), _size_class(F.col("mix_size")).alias("class"),
-            _draw(seed, F.col(id_col), F.col("mix_size")).alias("draw"), F.col("mix_size").alias("words"),
-        ).groupBy("pattern", "class", "draw").agg(F.sum("words").alias("words")),
-        "mix",
+        sized.groupBy("pattern", "size_class", "draw").agg(F.sum("size").alias("words")), "mix"
     )
     # one row per membership pattern
     rows = histogram.groupBy("pattern").agg(F.sum("words").alias("words")).collect()
@@ -205,5 +198,5 @@ def repeated(mixed: DataFrame) -> DataFrame:
     return (
         mixed.filter("mix_times > 0")
         .withColumn("mix_times", F.explode(times))
-        .drop("mix_size", "mix_pattern", "mix_times")
+        .drop(*ADDED)
     )

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from litframe.llm import words as W
 from litframe.llm.components import components
-from litframe.llm.frames import empty_text, ship, stage
+from litframe.llm.frames import empty_text, packed, ship, stage
 
 #: Largest by smallest size of a band.
 BAND = 1.5
@@ -459,7 +459,8 @@ def _roots(pairs: DataFrame, sets: DataFrame, percent: int, block_sets: int) ->
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` with the smallest id of their component, and rows with
-    empty sets; rows that repeat such an id stay as often as they are there."""
+    empty sets. Rows that share an id, or have none, stay together if one does."""
     groups = similar_groups(docs, n, percent, id_col, text_col)
-    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    rows = packed(docs, id=F.col(id_col).cast("long"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litframe.llm.flow import Network
-from litframe.llm.frames import empty_text, stage
+from litframe.llm.frames import empty_text, packed, stage
 
 #: Hash buckets inside a size, the finest place of a cut.
 BUCKETS = 1 << 16
@@ -158,27 +158,24 @@ def reshard(
     Existing columns named ``shard`` and ``slot`` are replaced.
     """
     size = document_size(F.col(text_col))
-    bucket = _bucket(F.col(id_col), size)
-    narrow = docs.select(old_shard.cast("int").alias("old"), size.alias("size"), bucket.alias("bucket"))
-    moves, cuts = plan(narrow, shards, capacity)
-    placed = docs.withColumn("shard", _target(cuts, old_shard.cast("int"), size, bucket))
+    rows = packed(
+        docs, ("shard", "slot"), old=old_shard.cast("int"), size=size, bucket=_bucket(F.col(id_col), size),
+        id=F.col(id_col), text_hash=F.xxhash64(text_col),
+    )
+    moves, cuts = plan(rows.select("old", "size", "bucket"), shards, capacity)
+    placed = rows.withColumn("shard", _target(cuts, F.col("old"), F.col("size"), F.col("bucket")))
     # slots: rows of a shard are counted by blocks, blocks by shard
     per_shard = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per shard
     blocks = max([1, *(-(-r["n"] // SLOT_ROWS) for r in per_shard)])
-    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
-    sizes = placed.groupBy("shard", block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        F.col("shard").alias("_s"), F.col("_block").alias("_b"),
-        F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"),
-    )
-    inside = Window.partitionBy("shard", "_block").orderBy(F.col(id_col), F.xxhash64(text_col))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    sizes = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).drop("n")
+    inside = Window.partitionBy("shard", "block").orderBy("id", "text_hash")
     rows = (
-        placed.withColumn("_block", block)
-        .withColumn("_at", F.row_number().over(inside) - 1)
-        .join(starts, (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b")))
-        .withColumn("slot", (F.col("_start") + F.col("_at")).cast("long"))
-        .drop("_block", "_at", "_s", "_b", "_start")
+        placed.withColumn("at", F.row_number().over(inside) - 1)
+        .join(starts, ["shard", "block"])
+        .select("row.*", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))
     )
     return Resharded(rows, moves)
 

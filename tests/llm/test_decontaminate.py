@@ -1,0 +1,106 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers import CLASHING, EDGE, ascii_lower, edge_docs, empty_docs
+from pyspark.sql import functions as F
+
+from litframe.llm import decontaminate
+from litframe.llm.fm_index import FMIndex, suffix_order
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall(ascii_lower(text or ""))
+
+
+def expected(docs, items, window):
+    phrases = {}
+    for item, text in items:
+        w = words(text)
+        k = min(window, len(w))
+        for j in range(len(w) - k + 1 if w else 0):
+            phrases.setdefault(tuple(w[j : j + k]), set()).add("" if item is None else str(item))
+    made = Counter()
+    for doc_id, text in docs:
+        w = words(text)
+        hit, found = [False] * len(w), set()
+        for k in {len(p) for p in phrases}:
+            for j in range(len(w) - k + 1):
+                own = phrases.get(tuple(w[j : j + k]))
+                if own:
+                    found |= own
+                    hit[j : j + k] = [True] * k
+        made[(doc_id, len(w), sum(hit), ",".join(sorted(found)))] += 1
+    return made
+
+
+def found(spark, docs, items, window, **options):
+    left = docs if not isinstance(docs, list) else spark.createDataFrame(docs, "doc_id long, text string")
+    right = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_passages(left, right, window=window, **options)
+    rows = got.collect()
+    for r in rows:
+        assert r["n_hit"] == sum(s["words"] for s in r["spans"])
+        assert all(a["end"] < b["start"] for a, b in zip(r["spans"], r["spans"][1:]))
+    return Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in rows)
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(3)
+    for top in (1, 2, 5, 300):
+        ends = 4
+        ranks = np.concatenate([np.concatenate([rng.integers(0, top, 25) + ends, [k]]) for k in range(ends)])
+        want = sorted(range(len(ranks)), key=lambda i: ranks[i:].tolist())
+        assert suffix_order(ranks, top + ends).tolist() == want
+
+
+def test_index_finds_all_places():
+    rng = np.random.default_rng(4)
+    lengths = np.array([0, 40, 1, 60, 0])
+    text = rng.integers(1, 4, lengths.sum())
+    index = FMIndex(text, lengths, 5)
+    sequence = np.insert(text, np.cumsum(lengths), 0)
+    for k in (1, 2, 3, 5):
+        phrases = rng.integers(1, 5, (30, k))
+        wide = np.concatenate([np.zeros((30, 5 - k), np.int64), phrases], 1)
+        low, high = index.search(wide, np.full(30, k))
+        for p, a, b in zip(phrases, low, high):
+            want = [i for i in range(len(sequence) - k + 1) if (sequence[i : i + k] == p).all()]
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 60}, {"block_pairs": 7}, {"shard_bytes": 300, "block_pairs": 2}])
+def test_random_texts_against_brute_force(spark, options):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["Ab", "b", "c9", "d,", "É"]) for _ in range(n))
+    docs = [(i, text(rng.randint(0, 60))) for i in range(40)]
+    items = [(i, text(rng.randint(0, 9))) for i in range(12)] + [(3, text(5))]
+    docs += docs[:3]
+    docs += [(100 + i, f"{text(4)} {items[i % 12][1]} {text(3)}") for i in range(12)]
+    assert found(spark, docs, items, 4, **options) == expected(docs, items, 4)
+
+
+def test_edge_rows(spark):
+    items = [(1, "same text"), (2, None), (3, ""), (None, "字 x"), (5, "word0x0 word1x1")]
+    assert found(spark, edge_docs(spark), items, 13) == expected(EDGE, items, 13)
+    assert found(spark, edge_docs(spark), [], 13) == expected(EDGE, [], 13)
+    assert found(spark, empty_docs(spark), items, 13) == Counter()
+    assert CLASHING
+
+
+def test_spans_are_cut_out_of_the_text(spark):
+    docs = spark.createDataFrame([(1, "Ä one two three. End"), (2, None), (3, "one two three")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ONE two three")], "item_id long, text string")
+    got = decontaminate.find_passages(docs, items).join(docs, "doc_id")
+    got = got.select("doc_id", decontaminate.without_spans(F.coalesce("text", F.lit("")), F.col("spans")).alias("t"))
+    assert {r["doc_id"]: r["t"] for r in got.collect()} == {1: "Ä . End", 2: "", 3: ""}
+
+
+def test_rule():
+    import pyspark.sql.functions as F
+
+    assert decontaminate.contaminated(F.lit(1), F.lit(20)) is not None

@@ -1,0 +1,43 @@
+import hashlib
+from collections import Counter, defaultdict
+
+import pytest
+from helpers import CLASHING, EDGE, edge_docs, empty_docs
+from pyspark.sql import functions as F
+
+from litframe.llm import exact_dedup
+
+
+def expected(rows, keep):
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[text or ""].append(doc_id)
+    made = Counter()
+    for text, ids in groups.items():
+        known = [i for i in ids if i is not None]
+        if keep == "min":
+            stays = None if len(known) < len(ids) else min(known)
+        else:
+            stays = max(known) if known else None
+        for i in ids:
+            made[(i, stays, len(ids), i == stays, hashlib.sha256(text.encode()).hexdigest())] += 1
+    return made
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+@pytest.mark.parametrize("hash_fn", [exact_dedup.content_hash, lambda t: F.octet_length(t) % 3, lambda t: F.lit(0)])
+def test_groups_even_if_hashes_collide(spark, keep, hash_fn):
+    got = exact_dedup.exact_groups(edge_docs(spark), keep=keep, hash_fn=hash_fn)
+    assert Counter(map(tuple, got.collect())) == expected(EDGE, keep)
+
+
+def test_empty_table_and_bad_rule(spark):
+    assert exact_dedup.exact_groups(empty_docs(spark)).count() == 0
+    with pytest.raises(ValueError):
+        exact_dedup.exact_groups(empty_docs(spark), keep="first")
+
+
+def test_rows_that_stay_keep_their_columns(spark):
+    got = exact_dedup.drop_duplicates(edge_docs(spark), keep="max")
+    assert got.columns == ["doc_id", "text", *CLASHING]
+    assert sorted(r.doc_id for r in got.collect()) == [1 + 1, 3, 4, 6, 6, 7, 8]

@@ -1,0 +1,81 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from helpers import EDGE, edge_docs, empty_docs
+
+from litframe.llm import token_codes as C
+from litframe.llm.queries import tokenizer_path
+
+
+@pytest.mark.parametrize("top", [1, 255, 256, 49_408, 1 << 24, (1 << 32) - 1])
+@pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
+def test_codes_give_back_any_token(top, n):
+    rng = np.random.default_rng(n)
+    ids = rng.integers(0, top, n, endpoint=True).astype(np.uint32)
+    codes = C.TokenCodes(C.encode(ids))
+    assert len(codes) == n
+    at = rng.permutation(n)
+    assert (codes.get(at) == ids[at]).all()
+    assert codes.get(np.zeros(0, np.int64)).tolist() == []
+    for i in at[:20]:
+        assert codes.get(np.array([i])).tolist() == [ids[i]]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path())
+
+
+TEXTS = [
+    "It's  a <|endoftext|> mark", "tab\tand wide blanks\x1c\x85 end", "é ̸ Ångström", "don't I'LL we've",
+    "  ", "\n\n", "a" * 3000, "12 345, 6.7!!", "\U0001f600\U0001f600 x\U0001f600", "<|startoftext|>", "ΣΣ İstanbul",
+]
+
+
+def test_remembered_words_give_the_same_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(C, "REMEMBERED", 5)
+    own = C.WordEncoder(tokenizer_path())
+    rng = random.Random(6)
+    mixed = ["".join(rng.choice("aB'9 \n\té́中,") for _ in range(60)) for _ in range(200)]
+    for text in TEXTS + mixed:
+        assert own.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def expected(tokenizer, rows):
+    made, start = [], 0
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        made.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    return made
+
+
+@pytest.mark.parametrize("sizes", [{}, {"file_bytes": 40_000, "segment_tokens": 10}])
+def test_files_hold_all_documents_in_order(spark, tmp_path, tokenizer, sizes):
+    path = str(tmp_path / "codes")
+    C.write_codes(edge_docs(spark), path, tokenizer_path(), **sizes)
+    rows = C.documents(C.read_codes(spark, path)).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(map(tuple, rows), key=key) == sorted(expected(tokenizer, EDGE), key=key)
+
+
+def test_random_access_to_files(spark, tmp_path, tokenizer):
+    path = str(tmp_path / "codes")
+    docs = spark.createDataFrame([(i, TEXTS[i % len(TEXTS)]) for i in range(50)], "doc_id long, text string")
+    C.write_codes(docs, path, tokenizer_path(), segment_tokens=100)
+    codes = C.read_codes(spark, path)
+    places = spark.createDataFrame([(0, 0, 5), (0, 0, 0), (0, 1, 7)], "file int, segment int, at long")
+    got = {(r["segment"], r["at"]): r["id"] for r in C.tokens_at(codes, places).collect()}
+    ids = [t for i in range(50) for t in [*tokenizer.encode(TEXTS[i % len(TEXTS)], add_special_tokens=False).ids, 1]]
+    first = codes.filter("segment = 0").first()["tokens"]
+    assert got == {(0, 5): ids[5], (0, 0): ids[0], (1, 7): ids[first + 7]}
+
+
+def test_empty_table(spark, tmp_path):
+    path = str(tmp_path / "codes")
+    C.write_codes(empty_docs(spark), path, tokenizer_path())
+    assert C.documents(C.read_codes(spark, path)).count() == 0
