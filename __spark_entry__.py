@@ -72,7 +72,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_details(captures.spread_captures(I.article_captures(spark, sf_dir)))
+    return extract_details(captures.spread_captures(I.article_captures(spark, sf_dir), I.SPREAD))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def q_src_captures_detail(spark, sf_dir):
 
 def q_src_html_files(spark, sf_dir):
     folder = scratch_dir(spark, "html")
-    html = captures.spread_captures(I.table(spark, sf_dir, "pages")).select("html")
+    html = captures.spread_captures(I.table(spark, sf_dir, "pages"), I.SPREAD).select("html")
     html.write.option("maxRecordsPerFile", 1).text(folder)
     return captures.read_html_dir(spark, folder).select("html")
 
@@ -186,7 +186,7 @@ def q_detail_requests(spark, sf_dir):
 
 
 def q_extract_hits(spark, sf_dir):
-    return extract_hits(captures.spread_captures(I.search_captures(spark, sf_dir)))
+    return extract_hits(captures.spread_captures(I.search_captures(spark, sf_dir), I.SPREAD))
 
 
 def q_extract_details(spark, sf_dir):
@@ -206,7 +206,7 @@ def q_affiliations_text(spark, sf_dir):
 
 
 def q_extract_pages(spark, sf_dir):
-    pages = captures.spread_captures(I.table(spark, sf_dir, "pages"))
+    pages = captures.spread_captures(I.table(spark, sf_dir, "pages"), I.SPREAD)
     return extract_pages(pages, PAGE_SELECTORS, keep=("page_id", "url")).withColumn(
         "links", F.array_join("links", " ")
     )
@@ -243,7 +243,7 @@ def q_fulltext_targets(spark, sf_dir):
 
 
 def q_fulltext_targets_limit(spark, sf_dir):
-    """The first n targets in insertion order: a top-n report."""
+    """The first n targets of each run in insertion order: a top-n report."""
     return fulltext.fulltext_targets(
         _paths(spark, sf_dir), I.files(spark, sf_dir), limit=TOP_TARGETS
     )
@@ -469,7 +469,7 @@ def own_oracle_sql() -> dict[str, str]:
         "src_captures_detail": of(
             E.DETAILS,
             "select page_id, 'https://example.org/' || cast(p_partkey as varchar) as url "
-            "from captured where p_size <= 40",
+            "from captured",
         ),
         "src_html_files": "select html || chr(10) as html from pages",
         "scan_publications": of(E.PUBLICATIONS, f"select {cols}, run_id from publications"),
@@ -547,7 +547,9 @@ def own_oracle_sql() -> dict[str, str]:
         "already_saved": of(E.FULLTEXT, f"select {target} from existing"),
         "fulltext_targets": of(E.FULLTEXT, f"select {target} from targets"),
         "fulltext_targets_limit": of(
-            E.FULLTEXT, f"select {target} from targets order by run_id, id limit {TOP_TARGETS}"
+            E.FULLTEXT,
+            f"select {target} from (select *, row_number() over (partition by run_id order by id) "
+            f"as place from targets) where place <= {TOP_TARGETS}",
         ),
         "new_articles": of(
             E.PUBLICATIONS,

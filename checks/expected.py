@@ -63,8 +63,7 @@ parsed as (
     '1.' || p_brand || ', Dept.of ' || p_type || '.' || chr(10)
       || '2.' || p_name || ' Institute.' as affiliations,
     'https://example.org/ft/?a=1&id=' || cast(p_partkey as varchar) as full_text_link
-  from captured c left join documents on doc_id = p_partkey
-  where p_size <= 40),
+  from captured c left join documents on doc_id = p_partkey),
 details as (
   select page_id, PMID, PMCID, doi,
     case when plain then '' else 'Background: ' || p_name || ' text.' end as background,
@@ -72,14 +71,14 @@ details as (
          else 'Methods: ' || p_type end as methods,
     case when plain then '' when p_type = 'SMALL' then 'Methods and Results: ' || p_type
          else 'Results: ' || p_brand || ' < 5' end as results,
-    '' as conclusions, '' as registration, keyword as keywords,
+    case when plain then '' else trim('Conclusions: ' || plain_text) end as conclusions, '' as registration, keyword as keywords,
     case when plain then plain_text else '' end as abstract,
     keyword, affiliations, full_text_link
   from parsed),
 flat as (
   select page_id, PMID, PMCID, doi,
     concat_ws(chr(10), nullif(background, ''), nullif(methods, ''), nullif(results, ''),
-      nullif(keywords, ''), 'Abstract: ' || nullif(abstract, '')) as abstract,
+      nullif(conclusions, ''), nullif(keywords, ''), 'Abstract: ' || nullif(abstract, '')) as abstract,
     affiliations, keyword, full_text_link
   from details)"""
 
@@ -106,8 +105,7 @@ files as (
 existing as (select * from eligible where savepath in (select savepath from files)),
 targets as (select * from eligible where savepath not in (select savepath from files)),
 outcomes as (
-  select *, case when PMCID in (
-      select PMCID from targets where doctitle not like 'blue%' and doctitle not like 'small%')
+  select *, case when doctitle not like 'blue%' and doctitle not like 'small%'
     then 'saved' else 'failed' end as status
   from targets)"""
 

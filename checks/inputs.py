@@ -13,6 +13,7 @@ from litframe.sources.captures import spread_captures
 from litframe.sources.scratch import stage
 
 DIRECTORY = "/library/pub"
+SPREAD = 16  # tasks that rendered pages are dealt to
 SECOND_CAPTURE = 1_000_000_000_000  # page_id offset of a later capture
 
 SEARCH_SQL = """
@@ -23,11 +24,11 @@ with hit as (
     '<div class="docsum-content"><a class="docsum-title" href="/' || p_partkey || '/">\n'
     || '  ' || p_name || ' <b>' || p_brand || '</b> ' || p_type || ': 1/2 &quot;x&quot;?'
     || case when p_name like 'hot%' then ' <i>dropped</i>' else '' end || '\n</a>'
-    || '<span class="docsum-authors full-authors">' || p_name || ' A &amp; Co, ' || p_brand || ' B.</span>'
+    || '<span class="docsum-authors full-authors">' || repeat('<i>', deep) || repeat('</i>', deep) || p_name || ' A &amp; Co, ' || p_brand || ' B.</span>'
     || case when p_size <= 45 then '<span class="docsum-authors short-authors">' || p_name || ' A, et al.</span>' else '' end
     || '<span class="docsum-journal-citation full-journal-citation">' || p_type || '. 2024 Dec;' || p_size || '.</span>'
     || '<span class=\\'docsum-journal-citation short-journal-citation\\'>' || p_type || '. 2024.</span>'
-    || case when p_size < 50 then '<span class="docsum-pmid">'
+    || case when p_size < 50 then '<span class="docsum-pmid">' || repeat('<i>', deep) || case when deep > 0 then 'no' else '' end || repeat('</i>', deep)
          || case when p_name like 'red%' then p_partkey div 10 * 10 else p_partkey end || '</span>' else '' end
     || case when p_size <= 15 then '<span class="free-resources spaced-citation-item citation-part">Free PMC article.</span>'
             when p_size <= 30 then '<span class="free-resources spaced-citation-item citation-part">Free article.</span>'
@@ -35,7 +36,7 @@ with hit as (
             else '' end
     || case when p_brand like '%5' then '<span class="publication-type spaced-citation-item citation-part">Review.</span>' else '' end
     || '</div>' as block
-  from part
+  from (select *, case when p_size = 11 then 7 when p_size = 12 then 50 else 0 end as deep from part) p
 ), page as (
   select run_id, page_no, cast(page_no as bigint) * 100 + max(kind) as page_id,
     count(*) as n, min(p_size) as low, max(p_size) as high,
@@ -49,7 +50,9 @@ select run_id, page_no, page_id,
     || '<body><!-- <div class="docsum-content">old</div> --><div id="search-results"><section class="search-results-list">'
     || '<div class="results-amount">'
     || case when low <= 2 then '<span class="value">' || format_number(n * 1000 + page_no, 0) || '</span>' else '' end
-    || '</div>' || blocks || '</section></div></body></html>' end as html
+    || '</div>' || blocks || '</section></div><div><span class="docsum-pmid">999</span>'
+    || '<span class="publication-type spaced-citation-item citation-part">Review.</span></div></body></html>' end as html,
+  high < 45 as failed
 from page
 """
 
@@ -58,29 +61,38 @@ with capture as (
   select p.*, p_partkey as page_id, 1 as turn from part p
   union all
   select p.*, p_partkey + {second} as page_id, 2 as turn from part p where p_size <= 10
+  union all
+  select p.*, p_partkey + 2 * {second} as page_id, 3 as turn from part p where p_size > 40
+), told as (
+  select *, replace(replace(replace(coalesce(text, 'none'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as told,
+    case when p_size = 21 then 7 when p_size = 22 then 50 else 0 end as deep
+  from capture left join documents on doc_id = p_partkey
 )
 select page_id, 'https://example.org/' || p_partkey as url,
-  case when p_size <= 40 then
+  case when turn < 3 then
   '<html><body><div id="article-page"><main class="article-details" id="article-details">'
   || '<div class="expanded-authors"><ul><li data-affiliation-id="a1"><sup class="key">1</sup> ' || p_brand || ', Dept.  of ' || p_type || '. </li>'
-  || '<li data-affiliation-id="a2"><sup class="key">2</sup> ' || p_name || ' Institute.</li></ul></div>'
-  || '<div class="expanded-authors"><ul><li data-affiliation-id="a1">repeated group</li></ul></div>'
-  || '<ul id="full-view-identifiers"><li><span class="identifier own">'
-  || case when p_brand <> 'Brand#7' then '<strong class="current-id">' || p_partkey || '</strong>' else '' end || '</span></li>'
+  || repeat('<div>', deep) || repeat('</div>', deep) || '<li data-affiliation-id="a2"><sup class="key">2</sup> ' || p_name || ' Institute.</li></ul></div>'
+  || case when p_size < 30 then '<div class="expanded-authors"><ul><li data-affiliation-id="a1">repeated group</li></ul></div>'
+       else '<div><ul><li data-affiliation-id="a1">elsewhere</li></ul></div>' end
+  || '<ul id="full-view-identifiers">' || case when p_size > 23 then '<li><ul><li>nested</li></ul></li>' else '' end || '<li><span class="identifier own">'
+  || case when p_brand <> 'Brand#7' then '<strong class="current-id">' || repeat('<b>', deep) || case when deep > 0 then '0' else '' end || repeat('</b>', deep) || p_partkey || '</strong>' else '' end || '</span></li>'
   || case when p_size <= 20 then '<li><span class="identifier pmc"><a class="id-link" href="#"> PMC' || p_partkey || ' </a></span></li>' else '' end
   || case when p_name not like 'blue%' then '<li><span class="identifier doi"><a class="id-link" href="#"> 10.1000/' || p_partkey || '.' || turn || ' </a></span></li>' else '' end
   || '</ul><div class="abstract" id="abstract"><div class="abstract-content" id="eng-abstract">'
   || case when p_type in ('ECONOMY', 'PROMO', 'LARGE')
-       then '<p>\n' || coalesce(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 'none') || '\n</p>'
+       then case when p_size > 25 then '<div class="note"><p>a note</p></div>' else '' end || '<p>\n' || told || '\n</p>'
        else '<p>\n<strong class="sub-title">Background:</strong>\n' || p_name || '  text.</p>'
          || case when p_type = 'SMALL'
               then '<p>\n<strong class="sub-title">Methods and Results:</strong> ' || p_type || '</p>'
               else '<p>\n<strong class="sub-title">Methods:</strong> <i>' || p_type || '</i></p>'
-                || '<p>\n<strong class="sub-title">Results:</strong> ' || p_brand || ' &lt; 5</p>' end end
+                || '<p>\n<strong class="sub-title">Results:</strong> ' || p_brand || ' &lt; 5</p>' end
+         || '<p><strong class="sub-title">Conclusions:</strong> ' || repeat('<i>', deep) || told || repeat('</i>', deep) || '</p>' end
   || '</div><p><strong class="sub-title">Keywords:</strong> ' || p_brand || '; ' || p_type || '.</p></div>'
+  || '<div class="similar"><p><strong class="sub-title">Results:</strong> of another article</p></div>'
   || '</main><aside><div class="full-text-links"><div class="full-text-links-list"><a href="https://example.org/ft/?a=1&amp;id='
   || p_partkey || '">x</a></div></div></aside></div></body></html>' end as html
-from capture left join documents on doc_id = p_partkey
+from told
 """
 
 REQUEST_SQL = """
@@ -153,7 +165,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litframe.operators.hits import extract_hits
 
     return _staged(
-        spark, sf_dir, "hits", lambda: extract_hits(spread_captures(search_captures(spark, sf_dir)))
+        spark, sf_dir, "hits", lambda: extract_hits(spread_captures(search_captures(spark, sf_dir), SPREAD))
     )
 
 
@@ -164,7 +176,7 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litframe.operators.ordering import with_run_order
 
     def build() -> DataFrame:
-        articles = spread_captures(article_captures(spark, sf_dir))
+        articles = spread_captures(article_captures(spark, sf_dir), SPREAD)
         details = flat_details(extract_details(articles))
         return merge_details(with_run_order(hits(spark, sf_dir)), details)
 

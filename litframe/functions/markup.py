@@ -38,6 +38,11 @@ TEXT = r"(?:[^<]++|<(?![A-Za-z/!?]))++"
 ANY_TAG = rf"<[A-Za-z/!?]{_REST}"
 
 
+#: Levels of elements that patterns follow. A pattern grows by some 200 characters
+#: per level; what is not nested costs nothing more for it.
+DEPTH = 96
+
+
 def _child(depth: int) -> str:
     """One complete child: a void tag, or an element nested up to ``depth``."""
     void = rf"(?:[!?]|{_VOID}){_REST}"
@@ -50,7 +55,7 @@ def _child(depth: int) -> str:
     return pattern
 
 
-CHILD = _child(6)
+CHILD = _child(DEPTH)
 INNER = rf"(?:{TEXT}|{CHILD})*+"
 
 
@@ -81,6 +86,19 @@ def close_tag(tag: str) -> str:
     return rf"</(?i:{tag})(?=[\s>])"
 
 
+def within(tag: str, depth: int = DEPTH) -> str:
+    """Content of an element of this name up to its own end tag (or the end).
+
+    Only tags of the name are counted, so others may be left open inside.
+    """
+    edge = rf"</?(?i:{tag})(?=[\s/>])"
+    flat = until(edge)
+    inner = flat
+    for _ in range(depth):
+        inner = rf"{flat}(?:<(?i:{tag})(?=[\s/>]){_REST}{inner}(?:</(?i:{tag})[^>]*+>)?+{flat})*+"
+    return inner
+
+
 def after(start: str) -> str:
     """Skip to the first match of ``start`` and step over it."""
     return until(start) + start

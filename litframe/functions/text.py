@@ -41,22 +41,26 @@ def blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-# the HTML 4 names, as one constant that the optimizer folds into a map
-_ENTITY_NAMES = ",".join(f"{name}:{code}" for name, code in sorted(name2codepoint.items()))
+# the HTML 4 names and the one that XML adds, as one constant that the optimizer
+# folds into a map
+_ENTITY_NAMES = ",".join(
+    f"{name}:{code}" for name, code in sorted({**name2codepoint, "apos": 39}.items())
+)
 
 
 def _entity_piece(piece: Column, names: Column) -> Column:
     """Decode one piece of text that stood right after an ampersand."""
-    decimal = F.regexp_extract(piece, r"^#([0-9]{1,7});?", 1)
-    hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9A-Fa-f]{1,6});?", 1)
+    decimal = F.regexp_extract(piece, r"^#([0-9]+);?", 1)
+    hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9A-Fa-f]+);?", 1)
     name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
     code = (
-        F.when(decimal != "", decimal.try_cast("int"))
-        .when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("int"))
+        # numbers beyond the type are no characters either
+        F.when(decimal != "", F.ltrim(decimal, F.lit("0")).try_cast("int"))
+        .when(hexadecimal != "", F.conv(F.right(F.ltrim(hexadecimal, F.lit("0")), F.lit(9)), 16, 10).try_cast("int"))
         .when(name != "", F.try_element_at(names, name).try_cast("int"))
     )
     rest = F.regexp_replace(
-        piece, r"^(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);?", ""
+        piece, r"^(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?", ""
     )
 
     def decoded(point: Column) -> Column:

@@ -24,7 +24,6 @@ ARTICLE_DETAILS = ("main", "id", "article-details")
 ABSTRACT_BLOCK = ("div", "id", "abstract")
 PLAIN_ABSTRACT = ("div", "id", "eng-abstract")
 SECTION_HEAD = ("strong", "class", "sub-title")
-DIV_EDGE = r"</?(?i:div)(?=[\s/>])"
 LINK_BOX = ("div", "class", "full-text-links")
 LINK_LIST = ("div", "class", "full-text-links-list")
 
@@ -32,6 +31,9 @@ LINK_LIST = ("div", "class", "full-text-links-list")
 def _blocks(html: Column) -> dict[str, Column]:
     """The parts of a page that hold fields, each cut once by one pattern."""
     group = M.open_tag(*AUTHOR_GROUP)
+    ids = M.open_tag("ul", *IDENTIFIERS[1:])
+    own_list = F.regexp_extract(html, f"{ids}{M.within('ul')}", 0)
+    other = F.regexp_extract(html, f"{M.open_tag(*IDENTIFIERS)}{M.INNER}", 0)
     abstract_path = (
         M.open_tag(*ARTICLE_PAGE) + M.after(M.open_tag(*ARTICLE_DETAILS))
         + M.after(M.open_tag(*ABSTRACT_BLOCK))
@@ -41,16 +43,14 @@ def _blocks(html: Column) -> dict[str, Column]:
         + rf"(?:{M.TEXT}|(?!{M.open_tag('a', 'href')}){M.CHILD})*+"
     )
     return {
-        "ids": F.regexp_extract(
-            html, f"{M.open_tag(*IDENTIFIERS)}{M.until(M.close_tag('ul'))}", 0
-        ),
+        "ids": F.when(own_list != "", own_list).otherwise(other),
         "pmc": M.all_inner(html, M.open_tag(*PMC_SPAN)),
-        "authors": F.regexp_extract(html, f"{group}({M.until(group)})", 1),
-        "abstract": F.regexp_extract(
-            html, f"{abstract_path}({M.until(M.close_tag('main'))})", 1
-        ),
-        "plain": F.regexp_extract(
-            html, f"{M.open_tag(*PLAIN_ABSTRACT)}({M.until(DIV_EDGE)})", 1
+        "authors": F.regexp_extract(html, f"{group}({M.within('div')})", 1),
+        "abstract": F.regexp_extract(html, f"{abstract_path}({M.within('div')})", 1),
+        # paragraphs right in the block count, those of a division in it do not
+        "plain": F.regexp_replace(
+            F.regexp_extract(html, f"{M.open_tag(*PLAIN_ABSTRACT)}({M.within('div')})", 1),
+            f"{M.open_tag('div')}{M.within('div')}(?:{M.close_tag('div')}[^>]*+>)?+", M.GAP,
         ),
         "link": M.attribute_of(html, M.open_tag("a", "href"), "href", skip=links),
     }

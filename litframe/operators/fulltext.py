@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litframe import schemas as S
-from litframe.operators.merge import join_key
+from litframe.operators.merge import join_key, spread_key
+from litframe.operators.ordering import dense_position
 
+#: What may name a request in what a fetch brings, best first.
+REQUEST_KEYS = (("run_id", "id"), ("run_id", "PMCID", "savepath"), ("PMCID",))
 TARGET_COLUMNS = ("run_id", "id", "PMCID", "PMID", "doctitle", "savepath", "url")
 
 
@@ -66,7 +69,7 @@ def file_paths(files: DataFrame) -> DataFrame:
 def _by_path(paths: DataFrame, files: DataFrame, how: str) -> DataFrame:
     # titles repeat, so one path may stand for very many records
     right = file_paths(files).select(join_key(F.col("savepath")).alias("_key"))
-    left = paths.withColumn("_key", join_key(F.col("savepath")))
+    left = paths.withColumn("_key", spread_key(F.col("savepath"), "run_id", "id"))
     return left.join(right, "_key", how).select(*TARGET_COLUMNS)
 
 
@@ -76,26 +79,43 @@ def already_saved(paths: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def fulltext_targets(
-    paths: DataFrame, files: DataFrame, limit: int | None = None
+    paths: DataFrame, files: DataFrame, limit: int | DataFrame | None = None
 ) -> DataFrame:
-    """Records whose file does not exist yet; with ``limit`` the first n in order."""
+    """Records whose file does not exist yet; with ``limit`` the first n of each run.
+
+    ``limit`` may be a frame of run_id and download_limit, one row per run; runs
+    that it does not name have no limit. Places in a run are counted by blocks of
+    ids, which reads the targets twice, so give stored rows with a limit.
+    """
     targets = _by_path(paths, files, "left_anti")
-    return targets if limit is None else targets.orderBy("run_id", "id").limit(limit)
+    if limit is None:
+        return targets
+    placed = dense_position(targets, ["run_id"])
+    if isinstance(limit, DataFrame):
+        most = limit.select(F.col("run_id").alias("_run"), F.col("download_limit").alias("_most"))
+        placed = placed.join(most, F.col("run_id").eqNullSafe(F.col("_run")), "left")
+        return placed.where(F.col("_most").isNull() | (F.col("pos") <= F.col("_most"))).select(*TARGET_COLUMNS)
+    return placed.where(F.col("pos") <= limit).select(*TARGET_COLUMNS)
 
 
 def fetch_outcomes(targets: DataFrame, fetched: DataFrame) -> DataFrame:
     """Each target with its outcome: ``saved`` if content came back, else ``failed``.
 
-    ``fetched``: PMCID and content (BINARY, NULL if the fetch failed). Only
-    the test for NULL is shuffled, not the content.
+    ``fetched``: content (BINARY, NULL if the fetch failed) and what names the
+    request: run_id and id, or run_id, PMCID and savepath, or of these only
+    PMCID. An outcome belongs to its own request; with PMCID alone, to all
+    targets of it. Only the test for NULL is shuffled, not the content.
     """
-    arrived = fetched.groupBy("PMCID").agg(
+    given = set(fetched.columns)
+    names = next(k for k in REQUEST_KEYS if given.issuperset(k))
+    request = lambda: F.to_json(F.array(*[F.col(n).cast("string") for n in names]))
+    arrived = fetched.groupBy(*names).agg(
         F.bool_or(F.col("content").isNotNull()).alias("_ok")
     )
-    right = arrived.select(join_key(F.col("PMCID")).alias("_key"), "_ok")
+    right = arrived.select(join_key(request()).alias("_key"), "_ok")
     ok = F.coalesce(F.col("_ok"), F.lit(False))
     return (
-        targets.withColumn("_key", join_key(F.col("PMCID")))
+        targets.withColumn("_key", join_key(request()))
         .join(right, "_key", "left")
         .select(*TARGET_COLUMNS, F.when(ok, "saved").otherwise("failed").alias("status"))
     )

@@ -45,10 +45,11 @@ def extract_hits(captures: DataFrame, title_sep: str = "") -> DataFrame:
     ``title_sep`` joins the pieces of a title that holds markup.
     """
     blocks = F.split(M.clean_markup(F.col("html")), M.open_tag(*HIT_BLOCK))
-    cut = captures.select(
-        "run_id", "page_no", "page_id",
-        F.posexplode(F.slice(blocks, 2, F.size(blocks))).alias("pos", "block"),
+    # a piece ends with its own division: what follows the last hit is not part of it
+    own = F.transform(
+        F.slice(blocks, 2, F.size(blocks)), lambda b: F.regexp_extract(b, f"^({M.within('div')})", 1)
     )
+    cut = captures.select("run_id", "page_no", "page_id", F.posexplode(own).alias("pos", "block"))
     block = F.col("block")
     titles = M.all_inner(block, M.open_tag(*TITLE_LINK), M.until(r"</?(?i:a)(?=[\s/>])"))
     raw = cut.select(

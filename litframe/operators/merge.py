@@ -44,7 +44,9 @@ def last_per_key(
     An aggregate with map-side combine, so a key with very many copies (or no
     key at all) leaves each task as one row.
     """
-    last = F.max_by(F.struct(*columns), F.col(order)).alias("last")
+    # equal orders: the larger row; a row without an order counts only alone
+    order_of = F.struct(F.col(order).isNotNull(), F.col(order), F.xxhash64(*columns))
+    last = F.max_by(F.struct(*columns), order_of).alias("last")
     return rows.groupBy(*group, key).agg(last).select(*group, key, "last.*")
 
 
@@ -95,10 +97,10 @@ def mark_saved(publications: DataFrame, saved: DataFrame) -> DataFrame:
 
 def new_articles(details: DataFrame, publications: DataFrame) -> DataFrame:
     """Details of articles that no stored record names yet."""
-    # a NULL among the known keys drops details without a PMID in the join; as a
-    # filter on the left it would be pushed down and parse parts of pages twice
-    nothing = publications.sparkSession.range(1).select(F.lit(None).cast("string").alias("PMID"))
-    known = publications.select("PMID").unionByName(nothing).distinct()
+    # details without a PMID are dropped before the join, so they do not meet in a
+    # task; an array keeps that filter from being pushed into the parsing of pages
+    known = publications.select("PMID").distinct()
     right = known.select(join_key(F.col("PMID")).alias("_key"))
-    left = details.withColumn("_key", join_key(F.col("PMID")))
+    key = F.when(F.col("PMID").isNotNull(), join_key(F.col("PMID")))
+    left = details.withColumn("_key", F.explode(F.array_compact(F.array(key))))
     return left.join(right, "_key", "left_anti").drop("_key")

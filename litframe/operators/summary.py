@@ -10,15 +10,16 @@ def page_summary(captures: DataFrame, hits: DataFrame) -> DataFrame:
     """Per run and page: number of hits, and whether the capture failed.
 
     Both sides are reduced to one row per page before they meet; the page text
-    itself is never shuffled.
+    itself is never shuffled, nor read where captures hold a ``failed`` column.
+    Pages without a number are one row of their run, as are those without a run.
     """
     keys = ["run_id", "page_no"]
-    pages = captures.groupBy(*keys).agg(
-        F.count_if(F.col("html").isNull()).alias("pages_failed")
-    )
+    failed = F.col("failed") if "failed" in captures.columns else F.col("html").isNull()
+    pages = captures.groupBy(*keys).agg(F.count_if(failed).alias("pages_failed"))
     counts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("hits"))
-    return pages.join(counts, keys, "left").select(
-        *keys, F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), "pages_failed"
+    same = F.col("l.run_id").eqNullSafe(F.col("r.run_id")) & F.col("l.page_no").eqNullSafe(F.col("r.page_no"))
+    return pages.alias("l").join(counts.alias("r"), same, "left").select(
+        "l.run_id", "l.page_no", F.coalesce("r.hits", F.lit(0)).cast("long").alias("hits"), "l.pages_failed"
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,13 @@ from litframe import schemas as S
 from litframe.functions.text import WHITESPACE_CLASS, blank_to_null
 
 
+# everything that counts as numeric: by category, and the numerals among letters
+_NUMERALS = "".join(
+    c for c in map(chr, range(0x110000)) if c.isnumeric() and unicodedata.category(c)[0] != "N"
+)
+NUMERIC = rf"\A[\p{{N}}{_NUMERALS}]+\z"
+
+
 def valid_requests(requests: DataFrame) -> DataFrame:
     """Add ``valid`` and ``reason``; unset limits get their defaults.
 
@@ -18,7 +27,7 @@ def valid_requests(requests: DataFrame) -> DataFrame:
     keyword, year = F.col("keyword"), F.col("year")
     reason = (
         F.when(keyword.rlike(rf"\A{WHITESPACE_CLASS}+\z"), "whitespace")
-        .when(keyword.rlike(r"\A\p{N}+\z"), "numeric")
+        .when(keyword.rlike(NUMERIC), "numeric")
         .when(year.isNotNull() & ~year.isin(*S.YEAR_CHOICES), "year")
     )
     downloads = (

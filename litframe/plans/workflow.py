@@ -13,24 +13,31 @@ from litframe.sources.scratch import stage
 from litframe.sources.store import RunStore
 
 
-def search_run(store: RunStore, captures: DataFrame, run_id: str) -> None:
+def search_run(
+    store: RunStore, captures: DataFrame, run_id: str, partitions: int | None = None
+) -> None:
     """Captured search pages to stored hits of one run."""
-    pages = usable(with_page_no(with_run(spread_captures(captures), run_id)))
+    pages = usable(with_page_no(with_run(spread_captures(captures, partitions), run_id)))
     store.append_hits(extract_hits(pages))
 
 
-def enrich_run(store: RunStore, captures: DataFrame, run_id: str) -> None:
+def enrich_run(
+    store: RunStore, captures: DataFrame, run_id: str, partitions: int | None = None
+) -> None:
     """Captured article pages onto the stored hits of one run."""
-    details = flat_details(extract_details(spread_captures(captures)))
+    details = flat_details(extract_details(spread_captures(captures, partitions)))
     store.replace_run(merge.apply_details(store.publications(run_id), details))
 
 
 def plan_fulltexts(
     store: RunStore, files: DataFrame, run_id: str,
-    limit: int | None = S.DEFAULT_DOWNLOADS, directory: str = S.FULLTEXT_DIR,
+    limit: int | DataFrame | None = None, directory: str = S.FULLTEXT_DIR,
 ) -> DataFrame:
     """Record full texts that exist already; return the targets still to fetch.
 
+    ``limit`` is a number of targets, or a frame of run_id and download_limit (as
+    ``valid_requests`` gives it, with the run of each request); None plans all.
+
     The targets are staged: they stay the same while the fetch goes on and the
     store changes.
     """

@@ -33,22 +33,24 @@ def with_run(captures: DataFrame, run_id: str) -> DataFrame:
 
 
 def spread_captures(captures: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Even out captures that arrive in fewer splits than the cluster has cores.
+    """Deal captures out over ``partitions`` tasks; None leaves them as they are.
 
     Parsing costs far more than moving a page, and a Parquet row group can
-    hold thousands of pages that one task would parse alone. A table with
-    splits enough for all cores is left as it is and not shuffled. Takes a
-    plain scan, whose splits are known without running anything.
+    hold thousands of pages that one task would parse alone. Whether the input
+    comes in too few splits is for the caller to say. Rows are dealt in turn, so
+    no key decides how many a task gets.
     """
-    wanted = partitions or captures.sparkSession.sparkContext.defaultParallelism
-    if captures.rdd.getNumPartitions() >= wanted:
-        return captures
-    return captures.repartition(wanted, "page_id")
+    return captures if partitions is None else captures.repartition(partitions)
 
 
 def read_html_dir(spark: SparkSession, directory: str) -> DataFrame:
-    """Saved HTML files, one row per file: path and whole text."""
+    """Saved HTML files as captures, one row per file: page_id, path, url, html.
+
+    ``page_id`` is a hash of the path, so it stays the same; ``url`` is the path.
+    ``with_run`` and ``with_page_no`` make them search captures.
+    """
     files = spark.read.text(directory, wholetext=True)
+    path = F.col("_metadata.file_path")
     return files.select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")
+        F.xxhash64(path).alias("page_id"), path.alias("path"), path.alias("url"), F.col("value").alias("html")
     )

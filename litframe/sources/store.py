@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,14 @@ from litframe import schemas as S
 from litframe.operators.ordering import with_run_order
 from litframe.sources.scratch import staged
 
-_RUN_ID = re.compile(r"[0-9A-Za-z_-]+")
+_RUN_ID = "[0-9A-Za-z_-]+"
+#: Runs that one statement removes.
+DROPPED_AT_ONCE = 500
+
+
+def _literal(text: str) -> str:
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def run_id_of(moment: Column) -> Column:
@@ -73,22 +78,6 @@ def as_publications(hits: DataFrame) -> DataFrame:
     )
 
 
-@contextmanager
-def _dynamic_overwrite(spark: SparkSession):
-    """Overwrite only the partitions that are written.
-
-    Inserting into a table takes no such option, so the setting of the session
-    is changed for the time of the write.
-    """
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 class RunStore:
     """A managed Parquet table of ``PUBLICATION`` rows, partitioned by run_id."""
 
@@ -120,16 +109,21 @@ class RunStore:
     def runs(self) -> DataFrame:
         """Run names in order, from the catalog; no data file is opened."""
         parts = self.spark.sql(f"SHOW PARTITIONS {self.table}")
-        name = F.substring_index("partition", "=", -1).alias("run_id")
-        return parts.select(name).orderBy("run_id")
+        escaped = F.replace(F.substring("partition", len("run_id=") + 1, 1 << 30), F.lit("+"), F.lit("%2B"))
+        return parts.select(F.url_decode(escaped).alias("run_id")).orderBy("run_id")
 
     def _has(self, run_id: str) -> bool:
-        if not _RUN_ID.fullmatch(run_id):
-            raise ValueError(f"not a run name: {run_id!r}")
-        return not self.spark.sql(
-            f"SHOW PARTITIONS {self.table} PARTITION (run_id = '{run_id}')"
+        return run_id != "" and not self.spark.sql(
+            f"SHOW PARTITIONS {self.table} PARTITION (run_id = {_literal(run_id)})"
         ).isEmpty()
 
+    def _check_names(self, rows: DataFrame) -> None:
+        """Runs that are written must have plain names (``run_id_of`` makes them)."""
+        plain = F.coalesce(F.col("run_id").rlike(rf"\A{_RUN_ID}\z"), F.lit(False))
+        odd = rows.select("run_id").where(~plain).limit(1).collect()
+        if odd:
+            raise ValueError(f"not a run name: {odd[0].run_id!r}")
+
     def append_hits(self, hits: DataFrame) -> None:
         """Insert hits with ids 1..n per run; a run already stored raises.
 
@@ -137,8 +131,8 @@ class RunStore:
         counts need a pass of their own.
         """
         with staged(hits, "hits") as rows:
-            stored = self.publications().select("run_id").distinct()
-            again = rows.select("run_id").distinct().join(stored, "run_id", "left_semi")
+            self._check_names(rows)
+            again = rows.select("run_id").distinct().join(self.runs(), "run_id", "left_semi")
             if not again.isEmpty():
                 raise ValueError("a run can be inserted only once; replace_run changes it")
             self._write(as_publications(with_run_order(rows)), overwrite=False)
@@ -151,26 +145,39 @@ class RunStore:
         that breaks off can be done again from the staged copy.
         """
         with staged(publications.select(*S.PUBLICATION.names), "runs") as rows:
-            self._write(rows, overwrite=True)
+            self._check_names(rows)
+            # the setting holds in a session of its own: other writers keep theirs
+            own = self.spark.newSession()
+            own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            self._write(own.read.schema(rows.schema).parquet(*rows.inputFiles()), overwrite=True)
+        self.spark.catalog.refreshTable(self._qualified)
 
     def _write(self, rows: DataFrame, overwrite: bool) -> None:
         # a rebalance by run makes few files per run, and splits a run that
         # holds much of the table over many tasks
         even = rows.select(*S.PUBLICATION.names).hint("rebalance", "run_id")
-        with _dynamic_overwrite(self.spark):
-            even.write.insertInto(self.table, overwrite=overwrite)
+        even.write.insertInto(self._qualified, overwrite=overwrite)
+
+    @property
+    def _qualified(self) -> str:
+        """The table's name, valid in any session of the application."""
+        return self.table if "." in self.table else f"{self.spark.catalog.currentDatabase()}.{self.table}"
 
     def drop_run(self, run_id: str) -> bool:
         """Remove a run; tells whether it was there."""
         if not self._has(run_id):
             return False
-        self.spark.sql(f"ALTER TABLE {self.table} DROP PARTITION (run_id = '{run_id}')")
+        self._drop([run_id])
         return True
 
+    def _drop(self, run_ids: list[str]) -> None:
+        parts = ", ".join(f"PARTITION (run_id = {_literal(r)})" for r in run_ids)
+        self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS {parts}")
+
     def retain_runs(self, keep_last: int = 0) -> list[str]:
         """Remove all but the last ``keep_last`` runs; returns the removed names."""
         newest_first = self.runs().orderBy(F.desc("run_id"))
         old = [r.run_id for r in newest_first.offset(keep_last).toLocalIterator()]
-        for run_id in old:
-            self.drop_run(run_id)
+        for start in range(0, len(old), DROPPED_AT_ONCE):
+            self._drop(old[start : start + DROPPED_AT_ONCE])
         return old

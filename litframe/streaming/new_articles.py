@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from litframe.operators.details import extract_details, flat_details
 from litframe.operators.merge import last_per_key, new_articles
+from litframe.sources.scratch import exists, staged
 
 STREAM_CAPTURES = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
@@ -28,22 +31,31 @@ def start_feed(
 ) -> StreamingQuery:
     """Append details of articles not in ``known`` to Parquet at ``path``, each once.
 
-    What was fed before is looked up in the output itself, so there is no state
-    that grows or expires, and copies of one article are reduced to the last
-    one before they are shuffled. Each batch goes to a folder named after it and
-    replaces that folder when it is run again, so a restart leaves no rows twice.
-    ``path`` and ``checkpoint`` must be in folders all executors share.
+    What was fed before, by this feed or others with the same ``path``, is looked
+    up in the output itself, so there is no state that grows or expires; of it and
+    of ``known`` only articles of the batch are shuffled. Copies of one article
+    are reduced to the last one first. Each batch goes to a folder named after
+    the feed and the batch and replaces that folder when it is run again, so a
+    restart leaves no rows twice and no feed touches what another wrote. One feed
+    at a time may write to a ``path``. ``path`` and ``checkpoint`` must be in
+    folders all executors share.
     """
     details = flat_details(extract_details(captures))
     names = [c for c in details.columns if c != "PMID"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        seen = known.select("PMID")
-        if batch_id > 0:
-            fed = batch.sparkSession.read.schema("PMID string, batch long").parquet(path)
-            seen = seen.unionByName(fed.where(fed.batch < batch_id).select("PMID"))
-        fresh = new_articles(last_per_key(batch, "PMID", "page_id", *names), seen)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        # the id that the checkpoint gave this feed
+        feed = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+        with staged(last_per_key(batch, "PMID", "page_id", *names), "batch") as latest:
+            seen = known.select("PMID")
+            if exists(spark, path):
+                fed = spark.read.schema("PMID string, feed string, batch long").parquet(path)
+                own = (fed.feed == feed) & (fed.batch >= batch_id)
+                seen = seen.unionByName(fed.where(~own).select("PMID"))
+            seen = seen.join(latest.select("PMID"), "PMID", "left_semi")
+            fresh = new_articles(latest, seen)
+            fresh.write.mode("overwrite").parquet(f"{path}/feed={feed}/batch={batch_id}")
 
     return (
         details.writeStream.foreachBatch(write)

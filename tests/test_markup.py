@@ -392,3 +392,38 @@ def test_long_and_broken_markup_ends_soon(spark):
     texts = [abstract_page(f"<p>{t}</p>", f"<p>{t}</p>") for t in (deep, wide, torn)]
     texts.append('<div class="expanded-authors">' + f'<li data-affiliation-id="1">{torn}')
     assert extract_details(article(spark, *texts)).count() == 4
+
+
+# ---- depth and block ends ------------------------------------------------------
+
+
+@pytest.mark.parametrize("deep", [1, 7, 50, 90])
+def test_fields_behind_deep_markup(spark, deep):
+    nest = "<i>" * deep + "no" + "</i>" * deep
+    page = hit("T", f'<span class="docsum-pmid">{nest}5</span><span class="docsum-authors full-authors">{nest}A</span>')
+    row = extract_hits(search(spark, page)).first()
+    assert (row.PMID, row.full_author) == ("5", "A")
+    ids = (f'<ul id="full-view-identifiers"><li><ul><li>x</li></ul></li><strong class="current-id">{nest}9</strong>'
+           f'<span class="identifier doi">{nest}<a class="id-link">{nest}10.1/x</a></span></ul>')
+    row = extract_details(article(spark, ids)).first()
+    assert (row.PMID, row.doi) == ("9", "10.1/x")
+
+
+def test_blocks_end_with_their_own_element(spark):
+    after = '<div><span class="docsum-pmid">999</span><span class="publication-type spaced-citation-item citation-part">Review.</span></div>'
+    row = extract_hits(search(spark, hit("T", "<div><p>open</div>") + after)).first()
+    assert (row.PMID, row.reviewmark) == ("", False)
+    head = '<p><strong class="sub-title">{}:</strong> {}</p>'
+    page = abstract_page(
+        head.format("Results", "own"), plain="<div><p>note</p></div><p>plain<p>open"
+    ).replace("</main>", head.format("Results", "foreign") + "</main>")
+    page += '<div class="expanded-authors"><ul><li data-affiliation-id="1">A</li></ul></div><ul><li data-affiliation-id="2">B</li></ul>'
+    row = extract_details(article(spark, page)).first()
+    assert row.abstract.results == "Results: own" and row.abstract.abstract == "plain"
+    assert row.affiliations == ["1.A"]
+
+
+def test_entities_of_any_length(spark):
+    given = ["&#00000065;", "&#x0000041;", "&apos;", "&#" + "9" * 40 + ";", "&#x" + "f" * 40 + ";", "&#x110000;"]
+    want = ["A", "A", "'", *given[3:]]
+    assert column(spark, given, X.decode_entities) == want

@@ -207,3 +207,43 @@ def test_details_are_parsed_once(spark):
     merged = merge.merge_details(hot_hits(spark, 10), flat_details(extract_details(pages)))
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(html") == 1
+
+
+OUTCOME = "run_id string, id long, PMCID string, PMID string, doctitle string, savepath string, url string"
+
+
+def test_an_outcome_belongs_to_its_own_request(spark):
+    targets = spark.createDataFrame(
+        [("r1", 1, "P1", "1", "a", "/d/a.pdf", "u"), ("r1", 2, "P1", "1", "b", "/d/b.pdf", "u"),
+         ("r2", 1, "P1", "1", "a", "/d/a.pdf", "u")], OUTCOME)
+    by_path = spark.createDataFrame(
+        [("r1", "P1", "/d/a.pdf", bytearray(b"x")), ("r1", "P1", "/d/b.pdf", None), ("r2", "P1", "/d/a.pdf", None)],
+        "run_id string, PMCID string, savepath string, content binary")
+    by_id = spark.createDataFrame(
+        [("r1", 1, bytearray(b"x")), ("r1", 2, None)], "run_id string, id long, content binary")
+    for fetched in (by_path, by_id):
+        got = {(r.run_id, r.id): r.status for r in fulltext.fetch_outcomes(targets, fetched).collect()}
+        assert got == {("r1", 1): "saved", ("r1", 2): "failed", ("r2", 1): "failed"}
+    plain = spark.createDataFrame([("P1", bytearray(b"x"))], "PMCID string, content binary")
+    assert {r.status for r in fulltext.fetch_outcomes(targets, plain).collect()} == {"saved"}
+
+
+def test_limits_hold_for_each_run(spark):
+    rows = [(run, i * 7, f"P{i}", "1", f"{run}{i}", f"/d/{run}{i}.pdf", "u") for run in "abc" for i in range(9)]
+    paths = spark.createDataFrame(rows, OUTCOME)
+    files = spark.createDataFrame([("/d/a0.pdf", 1)], "path string, length long")
+    got = fulltext.fulltext_targets(paths, files, limit=2)
+    assert sorted((r.run_id, r.id) for r in got.collect()) == [("a", 7), ("a", 14), ("b", 0), ("b", 7), ("c", 0), ("c", 7)]
+    limits = spark.createDataFrame([("a", 1), ("b", None)], "run_id string, download_limit int")
+    got = fulltext.fulltext_targets(paths, files, limit=limits).groupBy("run_id").count().collect()
+    assert {r.run_id: r["count"] for r in got} == {"a": 1, "b": 9, "c": 9}
+
+
+def test_equal_captures_are_told_apart_by_their_values(spark):
+    details = [detail(1, "7", "x"), detail(1, "7", "y"), (None, "7", None, None, None, None, None)]
+    found = hits(spark, [("r", 1, 1, 1, 1, "7")])
+    got = {
+        merge.merge_details(found, spark.createDataFrame(rows, DETAIL)).first().doi
+        for rows in (details, details[::-1], [details[2], *details[:2]])
+    }
+    assert len(got) == 1 and got <= {"dx", "dy"}

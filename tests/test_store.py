@@ -89,9 +89,39 @@ def test_staged_copies_go_away_unless_the_write_fails(spark, tmp_path):
     assert kept in caught.value.__notes__[0]
 
 
-def test_run_names_are_checked(store):
+@pytest.mark.parametrize("name", ["x' OR '1'='1", "2024:x", "a b", ""])
+def test_run_names_are_checked_where_they_are_written(spark, store, name):
+    hits = extract_hits(search_captures(spark, name, search_page(1)))
     with pytest.raises(ValueError):
-        store.drop_run("x' OR '1'='1")
+        store.append_hits(hits)
+    assert store.drop_run(name) is False
+    assert store.publications().isEmpty()
+
+
+def test_names_that_others_wrote_are_listed_and_dropped(spark, store):
+    store.append_hits(extract_hits(search_captures(spark, "r1", search_page(1))))
+    odd = store.publications().withColumn("run_id", F.lit("2024:x'y"))
+    odd.write.insertInto(store.table)
+    assert [r.run_id for r in store.runs().collect()] == ["2024:x'y", "r1"]
+    assert store.retain_runs(keep_last=1) == ["2024:x'y"]
+
+
+def test_an_append_reads_no_stored_file(spark, store):
+    store.append_hits(extract_hits(search_captures(spark, "r1", search_page(1))))
+    for path in store.publications().inputFiles():
+        open(path.removeprefix("file://"), "wb").close()  # no footer left to read
+    store.append_hits(extract_hits(search_captures(spark, "r2", search_page(2))))
+    assert rows(store.publications("r2"), "PMID") == [("2",)]
+
+
+def test_replacing_a_run_leaves_the_session_alone(spark, store):
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(key)
+    for run in ("r1", "r2"):
+        store.append_hits(extract_hits(search_captures(spark, run, search_page(1))))
+    store.replace_run(store.publications("r1"))
+    assert spark.conf.get(key) == before
+    assert rows(store.publications(), "run_id") == [("r1",), ("r2",)]
 
 
 def test_replace_run_changes_that_run_alone_and_twice_is_once(spark, store):
@@ -216,6 +246,12 @@ def test_html_files(spark, tmp_path):
     (tmp_path / "p.html").write_text("<p>\nx</p>\n", encoding="utf-8")
     row = captures.read_html_dir(spark, str(tmp_path)).first()
     assert row.html == "<p>\nx</p>\n" and row.path.endswith("/p.html")
+    (tmp_path / "s.html").write_text(search_page(7), encoding="utf-8")
+    saved = captures.with_page_no(captures.with_run(captures.read_html_dir(spark, str(tmp_path)), "r"))
+    assert rows(extract_hits(saved), "run_id", "PMID") == [("r", "7")]
+    (tmp_path / "a.html").write_text(article_page(8), encoding="utf-8")
+    details = flat_details(extract_details(captures.read_html_dir(spark, str(tmp_path))))
+    assert "8" in [r.PMID for r in details.collect()]
 
 
 def test_stored_fulltexts(spark, tmp_path):
@@ -237,9 +273,8 @@ def test_read_captures(spark, tmp_path):
     frame.write.parquet(path)
     got = captures.read_captures(spark, path)
     assert rows(got, "page_id", "page_no") == [(1, 12), (2, None)]
-    splits = got.rdd.getNumPartitions()
-    assert captures.spread_captures(got, splits) is got
-    assert captures.spread_captures(got, splits + 7).rdd.getNumPartitions() == splits + 7
+    assert captures.spread_captures(got) is got
+    assert captures.spread_captures(got, 7).rdd.getNumPartitions() == 7
 
 
 def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
@@ -254,12 +289,14 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
         def __init__(self, **values):
             self.conf = Conf({k.replace("__", "."): v for k, v in values.items()})
 
-    with pytest.raises(RuntimeError):
-        scratch.scratch_dir(Session(spark__master="spark://x:1"), "a")
+    for master in ("spark://x:1", "local[2]"):
+        with pytest.raises(RuntimeError):
+            scratch.scratch_dir(Session(spark__master=master), "a")
     named = scratch.scratch_dir(
         Session(spark__master="spark://x:1", spark__checkpoint__dir="hdfs://h/c/"), "a")
     assert named.startswith("hdfs://h/c/litframe-a-")
-    assert scratch.scratch_dir(Session(spark__master="local[2]"), "a")
+    shared = scratch.scratch_dir(Session(spark__sql__warehouse__dir="hdfs://h/w"), "a")
+    assert shared.startswith("hdfs://h/w/_scratch/litframe-a-")
 
 
 # ---- the whole of a run --------------------------------------------------------
@@ -314,3 +351,8 @@ def test_feed(spark, tmp_path):
     got = run(files_per_trigger=1)
     assert [p for p, _ in got] == ["2", "3", "4"] and got[0] == ("2", 3)
     assert run() == got
+    # a second feed into the same folder adds to it and repeats nothing
+    stream = feed.read_capture_stream(spark, f"{tmp_path}/in/*")
+    arrive(5, (9, 4), (10, 5))
+    feed.start_feed(stream, known, f"{tmp_path}/out", f"{tmp_path}/other").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out"), "PMID", "page_id") == [*got, ("5", 10)]
