@@ -44,7 +44,9 @@ PAGE_SELECTORS = (
     Selector("heading", "h1"),
     Selector("links", "a", get="@href", within=("nav",), first=False),
     Selector("ad", "div", "class", "ad"),
+    Selector("article", "article", get="all_text"),
 )
+FLAT = ("page_id", "PMID", "PMCID", "doi", "abstract", "affiliations", "keyword", "full_text_link")
 LAST_RUNS = 2
 TOP_TARGETS = 10
 
@@ -102,12 +104,12 @@ def q_src_captures_search(spark, sf_dir):
     """Search captures that hold no page number: it comes from the address."""
     found = I.search_captures(spark, sf_dir).drop("page_no")
     return captures.usable(captures.with_page_no(found)).select(
-        "run_id", "page_no", "page_id", "url"
+        "run_id", "page_no", "page_id", "url", "html"
     )
 
 
 def q_src_captures_detail(spark, sf_dir):
-    return captures.usable(I.article_captures(spark, sf_dir)).select("page_id", "url")
+    return captures.usable(I.article_captures(spark, sf_dir)).select("page_id", "url", "html")
 
 
 def q_src_html_files(spark, sf_dir):
@@ -140,6 +142,14 @@ def q_list_runs(spark, sf_dir):
 
 
 def q_saved_files(spark, sf_dir):
+    """Lengths of the files of a folder that holds a file for each content."""
+    folder = scratch_dir(spark, "files")
+    contents = I.fetched(_targets(spark, sf_dir)).where("content is not null")
+    contents.select(F.decode("content", "UTF-8").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return files.saved_files(spark, folder, "*.txt").select("length")
+
+
+def q_stored_files(spark, sf_dir):
     folder = scratch_dir(spark, "fulltext")
     files.store_fulltext(I.fetched(_targets(spark, sf_dir)), folder)
     return files.stored_files(spark, folder)
@@ -252,20 +262,22 @@ def q_fulltext_targets_limit(spark, sf_dir):
 def q_new_articles(spark, sf_dir):
     """Captured articles that no stored run names."""
     details = flat_details(_details(spark, sf_dir))
-    return merge.new_articles(details, I.publications(spark, sf_dir)).select(
-        "page_id", "PMID", "PMCID", "doi"
-    )
+    return merge.new_articles(details, I.publications(spark, sf_dir)).select(*FLAT)
 
 
 def q_new_articles_feed(spark, sf_dir):
-    """The same as a stream over a folder of captures, each article once."""
+    """The same as a stream: first captures come before second ones, in two runs of
+    the feed, and each article is fed once."""
     folder = scratch_dir(spark, "feed")
-    I.article_captures(spark, sf_dir).write.parquet(f"{folder}/captures")
-    pages = feed.read_capture_stream(spark, f"{folder}/captures")
-    feed.start_feed(
-        pages, I.publications(spark, sf_dir), f"{folder}/new", f"{folder}/checkpoint"
-    ).awaitTermination()
-    return spark.read.parquet(f"{folder}/new").select("PMID", "PMCID")
+    pages = feed.read_capture_stream(spark, f"{folder}/captures/*")
+    first = F.col("page_id") < I.SECOND_CAPTURE
+    for name, part in (("a", first), ("b", ~first)):
+        arrived = I.article_captures(spark, sf_dir).where(part)
+        captures.spread_captures(arrived, I.SPREAD).write.parquet(f"{folder}/captures/{name}")
+        feed.start_feed(
+            pages, I.publications(spark, sf_dir), f"{folder}/new", f"{folder}/checkpoint"
+        ).awaitTermination()
+    return spark.read.parquet(f"{folder}/new").select(*FLAT)
 
 
 # ---- filters, paths, outcomes, order -----------------------------------------
@@ -388,10 +400,7 @@ def q_write_mode(spark, sf_dir):
         exports.write_report(I.publications(spark, sf_dir), folder, override=override)
     return spark.read.csv(
         folder, header=True, multiLine=True, escape='"', emptyValue="", nullValue="\0",
-    ).select(
-        F.col(S.REPORT_HEADINGS["PMID"]).alias("PMID"),
-        F.col(S.REPORT_HEADINGS["doctitle"]).alias("doctitle"),
-        F.coalesce(S.REPORT_HEADINGS["abstract"], F.lit("")).alias("abstract"),
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 
 
@@ -403,6 +412,26 @@ def q_drop_run(spark, sf_dir):
     return runs.publications().select("run_id", "id", "PMID")
 
 
+def q_retain_runs_store(spark, sf_dir):
+    """The same on a stored table, whose older runs are dropped."""
+    runs = _new_store(spark, "retain")
+    runs.replace_run(I.publications(spark, sf_dir))
+    runs.retain_runs(keep_last=LAST_RUNS)
+    return runs.publications().select("run_id", "id", "PMID")
+
+
+def q_store_keys(spark, sf_dir):
+    runs = _new_store(spark, "keys")
+    runs.replace_run(I.publications(spark, sf_dir))
+    return runs.keys()
+
+
+def q_store_runs(spark, sf_dir):
+    runs = _new_store(spark, "runs")
+    runs.replace_run(I.publications(spark, sf_dir))
+    return runs.runs()
+
+
 def q_retain_runs(spark, sf_dir):
     """Records of the last two runs."""
     kept = store.retain_runs(I.publications(spark, sf_dir), keep_last=LAST_RUNS)
@@ -425,6 +454,10 @@ def own_oracle_sql() -> dict[str, str]:
         ("cast(reviewmark as integer)" if name == "reviewmark" else name) + f' as "{heading}"'
         for name, heading in S.REPORT_HEADINGS.items()
     )
+    texts = ", ".join(
+        f'cast({"cast(reviewmark as integer)" if name == "reviewmark" else name} as varchar) as "{heading}"'
+        for name, heading in S.REPORT_HEADINGS.items()
+    )
     record = ", ".join(f"{column} as {key}" for key, column in S.RECORD_KEYS.items())
     line = (
         "doctitle || ' ' || short_author || ' ' || full_author || ' ' || short_journal || ' ' "
@@ -461,15 +494,13 @@ def own_oracle_sql() -> dict[str, str]:
     )
     return {
         "src_captures": "select page_id, url, html from pages where html is not null",
-        "src_captures_search": of(
-            E.PAGES,
-            "select run_id, page_no, page_id, 'https://example.org/?term=' || run_id "
-            "|| '&size=50&page=' || cast(page_no as varchar) as url from pages_made where high >= 45",
+        "src_captures_search": (
+            "select run_id, page_no, page_id, url, html from "
+            f"({E.rendered(I.SEARCH_SQL)}) where html is not null"
         ),
-        "src_captures_detail": of(
-            E.DETAILS,
-            "select page_id, 'https://example.org/' || cast(p_partkey as varchar) as url "
-            "from captured",
+        "src_captures_detail": (
+            "select page_id, url, html from "
+            f"({E.rendered(I.ARTICLE_SQL.replace('{second}', str(I.SECOND_CAPTURE)))}) where html is not null"
         ),
         "src_html_files": "select html || chr(10) as html from pages",
         "scan_publications": of(E.PUBLICATIONS, f"select {cols}, run_id from publications"),
@@ -481,6 +512,9 @@ def own_oracle_sql() -> dict[str, str]:
         ),
         "list_runs": of(E.HITS, "select distinct run_id from numbered order by run_id"),
         "saved_files": of(
+            E.FULLTEXT, f"select cast(length(url) + 1 as bigint) as length from ({fetched})"
+        ),
+        "stored_files": of(
             E.FULLTEXT,
             f"select savepath as path, cast(length(url) as bigint) as length from ({fetched})",
         ),
@@ -534,7 +568,11 @@ def own_oracle_sql() -> dict[str, str]:
             )
             + " as links, "
             + decoded.format(f"regexp_extract({plain_html}, '<div class=\"ad\">([^<]+)', 1)")
-            + " as ad from pages"
+            + " as ad, "
+            + "array_to_string([t for t in [trim(" + decoded.format("x") + ", " + E.SPACE + ") for x in "
+            + "regexp_split_to_array(regexp_extract(regexp_replace(" + plain_html
+            + ", '(?s)<(script|style)[^>]*>.*?</(script|style)>', '<x>', 'g'), "
+            + "'(?s)<article>(.*?)</article>', 1), '<[^>]*>')] if t <> ''], ' ') as article from pages"
         ),
         "merge_details": of(E.PUBLICATIONS, f"select {cols}, run_id from publications"),
         "apply_details": of(E.PUBLICATIONS, f"select {cols}, run_id from publications"),
@@ -553,12 +591,13 @@ def own_oracle_sql() -> dict[str, str]:
         ),
         "new_articles": of(
             E.PUBLICATIONS,
-            "select page_id, PMID, PMCID, doi from flat where PMID is not null "
+            f"select {', '.join(FLAT)} from flat where PMID is not null "
             "and PMID not in (select PMID from publications)",
         ),
         "new_articles_feed": of(
             E.PUBLICATIONS,
-            "select PMID, PMCID from latest where PMID not in (select PMID from publications)",
+            f"select {', '.join(FLAT)} from flat where PMID is not null "
+            f"and page_id < {I.SECOND_CAPTURE} and PMID not in (select PMID from publications)",
         ),
         "has_detail": of(
             E.PUBLICATIONS,
@@ -614,14 +653,18 @@ def own_oracle_sql() -> dict[str, str]:
             f"select {report} from publications "
             "where run_id = (select max(run_id) from publications)",
         ),
-        "write_mode": of(
-            E.PUBLICATIONS,
-            "select PMID, doctitle, coalesce(abstract, '') as abstract from publications",
-        ),
+        "write_mode": of(E.PUBLICATIONS, f"select {texts} from publications"),
         "drop_run": of(
             E.HITS,
             "select run_id, id, PMID from numbered where run_id <> (select min(run_id) from numbered)",
         ),
+        "retain_runs_store": of(
+            E.HITS,
+            "select run_id, id, PMID from numbered where run_id in "
+            f"(select distinct run_id from numbered order by run_id desc limit {LAST_RUNS})",
+        ),
+        "store_keys": of(E.PUBLICATIONS, "select run_id, PMCID, PMID, doctitle from publications"),
+        "store_runs": of(E.HITS, "select distinct run_id from numbered"),
         "retain_runs": of(
             E.HITS,
             "select run_id, id, PMID from numbered where run_id in "

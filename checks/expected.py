@@ -16,6 +16,20 @@ PLAIN = (
     "trim(regexp_replace(coalesce(text, 'none'), '\\s{2,}', ' ', 'g'), " + SPACE + ")"
 )
 
+def rendered(sql: str) -> str:
+    """The rendering of captures in DuckDB's dialect."""
+    for spark, duck in (
+        ("\\'", "''"), ("p_partkey div ", "p_partkey // "),
+        ("format_number(n * 1000 + page_no, 0)", "format('{:,}', n * 1000 + page_no)"),
+        (
+            "array_join(transform(array_sort(collect_list(struct(p_partkey, block))), b -> b.block), '\n')",
+            "string_agg(block, chr(10) order by p_partkey)",
+        ),
+    ):
+        sql = sql.replace(spark, duck)
+    return sql
+
+
 PAGES = f"""
 parts as (
   select *, {RUN} as run_id, cast(p_partkey // 50 + 1 as integer) as page_no,

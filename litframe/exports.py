@@ -44,9 +44,14 @@ def report(publications: DataFrame) -> DataFrame:
 
 
 def write_report(publications: DataFrame, path: str, override: bool = False) -> None:
-    """Write the report as CSV with a heading line, quoted so texts may hold newlines."""
+    """Write the report as CSV with a heading line.
+
+    Texts that need it are quoted and may hold newlines; a missing value is an empty
+    field, an empty text a quoted one.
+    """
     report(publications).write.mode(write_mode(override)).csv(
-        path, header=True, quoteAll=True, escape='"'
+        path, header=True, escape='"', nullValue="", emptyValue='""',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 
 
