@@ -143,7 +143,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame, weights: np.ndarray, id_col:
                 bucket, of = grams(data, offsets)
                 sums = np.bincount(of, sent.value[good[row:end][of], bucket], end - row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[row:end], pa.array(np.round(sums, 6))], ["doc_id", "log_ratio"]
+                    [batch.column(0)[row:end], pa.array(np.round(sums, 6).astype(np.float64))], ["doc_id", "log_ratio"]
                 )
 
     rows = _marked(docs, sample, id_col, text_col).select("fit_id", "text", "good")

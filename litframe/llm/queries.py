@@ -97,7 +97,6 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
-        F.to_json("spans").alias("spans"),
     )
 
 
@@ -106,8 +105,72 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return named | {"pipeline": corpus_pipeline.run}
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that it can express on the small tables."""
+    alnum = f"regexp_extract_all({LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
     return {
+        "op3_ngram_join": f"""
+            with recursive words as (
+              select doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+            sets as (
+              select distinct doc_id, array_to_string(w[i : i + 2], ' ') as gram
+              from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) as i from words)),
+            sizes as (select doc_id, count(*) as n from sets group by doc_id),
+            shared as (
+              select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b
+              on a.gram = b.gram and a.doc_id <> b.doc_id group by all),
+            links as (
+              select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+              where 100 * c >= 90 * (x.n + y.n - c)),
+            reached as (
+              select doc_id as a, doc_id as b from documents
+              union select r.a, l.b from reached r join links l on r.b = l.a),
+            least as (select a, min(b) as component_id from reached group by a)
+            select doc_id, coalesce(n, 0) as n_shingles, component_id
+            from documents left join sizes using (doc_id) join least on a = doc_id""",
+        "op8_chat_snapshots": """
+            with turns as (
+              select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as place
+              from conversations),
+            logs as (select conv_id, list({'role': role, 'text': text} order by place) as log from turns group by conv_id),
+            kept as (
+              select min(conv_id) as conv_id, log from logs a
+              where not exists (from logs b where len(b.log) > len(a.log) and b.log[1 : len(a.log)] = a.log)
+              group by log),
+            pieces as (
+              select conv_id, len(log) as turns, place,
+                '<|im_start|>' || regexp_replace(role, '[<|>\\s]+', '_', 'g') || chr(10)
+                || regexp_replace(text, '<\\|(im_start|im_end)\\|>', '< |\\1| >', 'g') || '<|im_end|>' || chr(10) as piece
+              from kept join turns using (conv_id))
+            select conv_id, turns, place // 64 as part, min(place) as first_turn,
+              string_agg(piece, '' order by place) as text
+            from pieces group by conv_id, turns, place // 64""",
+        "op10_fm_decontamination": f"""
+            with docs as (select doc_id, {alnum} as w from documents),
+            items as (select cast(item_id as varchar) as item, {alnum} as w from benchmark),
+            windows as (
+              select distinct item, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+              from (select item, w, least(len(w), 13) as k, unnest(range(1, len(w) - least(len(w), 13) + 2)) as i
+                from items where len(w) > 0)),
+            places as (
+              select doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') as phrase
+              from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i
+                from docs, (select distinct k from windows))),
+            found as (select doc_id, i, k, item from places join windows using (k, phrase)),
+            hit as (
+              select doc_id, count(distinct pos) as n_hit
+              from (select doc_id, unnest(range(i, i + k)) as pos from found) group by doc_id),
+            named as (
+              select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+              from (select distinct doc_id, item from found) group by doc_id)
+            select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+              sha256(coalesce(items, '')) as items_sha256,
+              coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+            from docs left join hit using (doc_id) left join named using (doc_id)""",
         "op1_exact_dedup": """
             select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
               doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
