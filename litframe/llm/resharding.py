@@ -24,6 +24,8 @@ from litframe.llm.frames import empty_text, packed, stage
 
 #: Hash buckets inside a size, the finest place of a cut.
 BUCKETS = 1 << 16
+#: Cuts fall between documents; a second round evens out what the first is off by.
+ROUNDS = 2
 #: Rows whose slots are counted together.
 SLOT_ROWS = 20_000
 #: Bytes that a document takes besides its text.
@@ -130,7 +132,7 @@ def _target(cuts: list[Cut], old: Column, size: Column, bucket: Column) -> Colum
 
 @dataclass(frozen=True)
 class Resharded:
-    """The new layout: rows with ``shard`` and ``slot``, and what was moved."""
+    """The new layout: rows with ``shard`` and ``slot``, and the transfers planned."""
 
     rows: DataFrame
     moves: list[tuple[int, int, int]]
@@ -162,8 +164,12 @@ def reshard(
         docs, ("shard", "slot"), old=old_shard.cast("int"), size=size, bucket=_bucket(F.col(id_col), size),
         id=F.col(id_col), text_hash=F.xxhash64(text_col),
     )
-    moves, cuts = plan(rows.select("old", "size", "bucket"), shards, capacity)
-    placed = rows.withColumn("shard", _target(cuts, F.col("old"), F.col("size"), F.col("bucket")))
+    placed, moves = rows.withColumn("shard", F.col("old")), []
+    for _ in range(ROUNDS):
+        now = placed.select(F.col("shard").alias("old"), "size", "bucket")
+        more, cuts = plan(now, shards, capacity)
+        placed = placed.withColumn("shard", _target(cuts, F.col("shard"), F.col("size"), F.col("bucket")))
+        moves += more if not moves else [m for m in more if m[0] != m[1]]
     # slots: rows of a shard are counted by blocks, blocks by shard
     per_shard = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per shard
     blocks = max([1, *(-(-r["n"] // SLOT_ROWS) for r in per_shard)])
