@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import io
 import zipfile
 from pathlib import Path
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from litframe.sources.scratch import scratch_dir, stage
 
-__all__ = ["stage", "table", "empty_text", "packed", "ship"]
+__all__ = ["stage", "table", "empty_text", "packed", "release", "ship"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -39,6 +40,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nobody holds any more.
+
+    It does so when the driver's garbage is collected, which may be late; between
+    steps that shuffle much this keeps disks from filling up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def packed(docs: DataFrame, added: tuple[str, ...] = (), **columns: Column) -> DataFrame:
     """All columns of ``docs`` as one struct ``row``, and the given ones beside it.
 

@@ -20,9 +20,11 @@ the entries that replace it.
 Sets under one index entry form a star around the smallest of them. Sets are
 compared with their stars' centres first; linked ones are joined into components.
 Only stars that then hold several components are compared throughout, in blocks
-of bounded size, where blocks of the same component are left out. All
-comparisons are of whole sets. N-grams are 64-bit hashes, and equal sets are
-recognised by a 64-bit hash of theirs.
+of bounded size, where blocks of the same component are left out. Before whole
+sets travel, 2048 parity bits of each are compared: an element that only one of
+two sets has flips one bit at most, so sets with more differing bits than they may
+have differences are not similar. All other comparisons are of whole sets.
+N-grams are 64-bit hashes, and equal sets are recognised by a 64-bit hash of theirs.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from pyspark.sql import functions as F
 
 from litframe.llm import words as W
 from litframe.llm.components import components
-from litframe.llm.frames import empty_text, packed, ship, stage
+from litframe.llm.frames import empty_text, packed, release, ship, stage
+from litframe.sources.scratch import remove, scratch_dir
 
 #: Largest by smallest size of a band.
 BAND = 1.5
@@ -47,6 +50,8 @@ SPARE = 100
 #: Sets of a star that are compared at once, and n-grams of these.
 BLOCK_SETS = 512
 BLOCK_GRAMS = 1 << 20
+#: Parity bits of a set.
+PARITY = 2048
 
 U64 = np.uint64
 
@@ -220,12 +225,60 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             own = set_hash(grams, begins)
             wanted = batch.column(0)[row:end].to_numpy()
             at = np.flatnonzero(own == wanted)
-            raw = [grams[begins[i] : begins[i + 1]].tobytes() for i in at]
+            sets = [grams[begins[i] : begins[i + 1]] for i in at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[at]), pa.array(np.diff(begins)[at]), pa.array(raw, pa.binary())], ["cls", "size", "grams"]
+                [
+                    pa.array(own[at]), pa.array(np.diff(begins)[at]),
+                    pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_parity(s) for s in sets], pa.binary()),
+                ],
+                ["cls", "size", "grams", "parity"],
             )
 
 
+def _parity(grams: np.ndarray) -> bytes:
+    bits = (W.mix(grams, 12) % U64(PARITY)).astype(np.int64)
+    return np.packbits(np.bincount(bits, minlength=PARITY) & 1).tobytes()
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    """Parity bits as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(len(column), PARITY // 64)
+
+
+def _may_link(apart: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of so many elements in sum may differ in so many and be similar."""
+    return apart * (100 + percent) <= both * (100 - percent)
+
+
+def _near_centre(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``cls, centre`` whose parity bits let them be similar."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        apart = np.bitwise_count(_bits(batch.column(4)) ^ _bits(batch.column(5))).sum(1, dtype=np.int64)
+        both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        good = pa.array(_may_link(apart, both, percent))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["cls", "centre"])
+
+
+def _active(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Members of two blocks of a star that may link with another component's."""
+    for (centre, i, j), rows in _units(batches, 3):
+        side, cls, comp, size = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        bits = np.frombuffer(b"".join(r[4] for r in rows), U64).reshape(len(rows), PARITY // 64)
+        found = np.zeros(len(rows), bool)
+        right = np.flatnonzero(side == 1) if i != j else np.arange(len(rows))
+        for k in np.flatnonzero(side == 0):
+            apart = np.bitwise_count(bits[right] ^ bits[k]).sum(1, dtype=np.int64)
+            good = _may_link(apart, size[right] + size[k], percent) & (comp[right] != comp[k])
+            if good.any():
+                found[k] = True
+                found[right[good]] = True
+        at = np.flatnonzero(found)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([centre] * len(at), pa.int64()), pa.array(cls[at])], ["centre", "cls"])
+
+
 def _deleted(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
     """One-deletion entries of sets in place of their costly values."""
     for batch in batches:
@@ -305,9 +358,28 @@ def _throughout(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         good = _similar(shared.astype(np.int64), size[:, None], size[None, :], percent)
         good &= comp[:, None] != comp[None, :]
         good &= (side[:, None] < side[None, :]) if i != j else np.triu(np.ones_like(good), 1)
-        a, b = np.nonzero(good)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(cls[a]), pa.array(cls[b])], ["a", "b"])
+        joined = _joining(*np.nonzero(good), comp)
+        if joined:
+            yield pa.RecordBatch.from_arrays([pa.array(cls[list(x)]) for x in zip(*joined)], ["a", "b"])
+
+
+def _joining(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links only those that join components which others have not."""
+    root = {c: c for c in comp.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    made = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = find(int(comp[i])), find(int(comp[j]))
+        if x != y:
+            root[x] = y
+            made.append((i, j))
+    return made
 
 
 def similar_groups(
@@ -334,16 +406,20 @@ def similar_groups(
     ship(spark)
     bands = Bands(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_text(text_col).alias("text"))
-    kept = stage(
-        rows.mapInArrow(
-            lambda b: _indexed(b, bands, n),
-            "doc_id long, size long, cls long, entries array<long>, near array<long>, centre array<long>",
-        ),
-        "sets",
-    )
-    stars = _all_stars(kept)
+    path = scratch_dir(spark, "sets")
+    schema = "doc_id long, size long, cls long, entries array<long>, near array<long>, centre array<long>"
+    rows.mapInArrow(lambda b: _indexed(b, bands, n), schema).write.parquet(path)
+    indexed = spark.read.schema(schema).parquet(path)
+    stars = _all_stars(indexed)
+    some = F.size("entries") + F.size("near") > 0
+    kept = stage(indexed.select("doc_id", "size", "cls", some.alias("indexed")), "classes")
+    del indexed
+    remove(spark, path)  # stars and classes hold all that is still needed
+    release(spark)
     sets = stage(_members(rows, kept, stars, n), "members")
+    release(spark)
     pairs = stage(_pairs(stars, sets, bands, spare), "stars")
+    release(spark)
     roots = _roots(pairs, sets, percent, block_sets)
     found = kept.select("doc_id", "size", "cls").join(roots, F.col("cls") == F.col("node"), "left")
     found = found.withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "cls")))
@@ -371,10 +447,10 @@ def _all_stars(kept: DataFrame) -> DataFrame:
 def _members(rows: DataFrame, kept: DataFrame, stars: DataFrame, n: int) -> DataFrame:
     """``cls, size, grams`` of the sets in stars, from one document of each."""
     wanted = stars.select("cls").distinct()
-    first = kept.filter(F.size("entries") + F.size("near") > 0).groupBy("cls").agg(F.min("doc_id").alias("id"))
+    first = kept.filter("indexed").groupBy("cls").agg(F.min("doc_id").alias("id"))
     first = first.join(wanted, "cls", "left_semi")
     texts = rows.join(first, F.col("doc_id") == F.col("id")).select("cls", "text")
-    return texts.mapInArrow(lambda b: _sets(b, n), "cls long, size long, grams binary")
+    return texts.mapInArrow(lambda b: _sets(b, n), "cls long, size long, grams binary, parity binary")
 
 
 def _pairs(stars: DataFrame, sets: DataFrame, bands: Bands, spare: int) -> DataFrame:
@@ -408,7 +484,15 @@ def _blocks(members: DataFrame, by: list[str], block_sets: int) -> DataFrame:
 
 
 def _roots(pairs: DataFrame, sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
-    members = pairs.join(sets.select("cls", "size"), "cls")
+    middle = sets.select(F.col("cls").alias("centre"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
+    near = stage(
+        pairs.join(sets.select("cls", "size", "parity"), "cls").join(middle, "centre")
+        .select("cls", "centre", "size", "size_b", "parity", "parity_b")
+        .mapInArrow(lambda b: _near_centre(b, percent), "cls long, centre long"),
+        "near-centre",
+    )
+    release(pairs.sparkSession)
+    members = near.join(sets.select("cls", "size"), "cls")
     blocked = _blocks(members, ["centre"], block_sets).select("centre", "block", "cls")
     one = blocked.select("centre", "block", F.lit(1).alias("side"), "cls").unionByName(
         blocked.select("centre", "block", F.lit(0).alias("side"), F.col("centre").alias("cls")).distinct()
@@ -420,6 +504,8 @@ def _roots(pairs: DataFrame, sets: DataFrame, percent: int, block_sets: int) ->
         "first-links",
     )
     roots = components(first)
+    del units, one
+    release(pairs.sparkSession)
 
     # stars that still hold several components, centre included
     whole = pairs.unionByName(pairs.select(F.col("centre").alias("cls"), "centre").distinct())
@@ -428,7 +514,24 @@ def _roots(pairs: DataFrame, sets: DataFrame, percent: int, block_sets: int) ->
     )
     mixed = placed.groupBy("centre").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c"))
     mixed = mixed.filter("low <> high and c > 2").select("centre")
-    open_ = placed.join(mixed, "centre", "left_semi").join(sets.select("cls", "size"), "cls")
+    open_ = stage(placed.join(mixed, "centre", "left_semi").join(sets.select("cls", "size"), "cls"), "open")
+    active = stage(
+        _pairs_of_blocks(open_, sets.select("cls", "size", "parity"), ["size", "parity"], block_sets)
+        .mapInArrow(lambda b: _active(b, percent), "centre long, cls long").distinct(),
+        "active",
+    )
+    left = open_.join(active, ["centre", "cls"], "left_semi")
+    second = stage(
+        _pairs_of_blocks(left, sets.select("cls", "grams"), ["grams"], block_sets)
+        .mapInArrow(lambda b: _throughout(b, percent), "a long, b long"),
+        "second-links",
+    )
+    return components(first.unionByName(second))
+
+
+def _pairs_of_blocks(open_: DataFrame, data: DataFrame, columns: list[str], block_sets: int) -> DataFrame:
+    """Units of two blocks of a star (or one): sorted rows of ``centre, hi, hj, side,
+    cls, comp`` and the data's columns. Two blocks of one component are no unit."""
     # a component with many members in a star gets blocks of its own
     per = open_.groupBy("centre", "comp").agg(F.count(F.lit(1)).alias("n"))
     large = per.filter(F.col("n") >= block_sets // 4).select("centre", "comp", F.col("comp").alias("pure"))
@@ -446,15 +549,10 @@ def _roots(pairs: DataFrame, sets: DataFrame, percent: int, block_sets: int) ->
     sides = both.select("centre", "hi", "hj", F.lit(0).alias("side"), F.col("i").alias("block")).unionByName(
         both.filter("i <> j").select("centre", "hi", "hj", F.lit(1).alias("side"), F.col("j").alias("block"))
     )
-    units = sides.join(blocked, ["centre", "block"]).join(sets.select("cls", "grams"), "cls").select(
-        "centre", "hi", "hj", "side", "cls", "comp", "grams"
-    )
-    second = stage(
-        units.repartition("centre", "hi", "hj").sortWithinPartitions("centre", "hi", "hj", "side", "cls")
-        .mapInArrow(lambda b: _throughout(b, percent), "a long, b long"),
-        "second-links",
+    units = sides.join(blocked, ["centre", "block"]).join(data, "cls").select(
+        "centre", "hi", "hj", "side", "cls", "comp", *columns
     )
-    return components(first.unionByName(second))
+    return units.repartition("centre", "hi", "hj").sortWithinPartitions("centre", "hi", "hj", "side", "cls")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
