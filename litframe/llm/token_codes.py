@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litframe.llm.frames import empty_text, ship
+from litframe.llm.words import chunks
 
 CHUNK_BITS = 8
 RANK_BITS = 512
@@ -32,8 +33,10 @@ RANK_BITS = 512
 SEGMENT_TOKENS = 1 << 20
 #: Text bytes per file, about.
 FILE_BYTES = 32 << 20
+#: Text bytes that are encoded together.
+BATCH_BYTES = 4 << 20
 #: Words whose ids are remembered; beyond, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 SCHEMA = (
     "file int, segment int, doc_ids array<long>, lengths array<long>, tokens long, "
@@ -104,8 +107,13 @@ class TokenCodes:
         return found + np.bitwise_count(bits[word] & mask)
 
 
+def _plain(word: str) -> str:
+    return word.lower() if word.isascii() else word
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins what a blank or line end parts.
+    """Ids of texts by a lower-casing tokenizer that never joins what a blank or
+    line end parts, nor a letter and a full stop or comma.
 
     Ids of words are remembered. Texts with a special token's string are handed
     over whole, as such a string may hold anything.
@@ -119,7 +127,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, list[int]] = {}
+        # words seen lately, and those seen before: what recurs moves up
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -129,17 +139,60 @@ class WordEncoder:
         return cls._made[path]
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.replace("\n", " ").split(" ")
-        new = list(set(words) - self.known.keys())
-        if new:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = list(set(words))
-            for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self.known[word] = found.ids
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.uint32)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        known = self.known
+        marked = [any(s in t for s in self.special) for t in texts]
+        words = [[] if m else t.replace("\n", " ").split(" ") for t, m in zip(texts, marked, strict=True)]
+        if len(known) > REMEMBERED // 2:
+            self.before, self.known = known, {}
+            known = self.known
+        self._know([w for w in set(chain.from_iterable(words)) if w not in known])
+        return [
+            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if m
+            else np.frombuffer(b"".join(map(known.__getitem__, own)), np.uint32)
+            for t, m, own in zip(texts, marked, words, strict=True)
+        ]
+
+    def _know(self, words: list[str]) -> None:
+        """Take words over from before, or from their parts, or learn them."""
+        known, before, joined, new = self.known, self.before, [], set()
+        for word in words:
+            if word in before:
+                known[word] = before[word]
+            elif word[-1:] in (".", ",") and word[-2:-1].isalpha():
+                # a mark after a letter is a piece of its own
+                joined.append(word)
+                new.update(p for p in (_plain(word[:-1]), word[-1]) if p not in known)
+            elif word != (plain := _plain(word)):
+                joined.append(word)
+                new.add(plain)
+            else:
+                new.add(word)
+        self._learn([w for w in new if w not in known and w not in before])
+        known.update((w, before[w]) for w in new if w not in known)
+        for word in joined:
+            if word[-1:] in (".", ",") and word[-2:-1].isalpha():
+                known[word] = known[_plain(word[:-1])] + known[word[-1]]
+            else:
+                known[word] = known[_plain(word)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode words at once, parted by a special token, which no word holds."""
+        if not self.special:
+            for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                self.known[word] = np.array(found.ids, np.uint32).tobytes()
+            return
+        mark = self.special[0]
+        end = self.tokenizer.token_to_id(mark)
+        for start in range(0, len(words), 5000):
+            part = words[start : start + 5000]
+            found = self.tokenizer.encode_batch_fast([mark.join(part) + mark], add_special_tokens=False)[0]
+            ids = np.array(found.ids, np.uint32)
+            raw, stops = ids.tobytes(), (4 * np.flatnonzero(ids == end)).tolist()
+            for word, at, stop in zip(part, [0, *(s + 4 for s in stops)], stops):
+                self.known[word] = raw[at:stop]
 
 
 def write_codes(
@@ -157,8 +210,8 @@ def write_codes(
 
     Null texts count as empty and give the end id alone; null ids come first.
     Rows of equal id stand side by side, by text. An empty table gives a file
-    without segments. ``encoder`` makes an object with ``ids(text)`` from the
-    tokenizer's path.
+    without segments. ``encoder`` makes an object with ``many(texts)``, which gives an
+    array of ids for each, from the tokenizer's path.
     """
     ship(docs.sparkSession)
     make = encoder or WordEncoder.of
@@ -184,15 +237,16 @@ def write_codes(
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                found = own.ids(text.as_py())
-                ids.append(doc_id.as_py())
-                parts += [found, end]
-                lengths.append(len(found) + 1)
-                tokens += len(found) + 1
-                if tokens >= segment_tokens:
-                    yield done()
-                    ids, parts, lengths, tokens, segment = [], [], [], 0, segment + 1
+            for row, last, _, _ in chunks(batch.column(1), BATCH_BYTES):
+                found_all = own.many(batch.column(1)[row:last].to_pylist())
+                for doc_id, found in zip(batch.column(0)[row:last].to_pylist(), found_all, strict=True):
+                    ids.append(doc_id)
+                    parts += [found, end]
+                    lengths.append(len(found) + 1)
+                    tokens += len(found) + 1
+                    if tokens >= segment_tokens:
+                        yield done()
+                        ids, parts, lengths, tokens, segment = [], [], [], 0, segment + 1
         if ids:
             yield done()
 
@@ -218,7 +272,8 @@ def documents(codes: DataFrame) -> DataFrame:
                 codes = TokenCodes(row["levels"])
                 lengths = np.array(row["lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
-                sums = [zlib.crc32(codes.get(np.arange(s, s + n)).astype("<u4").tobytes()) for s, n in zip(starts, lengths, strict=True)]
+                raw = memoryview(codes.get(np.arange(len(codes))).astype("<u4").tobytes())
+                sums = [zlib.crc32(raw[4 * s : 4 * (s + n)]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays(
                     [
