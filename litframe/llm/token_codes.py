@@ -96,8 +96,16 @@ class TokenCodes:
 
     @staticmethod
     def _rank(bits: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Ones before each place: the directory, then the words of its block."""
+        """Ones before each place: the directory, then the words of its block.
+
+        For very many places the words' own ranks are summed up once instead.
+        """
         word, block = at >> 6, at // RANK_BITS
+        if len(at) > len(bits):
+            ones = np.bitwise_count(bits)
+            mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+            before = np.cumsum(ones, dtype=np.int64) - ones
+            return before[word] + np.bitwise_count(bits[word] & mask)
         found = ranks[block].astype(np.int64)
         first = block * (RANK_BITS // 64)
         for k in range(RANK_BITS // 64 - 1):
