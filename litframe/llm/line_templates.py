@@ -5,7 +5,9 @@ leading words (words with digits count as variable there). In a leaf that lines
 of enough documents reach, a word is fixed at its place if enough documents have
 it there, and variable otherwise; a line's template is its words with variable
 ones generalised. Lines whose template, or whose exact wording, stands in enough
-documents are dropped.
+documents are dropped. Two documents are enough for a line of 50 words or more;
+its words are fixed at every count from two to that of short lines, and each of
+these templates counts.
 
 Everything is a count by key with partial sums, so a leaf or line that a third
 of all documents share costs no task more than others. Only lines in frequented
@@ -23,6 +25,9 @@ from litframe.llm.frames import empty_text, stage
 DEPTH = 2
 #: Documents that a line or template must stand in to recur.
 LEAST_DOCS = 10
+#: Words from which a line is a passage, and documents that prove that one recurs.
+LONG_WORDS = 50
+LONG_DOCS = 2
 #: Share of fixed words that a template needs.
 FIXED_SHARE = 0.7
 #: Words that a template with variable ones needs.
@@ -46,43 +51,67 @@ def _key(line: Column) -> Column:
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, depth: int = DEPTH) -> DataFrame:
     """``line`` (a hash), ``docs`` and ``template`` of distinct lines that recur."""
-    lines = docs.select(
-        F.explode(F.array_distinct(F.transform(F.split(empty_text(text_col), "\n"), lambda x: F.trim(x)))).alias("text")
+    # numbered first: an explode beside it would number the lines
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), empty_text(text_col).alias("text"))
+    lines = rows.select(
+        "row", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("text")
     ).filter("text <> ''").withColumn("words", F.split("text", r"\s+"))
-    lines = lines.select(_leaf(F.col("words"), depth).alias("leaf"), "text")
+    lines = lines.select("row", _leaf(F.col("words"), depth).alias("leaf"), (F.size("words") >= LONG_WORDS).alias("long"), "text")
+    least = F.when(F.col("long"), min(LONG_DOCS, least_docs)).otherwise(least_docs)
     frequented = stage(
-        lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_docs).select("leaf"), "leaves"
+        lines.groupBy("leaf", "long").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("leaf"), "leaves"
     )
     own = stage(
-        lines.join(frequented, "leaf", "left_semi").groupBy("leaf", "text").agg(F.count(F.lit(1)).alias("docs")), "lines"
+        lines.join(frequented, "leaf", "left_semi").groupBy("leaf", "long", "text")
+        .agg(F.count(F.lit(1)).alias("docs"), F.min("row").alias("first"), F.max("row").alias("last")), "lines"
     )
-    apart = own.select(
-        "leaf", _key(F.col("text")).alias("line"), "docs", F.posexplode(masked(F.split("text", r"\s+"))).alias("at", "word")
+    # a leaf of one line has no template but that line
+    mixed = stage(own.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"), "mixed")
+    words = masked(F.split("text", r"\s+"))
+    alone = own.filter(F.col("docs") >= least).join(mixed, "leaf", "left_anti").select(
+        _key(F.col("text")).alias("line"), "docs", F.array_join(words, " ").alias("template")
+    )
+    apart = own.join(mixed, "leaf", "left_semi").select(
+        "leaf", "long", _key(F.col("text")).alias("line"), "docs", "first", "last", F.posexplode(words).alias("at", "word")
     )
     fixed = (
-        apart.groupBy("leaf", "at", "word").agg(F.sum("docs").alias("n"))
-        .filter((F.col("n") >= least_docs) & (F.col("word") != VARIABLE))
-        .select("leaf", "at", "word", F.lit(True).alias("fixed"))
+        apart.groupBy("leaf", "long", "at", "word").agg(F.sum("docs").alias("n"))
+        .filter((F.col("n") >= least) & (F.col("word") != VARIABLE))
+        .select("leaf", "at", "word", "n")
+    )
+
+    def shown(level):
+        return F.array_join(F.transform("words", lambda w: F.when(w["n"] >= level, w["word"]).otherwise(VARIABLE)), " ")
+
+    def general(n_fixed):
+        return (n_fixed >= FIXED_SHARE * F.size("words")) & (F.size("words") >= LEAST_WORDS)
+
+    # the more documents a fixed word needs, the more general is the template
+    levels = F.when(F.col("long"), F.sequence(least, F.lit(least_docs))).otherwise(F.array(F.lit(least_docs)))
+    templates = F.transform(
+        F.filter(levels, lambda level: general(F.size(F.filter("words", lambda w: w["n"] >= level)))), shown
     )
-    shown = F.when(F.col("fixed"), F.col("word")).otherwise(VARIABLE)
     # a line's words come together again: the group is one line
     made = (
         apart.join(fixed, ["leaf", "at", "word"], "left")
-        .groupBy("leaf", "line", "docs")
-        .agg(
-            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", shown.alias("word")))), lambda x: x["word"]), " ").alias("template"),
-            F.count("fixed").alias("n_fixed"), F.count(F.lit(1)).alias("n"),
-        )
+        .groupBy("leaf", "long", "line", "docs", "first", "last")
+        .agg(F.sort_array(F.collect_list(F.struct("at", "word", "n"))).alias("words"), F.count("n").alias("n_fixed"))
+        .withColumn("templates", F.when(general(F.col("n_fixed")), F.array_distinct(templates)))
+        .withColumn("exact", F.when(F.col("docs") >= least, shown(least)))
+        .filter("templates is not null or exact is not null").drop("words", "n_fixed")
     )
     made = stage(made, "templates")
-    general = (F.col("n_fixed") >= FIXED_SHARE * F.col("n")) & (F.col("n") >= LEAST_WORDS)
+    fits = made.select("leaf", "long", "line", "docs", "first", "last", F.explode("templates").alias("template"))
+    # the lines of one template may be of one document; two documents have two numbers
+    several = F.when(F.col("long"), F.col("first") < F.col("last")).otherwise(F.col("d") >= least_docs)
     often = (
-        made.filter(general).groupBy("leaf", "template").agg(F.sum("docs").alias("d"))
-        .filter(F.col("d") >= least_docs).select("leaf", "template", F.lit(True).alias("often"))
+        fits.groupBy("leaf", "long", "template")
+        .agg(F.sum("docs").alias("d"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .filter(several).select("leaf", "template")
     )
-    return made.join(often, ["leaf", "template"], "left").filter(
-        (F.col("docs") >= least_docs) | (F.col("often") & general)
-    ).select("line", "docs", "template")
+    by_template = fits.join(often, ["leaf", "template"], "left_semi").select("line", "docs", "template")
+    by_itself = made.filter("exact is not null").select("line", "docs", F.col("exact").alias("template"))
+    return alone.unionByName(by_template).unionByName(by_itself).groupBy("line", "docs").agg(F.min("template").alias("template"))
 
 
 def drop_recurring(
@@ -96,7 +125,8 @@ def drop_recurring(
 
     Lines end at line feeds and are compared without white space at their ends;
     empty lines stay. A line counts once per row, so a document that repeats it
-    does not make it recur. Null texts are empty texts (one empty line); repeated
+    does not make it recur; nor do its own lines of one template, from 50 words on,
+    where two documents prove a line or template. Null texts are empty texts (one empty line); repeated
     rows count as documents of their own. An empty table gives no rows.
     """
     gone = stage(recurring(docs, id_col, text_col, least_docs, depth).select("line").distinct(), "recurring")

@@ -74,3 +74,41 @@ def test_edge_rows(spark):
     with pytest.raises(Exception):
         L.drop_recurring(spark.range(1)).count()
     assert defaultdict
+
+
+def passage(i, n=60):
+    return " ".join(f"p{'abcdefghijklmnopqrst'[i]}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(n))
+
+
+def dropped(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r["doc_id"]: (r["n_dropped"], r["text"]) for r in L.drop_recurring(docs).collect()}
+
+
+@pytest.mark.parametrize("times", [2, 3, 9])
+def test_long_lines_of_few_documents(spark, times):
+    rows = [(i, f"own text of {i} here\n{passage(0)}\nshort line of few documents\nlast {i}") for i in range(times)]
+    rows += [(50 + i, passage(i + 1)) for i in range(9)]
+    got = dropped(spark, rows)
+    for i in range(times):
+        assert got[i] == (1, f"own text of {i} here\nshort line of few documents\nlast {i}")
+    assert all(got[50 + i] == (0, passage(i + 1)) for i in range(9))
+
+
+@pytest.mark.parametrize("times", [2, 3, 9])
+def test_long_templates_of_few_documents(spark, times):
+    # two fields with few values each, no pair of which repeats; the first lead words are shared
+    lines = [passage(0) + f" by {'xyz'[i % 3]} of {'uvw'[i // 3]} on 2024-01-{i}" for i in range(times)]
+    got = dropped(spark, [(i, f"own {i}\n{line}") for i, line in enumerate(lines)])
+    assert all(got[i] == (1, f"own {i}") for i in range(times))
+
+
+def test_a_documents_own_long_lines_do_not_recur(spark):
+    text = "\n".join([passage(0) + " row 1", passage(0) + " row 2", passage(0) + " row 1"])
+    assert dropped(spark, [(1, text), (2, passage(1))])[1] == (0, text)
+    assert dropped(spark, [(1, text), (1, text)])[1] == (3, "")
+
+
+def test_words_from_which_two_documents_are_enough(spark):
+    got = dropped(spark, [(1, passage(0, 50)), (2, passage(0, 50)), (3, passage(1, 49)), (4, passage(1, 49))])
+    assert [got[i][0] for i in (1, 2, 3, 4)] == [1, 1, 0, 0]
