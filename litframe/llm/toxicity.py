@@ -54,7 +54,7 @@ LEAST_ODDS = 2.0
 def fold(text: str) -> str:
     """Folded words between single spaces, with one at either end."""
     text = text.lower().translate(_FOLD)
-    if any(c in text for c in "0134578@$"):
+    if any(c in text for c in DIGITS):
         text = _MIXED.sub(lambda m: m[0].translate(_DIGIT), text)
     return " " + _BREAKS.sub(" ", text).strip() + " "
 

@@ -21,6 +21,15 @@ def test_folding(raw, folded):
     assert toxicity.fold(raw) == folded
 
 
+@pytest.mark.parametrize(
+    ("raw", "folded"),
+    [("sh!t", " shit "), ("!diot", " idiot "), ("You !diot, sh！t!", " you idiot shit "), ("Stop! Now!", " stop now ")],
+)
+def test_folding_of_exclamation_marks(raw, folded):
+    assert toxicity.fold(raw) == folded
+    assert toxicity.fold(raw + " 0") == folded + "0 "
+
+
 def test_exceptions_and_overlaps():
     lexicon = toxicity.Lexicon({" kill ": 2.0, " kill": 1.0, " trash ": 3.0}, {" kill process "})
     assert lexicon.measure("Kill him")[0] == 2.0
