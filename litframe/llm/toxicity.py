@@ -46,8 +46,8 @@ _BREAKS = re.compile(r"[\W_]+")
 
 #: Beginnings of words that may be lexicon terms, in letters.
 STEMS = (4, 5, 6)
-#: Terms and phrases of the lexicon at most, by support.
-TERMS = 2_000
+#: Toxic rows that a term needs, and clean rows that an exception phrase needs.
+LEAST_ROWS = 3
 LEAST_ODDS = 2.0
 
 
@@ -142,8 +142,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush(toxic, clean)
 
 
-def learn(rows: DataFrame, terms: int = TERMS) -> Lexicon:
-    """A lexicon from rows of ``text, label``; only the terms that make it are collected."""
+def learn(rows: DataFrame) -> Lexicon:
+    """A lexicon from rows of ``text, label``; all terms and phrases that pass the
+    odds and the least support are collected, so the rows should be a bounded sample."""
     ship(rows.sparkSession)
     rows = stage(rows.select(empty_text("text").alias("text"), F.col("label").cast("int").alias("label")), "toxic")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -151,21 +152,19 @@ def learn(rows: DataFrame, terms: int = TERMS) -> Lexicon:
     if not bad or not good:
         return Lexicon({}, set(), (30.0 if bad else -3.0, 0.0, 0.0, 0.0))
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    least = max(3, bad // 500)
     chosen = (
         rows.mapInArrow(_counts, "term string, toxic long, clean long")
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter(F.col("toxic") >= least).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
-        .orderBy(F.desc(F.col("odds") * F.log(F.col("toxic"))), "term").limit(terms)
+        .filter(F.col("toxic") >= LEAST_ROWS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
     )
     lexicon = Lexicon({r["term"]: round(float(r["odds"]), 4) for r in chosen.collect()})
-    lexicon.exceptions = _exceptions(rows, lexicon, bad, good, terms)
+    lexicon.exceptions = _exceptions(rows, lexicon, bad, good)
     lexicon._automaton = None
     lexicon.factors = _factors(rows, lexicon)
     return lexicon
 
 
-def _exceptions(rows: DataFrame, lexicon: Lexicon, bad: int, good: int, most: int) -> set[str]:
+def _exceptions(rows: DataFrame, lexicon: Lexicon, bad: int, good: int) -> set[str]:
     """Pairs of words around terms that clean rows hold far more often."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +188,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, bad: int, good: int, most: in
         F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")
     )
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    kept = counted.filter((F.col("clean") >= 3) & (odds < -1)).orderBy(F.desc("clean"), "phrase").limit(most)
+    kept = counted.filter((F.col("clean") >= LEAST_ROWS) & (odds < -1))
     return {r["phrase"] for r in kept.collect()}
 
 

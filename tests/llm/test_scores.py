@@ -48,6 +48,18 @@ def test_exceptions_are_learned(spark):
     assert lexicon.score(*lexicon.measure("you pest")) > 0.5 > lexicon.score(*lexicon.measure("pest control"))
 
 
+def test_all_terms_and_exceptions_are_kept(spark):
+    words = ["".join("bcdfghjklm"[i // 10**k % 10] for k in range(4)) + "aeiou" for i in range(1200)]
+    packed = [" ".join(words[i::200]) for i in range(200)]
+    rows = [(f"pest {text}", 1) for text in packed for _ in range(3)]
+    rows += [(f"pest {i}x", 1) for i in range(1600)]  # many toxic rows do not raise the support
+    rows += [(" ".join(f"pest w{w}" for w in words), 0)] * 3 + [(f"all is well at place{i}", 0) for i in range(3300)]
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "text string, label int"))
+    assert {f" {w} " for w in words} <= set(lexicon.weights)
+    assert {f" pest w{w} " for w in words} <= lexicon.exceptions
+    assert {f" w{w} pest " for w in words[:-1]} <= lexicon.exceptions
+
+
 def test_held_out_toxicity(spark):
     rows = op4_lexicon_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out").collect()
     right = sum(r["predicted"] == r["toxic"] for r in rows)
