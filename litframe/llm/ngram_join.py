@@ -173,11 +173,11 @@ def _indexed(batches: Iterator[pa.RecordBatch], bands: Bands, n: int) -> Iterato
             rows = end - row
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0)[row:end], pa.array(size), pa.array(own),
+                    batch.column(0)[row:end], batch.column(2)[row:end], pa.array(size), pa.array(own),
                     _lists(value[first], of[first], rows), _lists(value[~first], of[~first], rows),
                     _lists(centre[~first], of[~first], rows),
                 ],
-                ["doc_id", "size", "cls", "entries", "near", "centre"],
+                ["doc_id", "mark", "size", "cls", "entries", "near", "centre"],
             )
 
 
@@ -406,13 +406,14 @@ def similar_groups(
     ship(spark)
     bands = Bands(percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), empty_text(text_col).alias("text"))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
     path = scratch_dir(spark, "sets")
-    schema = "doc_id long, size long, cls long, entries array<long>, near array<long>, centre array<long>"
+    schema = "doc_id long, mark long, size long, cls long, entries array<long>, near array<long>, centre array<long>"
     rows.mapInArrow(lambda b: _indexed(b, bands, n), schema).write.parquet(path)
     indexed = spark.read.schema(schema).parquet(path)
     stars = _all_stars(indexed)
     some = F.size("entries") + F.size("near") > 0
-    kept = stage(indexed.select("doc_id", "size", "cls", some.alias("indexed")), "classes")
+    kept = stage(indexed.select("doc_id", "mark", "size", "cls", some.alias("indexed")), "classes")
     del indexed
     remove(spark, path)  # stars and classes hold all that is still needed
     release(spark)
@@ -447,9 +448,13 @@ def _all_stars(kept: DataFrame) -> DataFrame:
 def _members(rows: DataFrame, kept: DataFrame, stars: DataFrame, n: int) -> DataFrame:
     """``cls, size, grams`` of the sets in stars, from one document of each."""
     wanted = stars.select("cls").distinct()
-    first = kept.filter("indexed").groupBy("cls").agg(F.min("doc_id").alias("id"))
-    first = first.join(wanted, "cls", "left_semi")
-    texts = rows.join(first, F.col("doc_id") == F.col("id")).select("cls", "text")
+    # null ids and ids that repeat find their own text by its hash
+    key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark"]
+    first = kept.filter("indexed").select("cls", F.struct(*key).alias("key")).groupBy("cls").agg(F.min("key").alias("key"))
+    first = first.join(wanted, "cls", "left_semi").select("key.*", "cls")
+    texts = rows.select(*key, "text").join(first, ["id", "mark", "none"])
+    # repeated rows give their set once; grouped by the join's key, so nothing moves again
+    texts = texts.groupBy("id", "mark", "none", "cls").agg(F.first("text").alias("text")).select("cls", "text")
     return texts.mapInArrow(lambda b: _sets(b, n), "cls long, size long, grams binary, parity binary")
 
 

@@ -98,6 +98,20 @@ def test_edge_rows(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "8", "None", "None"]
 
 
+def test_near_copies_without_an_id(spark):
+    part = lambda c, a, b: " ".join(f"{c}{i}" for i in range(a, b))
+    # only the row without an id links its neighbours
+    rows = [(1, part("w", 0, 20)), (None, part("w", 1, 21)), (3, part("w", 2, 22)), (None, part("w", 1, 21))]
+    rows += [(None, part("v", 0, 20)), (None, part("v", 1, 21)), (None, part("u", 0, 20)), (0, part("t", 0, 20))]
+    rows += [(9, part("s", 0, 20)), (9, part("r", 0, 20)), (8, part("s", 1, 21)), (7, part("r", 1, 21))]
+    want = expected(rows, 1, 90)
+    assert (3, 20, 1) in want
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 12):
+        got = N.similar_groups(docs.repartition(parts), 1, 90).collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
 def test_stars_are_streamed_over_batches():
     import pyarrow as pa
 
