@@ -13,13 +13,16 @@ are numbered in that order.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import lru_cache
+from unicodedata import category, normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -115,16 +118,53 @@ class TokenCodes:
         return found + np.bitwise_count(bits[word] & mask)
 
 
+#: Normalizer and pre-tokenizer for which parting at blanks, line ends
+#: and final marks was checked. Texts for any other tokenizer are encoded whole.
+CHECKED = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {
+            "type": "Split", "behavior": "Removed", "invert": True,
+            "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+#: Letters of scripts beyond this one are not parted from a mark.
+LAST_PARTED = "\u052f"
+
+
 def _plain(word: str) -> str:
     return word.lower() if word.isascii() else word
 
 
+@lru_cache(1 << 12)
+def _is_letter(char: str) -> bool:
+    """Whether a character is, composed and in lower case, one that ends in a letter.
+
+    Some letters end in a combining mark then, which stays in one piece with a
+    full stop after it.
+    """
+    if not "A" <= char <= LAST_PARTED:
+        return False
+    return category(normalize("NFC", char).lower()[-1])[0] == "L"
+
+
+def _parted(word: str) -> bool:
+    """Whether the word ends in a letter and then a mark, which is a piece of its own."""
+    return word[-1:] in (".", ",") and _is_letter(word[-2:-1])
+
+
 class WordEncoder:
     """Ids of texts by a lower-casing tokenizer that never joins what a blank or
     line end parts, nor a letter and a full stop or comma.
 
-    Ids of words are remembered. Texts with a special token's string are handed
-    over whole, as such a string may hold anything.
+    Words are told apart by Arrow, and ids of the distinct ones are remembered;
+    no Python object is made per word. Texts with a special token's string are
+    handed over whole, as such a string may hold anything; so are all texts if
+    the tokenizer is not of the kind that was checked.
     """
 
     _made: dict[str, WordEncoder] = {}
@@ -134,6 +174,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        described = json.loads(self.tokenizer.to_str())
+        self.by_words = all(described[k] == v for k, v in CHECKED.items())
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # words seen lately, and those seen before: what recurs moves up
         self.known: dict[str, bytes] = {}
@@ -147,30 +189,45 @@ class WordEncoder:
         return cls._made[path]
 
     def ids(self, text: str) -> np.ndarray:
-        return self.many([text])[0]
-
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        marked = [any(s in t for s in self.special) for t in texts]
-        words = [[] if m else t.replace("\n", " ").split(" ") for t, m in zip(texts, marked, strict=True)]
-        if len(known) > REMEMBERED // 2:
-            self.before, self.known = known, {}
-            known = self.known
-        self._know([w for w in set(chain.from_iterable(words)) if w not in known])
+        return self.many(pa.array([text], pa.string()))[0]
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        marked = pa.array(np.full(len(texts), not self.by_words))
+        for mark in self.special:
+            marked = pc.or_(marked, pc.match_substring(texts, mark))
+        marked = marked.to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(marked), "", texts) if marked.any() else texts
+        pieces = pc.split_pattern(pc.replace_substring(plain.cast(pa.large_string()), "\n", " "), " ")
+        coded = pieces.flatten().dictionary_encode()
+        own = self._found(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool, begins = np.frombuffer(b"".join(own), np.uint32), np.cumsum(sizes) - sizes
+        code = coded.indices.to_numpy()
+        counts = sizes[code]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = pool[np.repeat(begins[code] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = pieces.offsets.to_numpy()
+        cuts = ends[bounds - bounds[0]]
         return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) if m
-            else np.frombuffer(b"".join(map(known.__getitem__, own)), np.uint32)
-            for t, m, own in zip(texts, marked, words, strict=True)
+            np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) if marked[i]
+            else ids[cuts[i] : cuts[i + 1]]
+            for i in range(len(texts))
         ]
 
+    def _found(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        if len(self.known) > REMEMBERED // 2:
+            self.before, self.known = self.known, {}
+        self._know([w for w in words if w not in self.known])
+        return [self.known[w] for w in words]
+
     def _know(self, words: list[str]) -> None:
         """Take words over from before, or from their parts, or learn them."""
         known, before, joined, new = self.known, self.before, [], set()
         for word in words:
             if word in before:
                 known[word] = before[word]
-            elif word[-1:] in (".", ",") and word[-2:-1].isalpha():
-                # a mark after a letter is a piece of its own
+            elif _parted(word):
                 joined.append(word)
                 new.update(p for p in (_plain(word[:-1]), word[-1]) if p not in known)
             elif word != (plain := _plain(word)):
@@ -181,7 +238,7 @@ class WordEncoder:
         self._learn([w for w in new if w not in known and w not in before])
         known.update((w, before[w]) for w in new if w not in known)
         for word in joined:
-            if word[-1:] in (".", ",") and word[-2:-1].isalpha():
+            if _parted(word):
                 known[word] = known[_plain(word[:-1])] + known[word[-1]]
             else:
                 known[word] = known[_plain(word)]
@@ -219,7 +276,7 @@ def write_codes(
     Null texts count as empty and give the end id alone; null ids come first.
     Rows of equal id stand side by side, by text. An empty table gives a file
     without segments. ``encoder`` makes an object with ``many(texts)``, which gives an
-    array of ids for each, from the tokenizer's path.
+    array of ids for each string of an Arrow array, from the tokenizer's path.
     """
     ship(docs.sparkSession)
     make = encoder or WordEncoder.of
@@ -246,7 +303,7 @@ def write_codes(
 
         for batch in batches:
             for row, last, _, _ in chunks(batch.column(1), BATCH_BYTES):
-                found_all = own.many(batch.column(1)[row:last].to_pylist())
+                found_all = own.many(batch.column(1)[row:last])
                 for doc_id, found in zip(batch.column(0)[row:last].to_pylist(), found_all, strict=True):
                     ids.append(doc_id)
                     parts += [found, end]

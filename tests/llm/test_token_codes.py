@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import EDGE, edge_docs, empty_docs
 
@@ -45,6 +46,35 @@ def test_remembered_words_give_the_same_ids(tokenizer, monkeypatch):
         assert own.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_any_letter_before_a_mark(tokenizer):
+    own = C.WordEncoder(tokenizer_path())
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha() or not 0x530 <= c < 0xD800]
+    letters = [c for c in letters if not 0xD800 <= ord(c) < 0xE000]
+    texts = [f"A{c}{m}" for c in letters for m in ".,"] + ["AL\u0130. geldi", "\u0915\u093c.", "e\u0301.", "e\u0301\u0323, x"]
+    found = own.many(pa.array(texts))
+    whole = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, f, w in zip(texts, found, whole, strict=True) if f.tolist() != w.ids] == []
+
+
+def test_random_texts(tokenizer):
+    own, rng = C.WordEncoder(tokenizer_path()), random.Random(7)
+    signs = "aZ\u00c4\u00df\u0130\u0131\u03a3\u0416\u0915\u0958\u09dc\u0301\u0338\u0323.,!' \n\t\x0b\u00a0\u4e2d\U0001f600"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    for text, ids in zip(texts, own.many(pa.array(texts)), strict=True):
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_other_tokenizers_get_whole_texts(tokenizer):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = C.WordEncoder(path), Tokenizer.from_file(path)
+    assert not own.by_words and C.WordEncoder(tokenizer_path()).by_words
+    texts = ["Two  words. And, more\n", "", "x <|endoftext|> y"]
+    assert [i.tolist() for i in own.many(pa.array(texts))] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def expected(tokenizer, rows):
     made, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
