@@ -1,6 +1,6 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded: lower case, look-alike letters to Latin ones, digits and signs
+Texts are folded: composed letters without further marks, lower case, look-alike letters to Latin ones, digits and signs
 that stand for letters inside words, everything else to single spaces. A lexicon
 of words and word beginnings is learned from labelled rows, each with its log
 odds as weight, together with exception phrases: pairs of words that hold a
@@ -11,10 +11,12 @@ of the summed weights, of the same per word, and of the length.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,9 @@ HIDDEN = "­​‌‍⁠﻿"
 #: Full-width forms of ASCII, by rule.
 WIDE = {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}
 
+#: Blocks of combining marks, which are dropped where they make no letter of their own.
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+
 _FOLD = str.maketrans(WIDE | LOOKALIKES | dict.fromkeys(HIDDEN))
 _DIGIT = str.maketrans(DIGITS)
 _MIXED = re.compile(r"(?<![\w@$])(?=[\d@$!]*[^\W\d_])(?=[^\W\d_]*[\d@$!])[\w@$!]*[\w@$]")
@@ -49,10 +54,13 @@ STEMS = (4, 5, 6)
 #: Toxic rows that a term needs, and clean rows that an exception phrase needs.
 LEAST_ROWS = 3
 LEAST_ODDS = 2.0
+BY_CHANCE = 0.01
 
 
 def fold(text: str) -> str:
     """Folded words between single spaces, with one at either end."""
+    if not text.isascii():
+        text = _MARKS.sub("", normalize("NFKC", text))
     text = text.lower().translate(_FOLD)
     if any(c in text for c in DIGITS):
         text = _MIXED.sub(lambda m: m[0].translate(_DIGIT), text)
@@ -99,9 +107,9 @@ class Lexicon:
     def measure(self, text: str) -> tuple[float, int]:
         """Summed weights of what is found, and words."""
         folded = fold(text)
-        words = folded.count(" ") - 1
+        words = len(folded.split())
         if not self.weights and not self.exceptions:
-            return 0.0, max(words, 0)
+            return 0.0, words
         found: dict[int, float] = {}
         excepted = []
         for end, (length, weight) in self.automaton.iter(folded):
@@ -113,7 +121,7 @@ class Lexicon:
         for a, b in excepted:
             for start in [s for s in found if a <= s < b]:
                 del found[start]
-        return float(sum(found.values())), max(words, 0)
+        return float(sum(found.values())), words
 
     def score(self, weight: float, words: int) -> float:
         z = sum(f * x for f, x in zip(self.factors, features(weight, words), strict=True))
@@ -165,30 +173,41 @@ def learn(rows: DataFrame) -> Lexicon:
 
 
 def _exceptions(rows: DataFrame, lexicon: Lexicon, bad: int, good: int) -> set[str]:
-    """Pairs of words around terms that clean rows hold far more often."""
+    """Pairs of words around terms that clean rows hold far more often, or that
+    no toxic row holds and so many clean ones that, were the pair as toxic as its
+    term, this would hardly come by chance."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            phrases, labels = [], []
+            phrases, labels, odds = [], [], []
             for text, label in zip(batch.column(0), batch.column(1)):
-                folded, own = fold(text.as_py()), set()
-                for end, (length, _) in lexicon.automaton.iter(folded) if lexicon.weights else ():
+                folded, own = fold(text.as_py()), {}
+                for end, (length, weight) in lexicon.automaton.iter(folded) if lexicon.weights else ():
                     start = end - length + 1
                     close = folded.index(" ", start + 1)
                     after = folded.find(" ", close + 1)
                     before = folded.rfind(" ", 0, start)
-                    if after > 0:
-                        own.add(folded[start : after + 1])
-                    if before >= 0:
-                        own.add(folded[before : close + 1])
-                phrases += own
+                    near = ([folded[start : after + 1]] if after > 0 else []) + ([folded[before : close + 1]] if before >= 0 else [])
+                    for phrase in near:
+                        own[phrase] = min(own.get(phrase, weight), weight)
+                phrases += own.keys()
+                odds += own.values()
                 labels += [label.as_py()] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.string()), pa.array(labels, pa.int32())], ["phrase", "label"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(phrases, pa.string()), pa.array(labels, pa.int32()), pa.array(odds, pa.float64())],
+                ["phrase", "label", "odds"],
+            )
 
-    counted = rows.mapInArrow(run, "phrase string, label int").groupBy("phrase").agg(
-        F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean")
+    counted = rows.mapInArrow(run, "phrase string, label int, odds double").groupBy("phrase").agg(
+        F.count_if(F.col("label") == 1).alias("toxic"), F.count_if(F.col("label") == 0).alias("clean"),
+        F.min("odds").alias("term_odds"),
     )
     odds = F.log((F.col("toxic") + 0.5) / (bad + 1)) - F.log((F.col("clean") + 0.5) / (good + 1))
-    kept = counted.filter((F.col("clean") >= LEAST_ROWS) & (odds < -1))
+    # the share of clean rows among those with the term
+    share = good / (good + bad * F.exp("term_odds"))
+    by_chance = F.col("clean") * F.log(share)
+    kept = counted.filter(
+        (F.col("clean") >= LEAST_ROWS) & ((odds < -1) | ((F.col("toxic") == 0) & (by_chance < math.log(BY_CHANCE))))
+    )
     return {r["phrase"] for r in kept.collect()}
 
 
@@ -225,8 +244,9 @@ def _factors(rows: DataFrame, lexicon: Lexicon, steps: int = 12) -> tuple[float,
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score, weight, words`` of every row.
 
-    Null and empty texts have no words and the score of a text without finds.
-    Repeated rows give repeated results; an empty table gives none.
+    Null and empty texts have no words and the score of a text without finds;
+    long ones are read whole, in one go. Repeated rows give repeated results, a
+    null id stays null; an empty table gives none. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), empty_text(text_col).alias("text"))
     measured = _measured(rows, lexicon, ["doc_id"])

@@ -40,6 +40,42 @@ def test_exceptions_and_overlaps():
     assert toxicity.Lexicon({}).measure("trash") == (0.0, 1)
 
 
+@pytest.mark.parametrize("raw", ["\u24da\u24d8ll", "k\u0336i\u0336ll\u0336", "\U0001d424\U0001d422\U0001d425\U0001d425", "\uff4bill"])
+def test_dressed_up_letters(raw):
+    assert toxicity.fold(raw) == " kill "
+
+
+def plain_measure(lexicon, text):
+    """Plain substring search in place of the automaton."""
+    folded = toxicity.fold(text)
+
+    def places(term):
+        return [i for i in range(len(folded)) if folded.startswith(term, i)]
+
+    hidden = {i for p in lexicon.exceptions for a in places(p) for i in range(a, a + len(p))}
+    best = {}
+    for term, weight in lexicon.weights.items():
+        for i in places(term):
+            if i not in hidden:
+                best[i] = max(best.get(i, 0.0), weight)
+    return sum(best.values()), len(folded.split())
+
+
+def test_scores_against_plain_search(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    lexicon = toxicity.train(docs, labels)
+    assert lexicon.weights
+    texts = {r["doc_id"]: r["text"] for r in docs.filter("n_chars < 600").collect()}
+    toxic = {r["doc_id"] for r in labels.filter("toxic = 1").collect()}
+    some = sorted(toxic & set(texts))[:40] + sorted(set(texts) - toxic)[:20]
+    got = {r["doc_id"]: r for r in toxicity.score(docs, lexicon).collect()}
+    for doc_id in some:
+        weight, words = plain_measure(lexicon, texts[doc_id] or "")
+        assert got[doc_id]["weight"] == pytest.approx(weight) and got[doc_id]["words"] == words
+        z = sum(f * x for f, x in zip(lexicon.factors, toxicity.features(weight, words), strict=True))
+        assert got[doc_id]["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-8)
+
+
 def test_exceptions_are_learned(spark):
     rows = [(f"you are a pest number{i}", 1) for i in range(60)]
     rows += [(f"the pest control man came to house{i}", 0) for i in range(5)] + [(f"all is well at place{i}", 0) for i in range(300)]
