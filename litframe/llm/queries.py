@@ -8,8 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litframe.llm import chat, decontaminate, exact_dedup, importance, line_templates, mixing, ngram_join
-from litframe.llm import resharding, token_codes, toxicity
+from litframe.llm import chat, collocations, decontaminate, exact_dedup, hard_negatives, importance, line_templates
+from litframe.llm import mixing, ngram_join, quality_rules, resharding, token_codes, toxicity
 from litframe.llm.frames import empty_text, table
 from litframe.sources.scratch import scratch_dir
 
@@ -100,6 +100,23 @@ def op10_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs, least=100, top=2000)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a seventh of the rows are moved on by one; a hundredth are anchors."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, label_col=label)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
     return named | {"pipeline": corpus_pipeline.run}
@@ -171,6 +188,54 @@ def oracle_sql() -> dict[str, str]:
               sha256(coalesce(items, '')) as items_sha256,
               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
             from docs left join hit using (doc_id) left join named using (doc_id)""",
+        "op11_collocations": f"""
+            with words as (
+              select coalesce(lang, 'und') as lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w
+              from (select lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents)),
+            f as (
+              select lang, k, array_to_string(w[i : i + k - 1], ' ') as phrase, count(*) as f
+              from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, range(1, 6) as t(k))
+              group by all having count(*) >= 100),
+            n as (select lang, sum(len(w)) as n from words group by lang),
+            cuts as (
+              select lang, phrase, len, f as a, c, array_to_string(string_split(phrase, ' ')[: c], ' ') as head,
+                array_to_string(string_split(phrase, ' ')[c + 1 :], ' ') as tail
+              from (select lang, phrase, k as len, f, unnest(range(1, k)) as c from f where k > 1)),
+            scored as (
+              select x.lang, x.phrase, x.len, x.a, x.c, y.f as l, z.f as r, n.n,
+                (1000::hugeint * x.a * n.n) // (y.f::hugeint * z.f) as score
+              from cuts x join f y on y.lang = x.lang and y.phrase = x.head
+              join f z on z.lang = x.lang and z.phrase = x.tail join n on n.lang = x.lang),
+            best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+            inside as (
+              select lang, k, f, unnest(range(1, k - m + 2)) as i, m, string_split(phrase, ' ') as w
+              from f, range(2, 5) as t(m) where m < k),
+            covered as (
+              select distinct b.lang, b.phrase from best b join inside i
+              on b.lang = i.lang and b.phrase = array_to_string(i.w[i.i : i.i + i.m - 1], ' ') and 100 * i.f >= 100 * b.a)
+            select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank,
+              phrase, a, l, r, n::bigint as n, score::bigint as score
+            from best anti join covered using (lang, phrase) qualify rank <= 2000""",
+        "op12_hard_negatives": """
+            with rows as (
+              select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                [floor(256 * x::double) for x in embedding] as q
+              from embeddings
+              where label is not null and embedding is not null
+                and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+            pairs as (
+              select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+                list_inner_product(a.q, b.q)::bigint as score
+              from rows a join rows b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+            near as (
+              select anchor_id, other as positive_id, score as positive_score from pairs where same
+              qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+            select anchor_id, positive_id,
+              row_number() over (partition by anchor_id, positive_id order by score desc, other)::int as rank,
+              other as negative_id, positive_score, score as negative_score
+            from near join pairs using (anchor_id)
+            where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+            qualify rank <= 10""",
         "op1_exact_dedup": """
             select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
               doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
