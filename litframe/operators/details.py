@@ -30,42 +30,26 @@ LINK_LIST = ("div", "class", "full-text-links-list")
 
 def _blocks(html: Column) -> dict[str, Column]:
     """The parts of a page that hold fields, each cut once by one pattern."""
-    group = M.open_tag(*AUTHOR_GROUP)
     ids = M.open_tag("ul", *IDENTIFIERS[1:])
-    own_list = F.regexp_extract(html, f"{ids}{M.within('ul')}", 0)
-    other = F.regexp_extract(html, f"{M.open_tag(*IDENTIFIERS)}{M.INNER}", 0)
+    own_list = M.content_of(html, ids, "ul")
     abstract_path = (
         M.open_tag(*ARTICLE_PAGE) + M.after(M.open_tag(*ARTICLE_DETAILS))
         + M.after(M.open_tag(*ABSTRACT_BLOCK))
     )
-    links = (
-        M.open_tag(*LINK_BOX) + M.after(M.open_tag(*LINK_LIST))
-        + rf"(?:{M.TEXT}|(?!{M.open_tag('a', 'href')}){M.CHILD})*+"
-    )
     return {
-        "ids": F.when(own_list != "", own_list).otherwise(other),
+        "list": own_list,
+        "ids": F.when(own_list != "", own_list).otherwise(M.first_inner(html, M.open_tag(*IDENTIFIERS))),
         "pmc": M.all_inner(html, M.open_tag(*PMC_SPAN)),
-        "authors": F.regexp_extract(html, f"{group}({M.within('div')})", 1),
-        "abstract": F.regexp_extract(html, f"{abstract_path}({M.within('div')})", 1),
+        "authors": M.content_of(html, M.open_tag(*AUTHOR_GROUP), "div"),
+        "abstract": M.content_of(html, abstract_path, "div"),
         # paragraphs right in the block count, those of a division in it do not
-        "plain": F.regexp_replace(
-            F.regexp_extract(html, f"{M.open_tag(*PLAIN_ABSTRACT)}({M.within('div')})", 1),
-            f"{M.open_tag('div')}{M.within('div')}(?:{M.close_tag('div')}[^>]*+>)?+", M.GAP,
+        "plain": M.without(M.content_of(html, M.open_tag(*PLAIN_ABSTRACT), "div"), "div"),
+        "link": M.child_attribute(
+            html, M.open_tag(*LINK_BOX) + M.after(M.open_tag(*LINK_LIST)), M.open_tag("a", "href"), "href"
         ),
-        "link": M.attribute_of(html, M.open_tag("a", "href"), "href", skip=links),
     }
 
 
-def _doi(ids: Column) -> Column:
-    link = M.open_tag(*ID_LINK)
-    return F.regexp_extract(
-        ids,
-        rf"{M.open_tag(*DOI_SPAN)}(?:{M.TEXT}|(?!{link}){M.CHILD})*+"
-        rf"{link}(?:{M.CHILD})*+({M.TEXT})",
-        1,
-    )
-
-
 def _pmc_links(spans: Column) -> Column:
     links = F.flatten(F.transform(spans, lambda s: M.all_inner(s, M.open_tag(*ID_LINK))))
     return F.flatten(F.transform(links, M.direct_texts))
@@ -145,7 +129,7 @@ def extract_details(captures: DataFrame, keep: Sequence[str] = ("page_id",)) ->
     texts = {
         "PMID": M.first_text(ids, M.open_tag(*CURRENT_ID)),
         # only identifiers in a ``ul`` count here
-        "doi": F.when(ids.rlike("^<(?i:ul)"), _doi(ids)).otherwise(""),
+        "doi": M.child_text(F.col("list"), M.open_tag(*DOI_SPAN), M.open_tag(*ID_LINK)),
         "link": F.col("link"),
         "plain": _plain_text(F.col("plain")),
     }

@@ -47,7 +47,7 @@ def extract_hits(captures: DataFrame, title_sep: str = "") -> DataFrame:
     blocks = F.split(M.clean_markup(F.col("html")), M.open_tag(*HIT_BLOCK))
     # a piece ends with its own division: what follows the last hit is not part of it
     own = F.transform(
-        F.slice(blocks, 2, F.size(blocks)), lambda b: F.regexp_extract(b, f"^({M.within('div')})", 1)
+        F.slice(blocks, 2, F.size(blocks)), lambda b: M.content_of(b, "^", "div")
     )
     cut = captures.select("run_id", "page_no", "page_id", F.posexplode(own).alias("pos", "block"))
     block = F.col("block")

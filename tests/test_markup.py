@@ -409,6 +409,59 @@ def test_fields_behind_deep_markup(spark, deep):
     assert (row.PMID, row.doi) == ("9", "10.1/x")
 
 
+@pytest.mark.parametrize("deep", [8, 9, 97, 500, 5000])
+def test_no_depth_is_too_great(spark, deep):
+    nest = "<i>" * deep + "no" + "</i>" * deep
+    boxes = "<div><ul>" * deep + "no" + "</ul></div>" * deep
+    page = hit("T", f'{boxes}<span class="docsum-pmid">{nest}5</span><span class="docsum-authors full-authors">{nest}A</span>')
+    got = extract_hits(search(spark, page)).first()
+    assert (got.PMID, got.full_author) == ("5", "A")
+    ids = (f'<ul id="full-view-identifiers">{boxes}<strong class="current-id">{nest}9</strong>'
+           f'<span class="identifier doi">{nest}<a class="id-link">{nest}10.1/x</a></span></ul>'
+           f'<span class="identifier pmc">{nest}<i>{"<b>" * deep}<a class="id-link">{nest}PMC7</a>{"</b>" * deep}</i></span>')
+    abstract = (f'<div id="article-page"><main id="article-details"><div id="abstract">{boxes}'
+                f'<p><strong class="sub-title">Methods</strong>{nest}done</p></div></main></div>'
+                f'<div id="eng-abstract"><div>{boxes}<p>no</p></div><p>{nest}Plain.</p></div>')
+    authors = f'<div class="expanded-authors">{boxes}<li data-affiliation-id="1">{nest}Here</li></div>'
+    links = f'<div class="full-text-links"><div class="full-text-links-list">{nest}<a href="u">x</a></div></div>'
+    got = extract_details(article(spark, ids + abstract + authors + links)).first()
+    assert (got.PMID, got.doi, got.PMCID, got.full_text_link) == ("9", "10.1/x", "PMC7", "u")
+    assert (got.affiliations, got.abstract.abstract, got.abstract.methods) == (["1.Here"], "Plain.", "Methods no done")
+    both = [M.Selector("one", "span", "class", "x"), M.Selector("all", "span", "class", "x", first=False),
+            M.Selector("whole", None, "class", "x", get="all_text")]
+    markup = f'<p><span class="x">{nest}a{nest}b<span class="x">c</span></span><span class="x">{nest}</span><span class="x">d'
+    got = extract_pages(article(spark, markup), both).first()
+    assert (got.one, got.all, got.whole) == ("a", ["a", "b", "d"], "no a no b c")
+
+
+def test_elements_left_open(spark):
+    """A text is not behind an element that is never closed, but in none that is."""
+    frame = spark.createDataFrame([("a<b>b<i>c</i>d",), ("</b>a<b>b</b></i>c<i>",), ("<b>" * 20 + "x</b>y",)], "m string")
+    got = [r[0] for r in frame.select(M.direct_texts(F.col("m"))).collect()]
+    assert got == [["a", "b", "d"], ["a", "c"], ["y"]]
+    nests = ["<x>a" + "<b>" * n + "c" for n in (1, 9)] + ["<x>" + "<b>" * n + "</b>" * n + "c" for n in (8, 9, 40)]
+    frame = spark.createDataFrame([(n,) for n in nests], "m string")
+    rows = frame.select(M.first_text(F.col("m"), M.open_tag("x")), M.all_inner(F.col("m"), M.open_tag("x"))).collect()
+    assert [r[0] for r in rows] == ["a", "a", "c", "c", "c"]
+    assert [r[1] for r in rows] == [["a"], ["a"], *([n[3:]] for n in nests[2:])]
+
+
+def test_walks_are_linear(spark):
+    """Ten times the depth takes no more than some twenty times as long."""
+    import time
+
+    def seconds(deep):
+        nest = "<div><i>" * deep + "no" + "</i></div>" * deep
+        page = f'<ul id="full-view-identifiers"><strong class="current-id">{nest}9</strong></ul>' * 2
+        frame = article(spark, page)
+        extract_details(frame).collect()
+        began = time.time()
+        assert extract_details(frame).first().PMID == "9"
+        return time.time() - began
+
+    assert seconds(20_000) < 20 * max(seconds(2_000), 0.3)
+
+
 def test_blocks_end_with_their_own_element(spark):
     after = '<div><span class="docsum-pmid">999</span><span class="publication-type spaced-citation-item citation-part">Review.</span></div>'
     row = extract_hits(search(spark, hit("T", "<div><p>open</div>") + after)).first()
