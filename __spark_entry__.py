@@ -26,8 +26,9 @@ from litframe.operators.details import extract_details, flat_details  # noqa: E4
 from litframe.operators.hits import extract_hits, result_counts  # noqa: E402
 from litframe.operators.pages import extract_pages  # noqa: E402
 from litframe.plans import requests as plans  # noqa: E402
+from litframe.plans import workflow  # noqa: E402
 from litframe.sources import captures, files, store  # noqa: E402
-from litframe.sources.scratch import scratch_dir  # noqa: E402
+from litframe.sources.scratch import scratch_dir, stage  # noqa: E402
 from litframe.streaming import new_articles as feed  # noqa: E402
 
 try:
@@ -327,6 +328,17 @@ def q_run_summary(spark, sf_dir):
     )
 
 
+def q_run_counts(spark, sf_dir):
+    """Search and enrich each run of a store; what the steps counted as they went."""
+    runs = _new_store(spark, "counts")
+    pages = stage(I.search_captures(spark, sf_dir), "search")
+    articles = stage(I.article_captures(spark, sf_dir), "articles")
+    for (run_id,) in pages.select("run_id").distinct().orderBy("run_id").collect():
+        workflow.search_run(runs, pages.where(F.col("run_id") == run_id), run_id, I.SPREAD)
+        workflow.enrich_run(runs, articles, run_id, I.SPREAD)
+    return runs.run_counts()
+
+
 # ---- sinks and table maintenance ---------------------------------------------
 
 
@@ -356,6 +368,15 @@ def q_replace_run(spark, sf_dir):
     return runs.publications().select(*S.PUBLICATION.names)
 
 
+def q_record_paths(spark, sf_dir):
+    """Paths of existing files, then of fetched ones, recorded beside stored runs."""
+    runs = _new_store(spark, "paths")
+    runs.replace_run(I.publications(spark, sf_dir))
+    runs.record_paths(fulltext.already_saved(_paths(spark, sf_dir), I.files(spark, sf_dir)))
+    runs.record_paths(fulltext.saved_outcomes(_outcomes(spark, sf_dir)))
+    return runs.publications().select(*S.PUBLICATION.names)
+
+
 def q_store_fulltext(spark, sf_dir):
     folder = scratch_dir(spark, "contents")
     files.store_fulltext(I.fetched(_targets(spark, sf_dir)), folder)
@@ -582,6 +603,12 @@ def own_oracle_sql() -> dict[str, str]:
             "left join by_file e on x.run_id = e.run_id and x.PMCID = e.PMCID "
             "left join by_fetch f on x.run_id = f.run_id and x.PMCID = f.PMCID",
         ),
+        "record_paths": of(
+            marked,
+            f"select {saved_cols.format('f.p, e.p')}, x.run_id from publications x "
+            "left join by_file e on x.run_id = e.run_id and x.PMCID = e.PMCID "
+            "left join by_fetch f on x.run_id = f.run_id and x.PMCID = f.PMCID",
+        ),
         "already_saved": of(E.FULLTEXT, f"select {target} from existing"),
         "fulltext_targets": of(E.FULLTEXT, f"select {target} from targets"),
         "fulltext_targets_limit": of(
@@ -633,6 +660,15 @@ def own_oracle_sql() -> dict[str, str]:
             "from pages_made group by run_id) m left join (select run_id, count(PMCID) as details "
             "from publications group by run_id) d on m.run_id = d.run_id",
         ),
+        "run_counts": of(
+            E.PAGES,
+            "select * from (select run_id, count(*) as pages, "
+            "cast(sum(case when high < 45 then 1 else 0 end) as bigint) as pages_failed, "
+            "cast(sum(case when high >= 45 then n else 0 end) as bigint) as hits from pages_made group by run_id) "
+            "cross join (select count(*) + count(case when p_size <= 10 then 1 end) "
+            "+ count(case when p_size > 40 then 1 end) as detail_pages, "
+            "count(case when p_size > 40 then 1 end) as detail_pages_failed from part)",
+        ),
         "append_hits": of(E.HITS, f"select {bare} from numbered"),
         "create_store": of(E.HITS, "select run_id, count(*) as n from numbered group by run_id"),
         "replace_run": of(

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from litframe import schemas as S
 from litframe.operators import fulltext, merge
@@ -13,20 +14,40 @@ from litframe.sources.scratch import stage
 from litframe.sources.store import RunStore
 
 
+def _counted(captures: DataFrame, pages: str, failed: str) -> tuple[DataFrame, Observation]:
+    """Captures whose number, and that of failed ones, is known once they were read."""
+    seen = Observation()
+    rows = captures.observe(
+        seen, F.count(F.lit(1)).alias(pages), F.count_if(F.col("html").isNull()).alias(failed)
+    )
+    return rows, seen
+
+
 def search_run(
     store: RunStore, captures: DataFrame, run_id: str, partitions: int | None = None
 ) -> None:
-    """Captured search pages to stored hits of one run."""
-    pages = usable(with_page_no(with_run(spread_captures(captures, partitions), run_id)))
-    store.append_hits(extract_hits(pages))
+    """Captured search pages to stored hits of one run.
+
+    Captures that failed (NULL html) may be among them. Pages, failed pages and
+    hits are counted in the pass that parses the pages, and kept in the store
+    (``run_counts``). Spark adds counts up task by task; a task that is run again
+    because an executor was lost may count twice, while the hits never do.
+    """
+    pages, seen = _counted(spread_captures(captures, partitions), "pages", "pages_failed")
+    found = Observation()
+    hits = extract_hits(usable(with_page_no(with_run(pages, run_id))))
+    store.append_hits(hits.observe(found, F.count(F.lit(1)).alias("hits")))
+    store.record_counts(run_id, **seen.get, **found.get)
 
 
 def enrich_run(
     store: RunStore, captures: DataFrame, run_id: str, partitions: int | None = None
 ) -> None:
-    """Captured article pages onto the stored hits of one run."""
-    details = flat_details(extract_details(spread_captures(captures, partitions)))
+    """Captured article pages onto the stored hits of one run; counts as in ``search_run``."""
+    pages, seen = _counted(spread_captures(captures, partitions), "detail_pages", "detail_pages_failed")
+    details = flat_details(extract_details(pages))
     store.replace_run(merge.apply_details(store.publications(run_id), details))
+    store.record_counts(run_id, **seen.get)
 
 
 def plan_fulltexts(
@@ -44,7 +65,7 @@ def plan_fulltexts(
     paths = fulltext.fulltext_paths(store.publications(run_id), directory)
     existing = fulltext.already_saved(paths, files)
     targets = stage(fulltext.fulltext_targets(paths, files, limit), "targets")
-    store.replace_run(merge.mark_saved(store.publications(run_id), existing))
+    store.record_paths(existing)
     return targets
 
 
@@ -54,5 +75,5 @@ def record_fetches(
     """Record what a fetch brought; returns the outcome of each target."""
     outcomes = fulltext.fetch_outcomes(targets, fetched)
     saved = fulltext.saved_outcomes(outcomes)
-    store.replace_run(merge.mark_saved(store.publications(run_id), saved))
+    store.record_paths(saved)
     return outcomes

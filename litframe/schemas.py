@@ -96,3 +96,6 @@ RECORD_KEYS = {
     "reviewmark": "reviewmark",
     "savepath": "savepath",
 }
+
+#: What the steps of a run count.
+RUN_COUNTS = ("pages", "pages_failed", "hits", "detail_pages", "detail_pages_failed")

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Captured pages from Parquet; captures that failed (NULL html) are skipped.
+def read_captures(spark: SparkSession, path: str, failed: bool = False) -> DataFrame:
+    """Captured pages from Parquet; those that failed (NULL html) only with ``failed``.
 
     Search captures also hold run_id and page_no; where page_no is missing it
     is read from the address.
     """
-    frame = spark.read.parquet(path)
-    return usable(with_page_no(frame))
+    frame = with_page_no(spark.read.parquet(path))
+    return frame if failed else usable(frame)
 
 
 def usable(captures: DataFrame) -> DataFrame:

@@ -49,8 +49,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def staged(frame: DataFrame, name: str):
-    """``stage`` for the length of a block; the copy goes away when it ends well.
+def staged_at(frame: DataFrame, name: str):
+    """``stage`` for the length of a block: the rows and their folder, which goes
+    away when the block ends well.
 
     If the block fails the copy stays, and the error says where it is: it may
     be the only whole copy of rows that were being replaced.
@@ -58,8 +59,15 @@ def staged(frame: DataFrame, name: str):
     spark, path = frame.sparkSession, scratch_dir(frame.sparkSession, name)
     frame.write.parquet(path)
     try:
-        yield spark.read.schema(frame.schema).parquet(path)
+        yield spark.read.schema(frame.schema).parquet(path), path
     except Exception as error:
         error.add_note(f"the staged rows are kept at {path}")
         raise
     remove(spark, path)
+
+
+@contextmanager
+def staged(frame: DataFrame, name: str):
+    """``staged_at`` without the folder."""
+    with staged_at(frame, name) as (rows, _):
+        yield rows

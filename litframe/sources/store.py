@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litframe import schemas as S
+from litframe.operators.merge import last_per_key, mark_saved
 from litframe.operators.ordering import with_run_order
-from litframe.sources.scratch import staged
+from litframe.sources.scratch import staged, staged_at
 
 _RUN_ID = "[0-9A-Za-z_-]+"
 #: Runs that one statement removes.
@@ -79,43 +81,105 @@ def as_publications(hits: DataFrame) -> DataFrame:
 
 
 class RunStore:
-    """A managed Parquet table of ``PUBLICATION`` rows, partitioned by run_id."""
+    """A managed Parquet table of ``PUBLICATION`` rows, partitioned by run_id.
+
+    Two narrow tables stand beside it: ``<table>_paths`` with full texts saved since
+    a run was written, and ``<table>_counts`` with what each step of a run saw. One
+    writer at a time may change a run.
+    """
 
     def __init__(self, spark: SparkSession, table: str):
         self.spark = spark
         self.table = table
+        self.paths, self.counts = f"{table}_paths", f"{table}_counts"
 
     def create(self, location: str | None = None) -> RunStore:
-        """Create database (at ``location``, if given) and table if missing."""
+        """Create database (at ``location``, if given) and tables if missing."""
         if "." in self.table:
             database = self.table.rsplit(".", 1)[0]
             place = f" LOCATION '{location}'" if location else ""
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.PUBLICATION.fields)
-        self.spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} ({columns}) "
-            "USING parquet PARTITIONED BY (run_id)"
-        )
+        counts = ", ".join(f"{c} bigint" for c in S.RUN_COUNTS)
+        for table, own in (
+            (self.table, columns),
+            (self.paths, "PMCID string, savepath string, recorded bigint, run_id string"),
+            (self.counts, f"{counts}, run_id string"),
+        ):
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({own}) USING parquet PARTITIONED BY (run_id)")
         return self
 
-    def publications(self, run_id: str | None = None) -> DataFrame:
-        """All columns of one run (or of all); a run reads only its partition."""
-        frame = self.spark.table(self.table)
+    def _records(self, table: str, run_id: str | None) -> DataFrame:
+        frame = self.spark.table(table)
         return frame if run_id is None else frame.where(F.col("run_id") == run_id)
 
+    def publications(self, run_id: str | None = None) -> DataFrame:
+        """All columns of one run (or of all); a run reads only its partition.
+
+        Paths recorded since the run was written are joined in; where there are
+        none, which the catalog tells, the stored rows are read as they are.
+        """
+        frame = self._records(self.table, run_id)
+        if not self._has_paths(run_id):
+            return frame
+        recorded = self._records(self.paths, run_id)
+        return mark_saved(frame, recorded.select("run_id", F.col("recorded").alias("id"), "PMCID", "savepath"))
+
     def keys(self, run_id: str | None = None) -> DataFrame:
-        return article_keys(self.publications(run_id))
+        return article_keys(self._records(self.table, run_id))
+
+    def _partitions(self, table: str, run_id: str | None = None) -> DataFrame:
+        only = "" if run_id is None else f" PARTITION (run_id = {_literal(run_id)})"
+        return self.spark.sql(f"SHOW PARTITIONS {table}{only}")
+
+    def _has_paths(self, run_id: str | None) -> bool:
+        return (
+            run_id != "" and self.spark.catalog.tableExists(self.paths)
+            and not self._partitions(self.paths, run_id).isEmpty()
+        )
+
+    def record_paths(self, saved: DataFrame) -> None:
+        """Record full texts that were saved: run_id, id, PMCID, savepath.
+
+        Means what replacing the runs by ``mark_saved`` of them means, but writes
+        only keys and paths; the records stay as they are. Of several rows with
+        one PMCID in a run the last by ``id`` counts, and later calls win over
+        earlier ones. ``fold_paths`` writes them into a run.
+        """
+        usable = saved.where((F.col("PMCID") != "") & F.col("savepath").isNotNull())
+        last = last_per_key(usable, "PMCID", "id", "savepath", group=("run_id",))
+        with staged(last, "paths") as rows:
+            self._check_names(rows)
+            now = F.lit(time.time_ns()).alias("recorded")
+            even = rows.select("PMCID", "savepath", now, "run_id").hint("rebalance", "run_id")
+            even.write.insertInto(self.paths)
+
+    def fold_paths(self, run_id: str) -> None:
+        """Write the recorded paths of a run into its records."""
+        if self._has_paths(run_id):
+            self.replace_run(self.publications(run_id))
+
+    def record_counts(self, run_id: str, **counts: int) -> None:
+        """Add what a step of the run saw to its counts (``schemas.RUN_COUNTS``)."""
+        row = self.spark.range(1).select(*[F.lit(counts.get(c, 0)).cast("long") for c in S.RUN_COUNTS], F.lit(run_id))
+        row.write.insertInto(self.counts)
+
+    def run_counts(self) -> DataFrame:
+        """One row per run: search pages, those that failed, hits, article pages
+        captured, and those that failed, as its steps saw them."""
+        return self.spark.table(self.counts).groupBy("run_id").agg(*[F.sum(c).alias(c) for c in S.RUN_COUNTS])
+
+    @staticmethod
+    def _names(partitions: DataFrame) -> DataFrame:
+        escaped = F.replace(F.substring("partition", len("run_id=") + 1, 1 << 30), F.lit("+"), F.lit("%2B"))
+        return partitions.select(F.url_decode(escaped).alias("run_id"))
 
     def runs(self) -> DataFrame:
         """Run names in order, from the catalog; no data file is opened."""
-        parts = self.spark.sql(f"SHOW PARTITIONS {self.table}")
-        escaped = F.replace(F.substring("partition", len("run_id=") + 1, 1 << 30), F.lit("+"), F.lit("%2B"))
-        return parts.select(F.url_decode(escaped).alias("run_id")).orderBy("run_id")
+        return self._names(self._partitions(self.table)).orderBy("run_id")
 
     def _has(self, run_id: str) -> bool:
-        return run_id != "" and not self.spark.sql(
-            f"SHOW PARTITIONS {self.table} PARTITION (run_id = {_literal(run_id)})"
-        ).isEmpty()
+        return run_id != "" and not self._partitions(self.table, run_id).isEmpty()
 
     def _check_names(self, rows: DataFrame) -> None:
         """Runs that are written must have plain names (``run_id_of`` makes them)."""
@@ -142,14 +206,19 @@ class RunStore:
 
         The new rows usually come from the partitions they replace, so they are
         staged in the shared folder before any partition is overwritten. A swap
-        that breaks off can be done again from the staged copy.
+        that breaks off can be done again from the staged copy. Paths recorded
+        for these runs before are forgotten after it: the new rows hold them if
+        they come from ``publications``.
         """
-        with staged(publications.select(*S.PUBLICATION.names), "runs") as rows:
+        with staged_at(publications.select(*S.PUBLICATION.names), "runs") as (rows, path):
             self._check_names(rows)
             # the setting holds in a session of its own: other writers keep theirs
             own = self.spark.newSession()
             own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-            self._write(own.read.schema(rows.schema).parquet(*rows.inputFiles()), overwrite=True)
+            self._write(own.read.schema(rows.schema).parquet(path), overwrite=True)
+            if self._has_paths(None):
+                recorded = self._names(self._partitions(self.paths))
+                self._drop(self.paths, recorded.join(rows.select("run_id"), "run_id", "left_semi"))
         self.spark.catalog.refreshTable(self._qualified)
 
     def _write(self, rows: DataFrame, overwrite: bool) -> None:
@@ -164,20 +233,27 @@ class RunStore:
         return self.table if "." in self.table else f"{self.spark.catalog.currentDatabase()}.{self.table}"
 
     def drop_run(self, run_id: str) -> bool:
-        """Remove a run; tells whether it was there."""
+        """Remove a run with its paths and counts; tells whether it was there."""
         if not self._has(run_id):
             return False
-        self._drop([run_id])
+        self._drop_all(self.spark.range(1).select(F.lit(run_id).alias("run_id")))
         return True
 
-    def _drop(self, run_ids: list[str]) -> None:
-        parts = ", ".join(f"PARTITION (run_id = {_literal(r)})" for r in run_ids)
-        self.spark.sql(f"ALTER TABLE {self.table} DROP IF EXISTS {parts}")
+    def _drop_all(self, names: DataFrame) -> list[str]:
+        # the records go last: a run that is still listed can be dropped again
+        for table in (self.paths, self.counts):
+            if self.spark.catalog.tableExists(table):
+                self._drop(table, names)
+        return self._drop(self.table, names)
+
+    def _drop(self, table: str, names: DataFrame) -> list[str]:
+        run_ids = [r.run_id for r in names.toLocalIterator()]
+        for start in range(0, len(run_ids), DROPPED_AT_ONCE):
+            some = run_ids[start : start + DROPPED_AT_ONCE]
+            parts = ", ".join(f"PARTITION (run_id = {_literal(r)})" for r in some)
+            self.spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {parts}")
+        return run_ids
 
     def retain_runs(self, keep_last: int = 0) -> list[str]:
         """Remove all but the last ``keep_last`` runs; returns the removed names."""
-        newest_first = self.runs().orderBy(F.desc("run_id"))
-        old = [r.run_id for r in newest_first.offset(keep_last).toLocalIterator()]
-        for start in range(0, len(old), DROPPED_AT_ONCE):
-            self._drop(old[start : start + DROPPED_AT_ONCE])
-        return old
+        return self._drop_all(self.runs().orderBy(F.desc("run_id")).offset(keep_last))

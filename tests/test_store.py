@@ -326,6 +326,83 @@ def test_workflow(spark, store, tmp_path):
         (1, f"{folder}/Title 1.pdf"), (2, None), (3, f"{folder}/Title 3.pdf"), (4, None), (5, None)]
 
 
+def test_steps_count_what_they_see(spark, store, tmp_path):
+    run, other = "20241201000000", "20241202000000"
+    pages = [(1, "u?page=1", search_page(1, 2, 3)), (2, "u?page=2", None), (3, "u?page=3", search_page(4, 5))]
+    spark.createDataFrame(pages, ARTICLE).write.parquet(f"{tmp_path}/search")
+    seen = captures.read_captures(spark, f"{tmp_path}/search", failed=True)
+    workflow.search_run(store, seen, run)
+    workflow.search_run(store, seen.where("page_id = 2"), other)
+    articles = [(1, None, article_page(1, "PMC1")), (2, None, None), (3, None, None), (4, None, "<p></p>")]
+    for _ in range(2):
+        workflow.enrich_run(store, spark.createDataFrame(articles, ARTICLE), run)
+    assert rows(store.run_counts(), "run_id", *S.RUN_COUNTS) == [(run, 3, 1, 5, 8, 4), (other, 1, 1, 0, 0, 0)]
+    store.drop_run(run)
+    assert rows(store.run_counts(), "run_id") == [(other,)]
+
+
+def test_pages_are_read_once_while_they_are_counted(spark, store, tmp_path):
+    spark.createDataFrame([(1, "u?page=1", search_page(1, 2))], ARTICLE).write.parquet(f"{tmp_path}/in")
+    seen = captures.read_captures(spark, f"{tmp_path}/in", failed=True)
+    counted, _ = workflow._counted(seen, "pages", "pages_failed")
+    hits = extract_hits(captures.usable(captures.with_run(counted, "r")))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and plan.count("CollectMetrics") == 1 and "Exchange" not in plan
+
+
+# ---- paths beside the records ----------------------------------------------------
+
+
+def publications(spark, keys):
+    return store_module.as_publications(spark.createDataFrame(keys, "run_id string, id long, PMCID string"))
+
+
+def files_of(frame):
+    return sorted(frame.inputFiles())
+
+
+def test_recorded_paths_leave_the_records_alone(spark, store):
+    pubs = publications(spark, [("a", 1, "PMC1"), ("a", 2, "PMC1"), ("a", 3, ""), ("a", 4, None), ("b", 1, "PMC1"), ("b", 2, "PMC2")])
+    store.replace_run(pubs)
+    before = files_of(spark.table(store.table))
+    saved = spark.createDataFrame(
+        [("a", 1, "PMC1", "old"), ("a", 2, "PMC1", "new"), ("a", 3, "", "x"), ("a", 4, None, "y"), ("b", 2, "PMC2", None)],
+        "run_id string, id long, PMCID string, savepath string",
+    )
+    store.record_paths(saved)
+    store.record_paths(saved.limit(0))
+    want = [("a", 1, "new"), ("a", 2, "new"), ("a", 3, None), ("a", 4, None), ("b", 1, None), ("b", 2, None)]
+    assert rows(store.publications(), "run_id", "id", "savepath") == want
+    assert files_of(spark.table(store.table)) == before
+    assert set(spark.table(store.paths).columns) == {"PMCID", "savepath", "recorded", "run_id"}
+    # a later call wins; a run without paths is read without a join
+    store.record_paths(spark.createDataFrame([("a", 1, "PMC1", "last")], saved.schema))
+    assert rows(store.publications("a").where("id < 3"), "savepath") == [("last",), ("last",)]
+    assert "Join" not in store.publications("b")._jdf.queryExecution().optimizedPlan().toString()
+    assert "savepath" not in store.keys("a").columns
+    assert "Join" not in store.keys("a")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_recorded_paths_are_folded_and_forgotten(spark, store):
+    store.replace_run(publications(spark, [("a", 1, "PMC1"), ("b", 1, "PMC1")]))
+    one = spark.createDataFrame(
+        [("a", 1, "PMC1", "p"), ("b", 1, "PMC1", "q")], "run_id string, id long, PMCID string, savepath string")
+    store.record_paths(one)
+    store.fold_paths("a")
+    assert rows(spark.table(store.table), "run_id", "savepath") == [("a", "p"), ("b", None)]
+    assert rows(store.publications(), "run_id", "savepath") == [("a", "p"), ("b", "q")]
+    assert rows(spark.table(store.paths), "run_id") == [("b",)]
+    # new contents of a run mean what they say
+    store.replace_run(publications(spark, [("b", 1, "PMC1")]))
+    assert rows(store.publications("b"), "savepath") == [(None,)]
+    store.record_paths(one.where("run_id = 'b'"))
+    assert store.drop_run("b")
+    store.replace_run(publications(spark, [("b", 1, "PMC1")]))
+    assert rows(store.publications("b"), "savepath") == [(None,)]
+    with pytest.raises(ValueError):
+        store.record_paths(spark.createDataFrame([("a/b", 1, "PMC1", "p")], one.schema))
+
+
 # ---- the feed ------------------------------------------------------------------
 
 
