@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from litframe.operators.details import extract_details, flat_details
 from litframe.operators.merge import last_per_key, new_articles
 from litframe.sources.scratch import exists, staged
+from litframe.streaming.key_index import PREFIXES, KeyIndex
 
 STREAM_CAPTURES = T.StructType(
     [T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
@@ -18,6 +20,9 @@ STREAM_CAPTURES = T.StructType(
 )
 
 
+_FED = "PMID string, feed string, batch long"
+
+
 def read_capture_stream(
     spark: SparkSession, path: str, files_per_trigger: int = 1000
 ) -> DataFrame:
@@ -27,13 +32,15 @@ def read_capture_stream(
 
 
 def start_feed(
-    captures: DataFrame, known: DataFrame, path: str, checkpoint: str
+    captures: DataFrame, known: DataFrame, path: str, checkpoint: str, prefixes: int = PREFIXES
 ) -> StreamingQuery:
     """Append details of articles not in ``known`` to Parquet at ``path``, each once.
 
     What was fed before, by this feed or others with the same ``path``, is looked
-    up in the output itself, so there is no state that grows or expires; of it and
-    of ``known`` only articles of the batch are shuffled. Copies of one article
+    up in an index beside the output (``<path>_keys``), in as many of its
+    ``prefixes`` folders as the batch has articles at most; no state expires. Where there
+    is output without an index, the index is made from it first. Of what is found
+    and of ``known`` only articles of the batch are shuffled. Copies of one article
     are reduced to the last one first. Each batch goes to a folder named after
     the feed and the batch and replaces that folder when it is run again, so a
     restart leaves no rows twice and no feed touches what another wrote. One feed
@@ -49,13 +56,20 @@ def start_feed(
         feed = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
         with staged(last_per_key(batch, "PMID", "page_id", *names), "batch") as latest:
             seen = known.select("PMID")
-            if exists(spark, path):
-                fed = spark.read.schema("PMID string, feed string, batch long").parquet(path)
+            index = KeyIndex(spark, f"{path.rstrip('/')}_keys", prefixes)
+            if not index.exists() and exists(spark, path):
+                index.add(spark.read.schema(_FED).parquet(path))
+            fed = index.read(index.touched(latest))
+            if fed is not None:
                 own = (fed.feed == feed) & (fed.batch >= batch_id)
                 seen = seen.unionByName(fed.where(~own).select("PMID"))
             seen = seen.join(latest.select("PMID"), "PMID", "left_semi")
             fresh = new_articles(latest, seen)
-            fresh.write.mode("overwrite").parquet(f"{path}/feed={feed}/batch={batch_id}")
+            out = f"{path}/feed={feed}/batch={batch_id}"
+            fresh.write.mode("overwrite").parquet(out)
+            # after the output: a batch that breaks off here is run again
+            keys = spark.read.schema("PMID string").parquet(out)
+            index.add(keys.select("PMID", F.lit(feed).alias("feed"), F.lit(batch_id).cast("long").alias("batch")))
 
     return (
         details.writeStream.foreachBatch(write)

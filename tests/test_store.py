@@ -18,6 +18,7 @@ from litframe.plans import workflow
 from litframe.sources import captures, files, scratch
 from litframe.sources import store as store_module
 from litframe.sources.store import RunStore
+from litframe.streaming import key_index
 from litframe.streaming import new_articles as feed
 
 ARTICLE = "page_id long, url string, html string"
@@ -433,3 +434,35 @@ def test_feed(spark, tmp_path):
     arrive(5, (9, 4), (10, 5))
     feed.start_feed(stream, known, f"{tmp_path}/out", f"{tmp_path}/other").awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/out"), "PMID", "page_id") == [*got, ("5", 10)]
+
+
+def test_index_reads_a_bounded_number_of_files(spark, tmp_path):
+    index = key_index.KeyIndex(spark, f"{tmp_path}/keys", prefixes=4)
+    assert not index.exists() and index.read([0, 1, 2, 3]) is None
+    schema = "PMID string, feed string, batch long"
+    for batch in range(2 * key_index.MOST_FILES + 3):
+        index.add(spark.createDataFrame([(str(batch * 10 + i), "f", batch) for i in range(10)] + [(None, "f", batch)], schema))
+        assert all(len(index._files(p)) <= key_index.MOST_FILES for p in range(4))
+    keys = spark.createDataFrame([("7",), ("nothing",), (None,)], "PMID string")
+    touched = index.touched(keys)
+    found = index.read(touched)
+    assert len(found.inputFiles()) <= len(touched) * key_index.MOST_FILES
+    assert rows(found.where("PMID = '7'"), "PMID", "batch") == [("7", 0)]
+    every = rows(index.read([0, 1, 2, 3]), "PMID")
+    assert len(every) == 10 * (2 * key_index.MOST_FILES + 3) == len(set(every))
+    # rows that a broken write left twice are made one, and nothing else changes
+    index._append(index.read([0, 1, 2, 3]))
+    assert set(rows(index.read([0, 1, 2, 3]), "PMID")) == set(every)
+
+
+def test_a_feed_without_index_gets_one(spark, tmp_path):
+    known = spark.createDataFrame([], "PMID string")
+    old = spark.createDataFrame([("2", "x", 0)], "PMID string, feed string, batch long")
+    old.write.partitionBy("feed", "batch").parquet(f"{tmp_path}/out")
+    pages = spark.createDataFrame([(1, None, article_page(2)), (2, None, article_page(3))], ARTICLE)
+    pages.coalesce(1).write.parquet(f"{tmp_path}/in/1")
+    stream = feed.read_capture_stream(spark, f"{tmp_path}/in/*")
+    feed.start_feed(stream, known, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert rows(spark.read.schema("PMID string").parquet(f"{tmp_path}/out"), "PMID") == [("2",), ("3",)]
+    index = key_index.KeyIndex(spark, f"{tmp_path}/out_keys")
+    assert rows(index.read(range(key_index.PREFIXES)), "PMID") == [("2",), ("3",)]
