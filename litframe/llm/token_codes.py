@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litframe.llm.frames import empty_text, ship
-from litframe.llm.words import chunks
+from litframe.llm.words import LOWER, chunks, text_buffers
 
 CHUNK_BITS = 8
 RANK_BITS = 512
@@ -39,7 +39,7 @@ FILE_BYTES = 32 << 20
 #: Text bytes that are encoded together.
 BATCH_BYTES = 4 << 20
 #: Words whose ids are remembered; beyond, the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 SCHEMA = (
     "file int, segment int, doc_ids array<long>, lengths array<long>, tokens long, "
@@ -157,9 +157,46 @@ def _parted(word: str) -> bool:
     return word[-1:] in (".", ",") and _is_letter(word[-2:-1])
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Parts of texts that are tokens of their own, and each text's first.
+
+    Parts end at blanks and line ends, and between ASCII characters of which one is a
+    letter and the other not, or of which one is a digit. Apostrophes and control
+    characters part nothing, as they may belong to either side. Parts of ASCII
+    characters alone are in lower case.
+    """
+    n, kind = len(data), _KIND[data]
+    text_start = np.zeros(n + 1, bool)
+    text_start[offsets] = True
+    inside = kind > 0
+    before = np.concatenate([[0], kind[:-1]]) if n else kind
+    parts = (before < _OTHER) & (kind < _OTHER) & ((kind != before) | (kind == _DIGIT))
+    starts = inside & (text_start[:n] | (before == 0) | parts)
+    start = np.flatnonzero(starts)
+    kept = data[inside]
+    sizes = np.diff(np.append(np.cumsum(inside)[start] - 1, len(kept))) if len(start) else np.zeros(0, np.int64)
+    high = np.concatenate([[0], np.cumsum(kept >= 0x80)])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    foreign = high[ends[1:]] > high[ends[:-1]]
+    lower = LOWER[kept]
+    kept = np.where(np.repeat(foreign, sizes), kept, lower) if foreign.any() else lower
+    cells = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
+    return cells, np.searchsorted(start, offsets)
+
+
+#: Kinds of bytes: white space that parts, letters, digits, other signs, and what parts nothing.
+_LETTER, _DIGIT, _SIGN, _OTHER = 1, 2, 3, 4
+_KIND = np.full(256, _OTHER, np.int8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x27] = _OTHER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[[0x20, 0x0A]] = 0
+
+
 class WordEncoder:
     """Ids of texts by a lower-casing tokenizer that never joins what a blank or
-    line end parts, nor a letter and a full stop or comma.
+    line end parts, nor a letter and a sign or digit.
 
     Words are told apart by Arrow, and ids of the distinct ones are remembered;
     no Python object is made per word. Texts with a special token's string are
@@ -197,8 +234,8 @@ class WordEncoder:
             marked = pc.or_(marked, pc.match_substring(texts, mark))
         marked = marked.to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(marked), "", texts) if marked.any() else texts
-        pieces = pc.split_pattern(pc.replace_substring(plain.cast(pa.large_string()), "\n", " "), " ")
-        coded = pieces.flatten().dictionary_encode()
+        cells, first = pieces(*text_buffers(plain))
+        coded = cells.dictionary_encode()
         own = self._found(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
         pool, begins = np.frombuffer(b"".join(own), np.uint32), np.cumsum(sizes) - sizes
@@ -206,8 +243,7 @@ class WordEncoder:
         counts = sizes[code]
         ends = np.concatenate([[0], np.cumsum(counts)])
         ids = pool[np.repeat(begins[code] - ends[:-1], counts) + np.arange(ends[-1])]
-        bounds = pieces.offsets.to_numpy()
-        cuts = ends[bounds - bounds[0]]
+        cuts = ends[first]
         return [
             np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32) if marked[i]
             else ids[cuts[i] : cuts[i + 1]]

@@ -64,6 +64,16 @@ def test_random_texts(tokenizer):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_parts_are_parted_as_the_tokenizer_does(tokenizer):
+    own, rng = C.WordEncoder(tokenizer_path()), random.Random(11)
+    signs = [chr(i) for i in range(128)] + list("ÄßİıΣЖकक़য\u0338\u0323\u0301\u20e3中\U0001f600J\u030c\u00a0\x85ªº²½Ǆ’") + list("aAbB'.,!=<>019 '") * 3
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(25))) for _ in range(20_000)]
+    texts += ["don't I'LL we've 'S 't's a's1 x's# J\u030c. =\u0338 a=\u0338b", "1\u20e3", "rock'n'roll's", "''s", "a'", "'", "a1b22c#d"]
+    whole = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    found = own.many(pa.array(texts))
+    assert [t for t, f, w in zip(texts, found, whole, strict=True) if f.tolist() != w.ids] == []
+
+
 def test_other_tokenizers_get_whole_texts(tokenizer):
     import public_tokenizers
     from tokenizers import Tokenizer
