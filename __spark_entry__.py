@@ -281,6 +281,20 @@ def q_new_articles_feed(spark, sf_dir):
     return spark.read.parquet(f"{folder}/new").select(*FLAT)
 
 
+def q_new_articles_state(spark, sf_dir):
+    """Keys of the same articles from the feed that keeps them in the state store."""
+    folder = scratch_dir(spark, "state")
+    pages = feed.read_capture_stream(spark, f"{folder}/captures/*")
+    first = F.col("page_id") < I.SECOND_CAPTURE
+    for name, part in (("a", first), ("b", ~first)):
+        arrived = I.article_captures(spark, sf_dir).where(part)
+        captures.spread_captures(arrived, I.SPREAD).write.parquet(f"{folder}/captures/{name}")
+        feed.start_state_feed(
+            pages, I.publications(spark, sf_dir), f"{folder}/new", f"{folder}/checkpoint"
+        ).awaitTermination()
+    return spark.read.parquet(f"{folder}/new").select("PMID")
+
+
 # ---- filters, paths, outcomes, order -----------------------------------------
 
 
@@ -647,6 +661,10 @@ def own_oracle_sql() -> dict[str, str]:
             "select * from hits union all select * replace ('again' as run_id) from hits",
         ),
         "run_order": of(E.HITS, "select run_id, id, page_no, position, PMID from numbered"),
+        "new_articles_state": of(
+            E.PUBLICATIONS,
+            "select distinct PMID from flat where PMID is not null and PMID not in (select PMID from publications)",
+        ),
         "page_summary": of(
             E.PAGES,
             "select run_id, page_no, cast(case when high >= 45 then n else 0 end as bigint) as hits, "

@@ -19,6 +19,14 @@ def _div(col: Column, by: int) -> Column:
     return F.coalesce(F.call_function("div", col, F.lit(by)), F.lit(0).cast("long"))
 
 
+def _known(col: Column, name: str) -> Column:
+    """The order of a row; a row without one raises.
+
+    Such rows would all meet in one block, which then has no bound.
+    """
+    return F.when(col.isNull(), F.raise_error(F.lit(f"a row has no {name}, so it has no place in its run"))).otherwise(col)
+
+
 def _offsets(counts: DataFrame, group: list[str], order: str) -> DataFrame:
     """Running sum of ``n`` before each row, in ``order``, per group."""
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(
@@ -77,8 +85,11 @@ def with_run_order(
 def dense_position(
     rows: DataFrame, group: list[str], order: str = "id", rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
-    """Add ``pos``: 1..n by a unique whole-number column, gaps closed, per group."""
-    blocked = rows.withColumn("_block", _div(F.col(order), rows_per_block))
+    """Add ``pos``: 1..n by a unique whole-number column, gaps closed, per group.
+
+    A row whose order is NULL raises.
+    """
+    blocked = rows.withColumn("_block", _div(_known(F.col(order), order), rows_per_block))
     counts = blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("n"))
     offsets = _offsets(counts, group, "_block").drop("n")
     inside = Window.partitionBy(*group, "_block").orderBy(order)
@@ -94,13 +105,13 @@ def plan_batches(
     """Cut the key list of each run into batches of ``size``: order kept, last short.
 
     ``dense`` says that ``order`` already runs 1..n without gaps (a whole run);
-    the batch number is then plain arithmetic.
+    the batch number is then plain arithmetic. A row whose order is NULL raises.
     """
     placed = (
         rows.select("run_id", F.col(order).alias("pos"), key) if dense
         else dense_position(rows.select("run_id", order, key), ["run_id"], order)
     )
-    batch = _div(F.col("pos") - 1, size).alias("batch_no")
+    batch = _div(_known(F.col("pos"), order) - 1, size).alias("batch_no")
     pairs = F.array_sort(F.collect_list(F.struct("pos", F.col(key).alias("key"))))
     return (
         placed.groupBy("run_id", batch)

@@ -20,6 +20,7 @@ STREAM_CAPTURES = T.StructType(
 )
 
 
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _FED = "PMID string, feed string, batch long"
 
 
@@ -77,3 +78,29 @@ def start_feed(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def start_state_feed(
+    captures: DataFrame, known: DataFrame, path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Append details of articles not in ``known`` to Parquet at ``path``, each once,
+    with the keys it has fed in Spark's state store.
+
+    ``every`` is the pause between batches of a feed that goes on (such as ``1 minute``);
+    without it, what has arrived is fed and the feed ends. Nothing is looked up
+    in the output: a batch touches the state of its own keys, which RocksDB keeps
+    on disk and the checkpoint restores after a restart or on another executor. Of
+    several copies of an article one is fed; later ones, whenever they come,
+    are dropped. The state holds one key per article and does not expire. It
+    belongs to the checkpoint, so two feeds into one ``path`` do not know of each other.
+    """
+    spark = captures.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    details = flat_details(extract_details(captures))
+    fresh = new_articles(details, known).dropDuplicates(["PMID"])
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return (
+        fresh.writeStream.format("parquet").outputMode("append")
+        .option("path", path).option("checkpointLocation", checkpoint)
+        .trigger(**trigger).start()
+    )

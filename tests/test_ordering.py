@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from litframe.operators import ordering as O
 
 
@@ -74,6 +76,13 @@ def test_dense_batches_need_no_ranking(spark):
     assert "Window" not in planned._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_without_an_order_raise(spark):
+    frame = spark.createDataFrame([("r", 1, "a"), ("r", None, "b")], "run_id string, id long, key string")
+    for planned in (O.plan_batches(frame, "key", 5), O.plan_batches(frame, "key", 5, dense=True), O.dense_position(frame, ["run_id"])):
+        with pytest.raises(Exception, match="has no id"):
+            planned.collect()
+
+
 def test_no_window_over_a_whole_run_of_rows(spark):
     _, frame = hits(spark)
     plan = O.with_run_order(frame)._jdf.queryExecution().optimizedPlan().toString()

@@ -466,3 +466,33 @@ def test_a_feed_without_index_gets_one(spark, tmp_path):
     assert rows(spark.read.schema("PMID string").parquet(f"{tmp_path}/out"), "PMID") == [("2",), ("3",)]
     index = key_index.KeyIndex(spark, f"{tmp_path}/out_keys")
     assert rows(index.read(range(key_index.PREFIXES)), "PMID") == [("2",), ("3",)]
+
+
+def test_state_feed(spark, tmp_path):
+    def arrive(n, *articles):
+        pages = [(p, None, article_page(q) if q else "<p></p>") for p, q in articles]
+        spark.createDataFrame(pages, ARTICLE).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+
+    known = spark.createDataFrame([("1",)], "PMID string")
+
+    def fed():
+        return rows(spark.read.parquet(f"{tmp_path}/out"), "PMID")
+
+    def start(**how):
+        stream = feed.read_capture_stream(spark, f"{tmp_path}/in/*", 1)
+        return feed.start_state_feed(stream, known, f"{tmp_path}/out", f"{tmp_path}/check", **how)
+
+    arrive(1, (1, 1), (2, 2), (3, 2), (4, None))
+    start().awaitTermination()
+    assert fed() == [("2",)]
+    # late copies, and a feed that goes on after a restart
+    arrive(2, (5, 2), (6, 3))
+    arrive(3, (7, 3), (8, 4))
+    query = start(every="1 second")
+    query.processAllAvailable()
+    arrive(4, (9, 4), (10, 5), (11, 1))
+    query.processAllAvailable()
+    query.stop()
+    assert fed() == [("2",), ("3",), ("4",), ("5",)]
+    start().awaitTermination()
+    assert len(fed()) == 4
