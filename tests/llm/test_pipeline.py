@@ -110,3 +110,11 @@ def test_contract_columns(spark, name):
         for source in {r["source"] for r in rows}:
             own = [r for r in rows if r["source"] == source]
             assert {r["source_size"] for r in own} == {sum(r["size"] for r in own)}
+
+
+def test_other_columns_go_along(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "concat('own ', doc_id) as kept", "doc_id as row", "1 as slot")
+    for _, step in P.STAGES:
+        docs = stage(step(spark, docs, SF), "more")
+    assert docs.columns == [*P.COLUMNS, "kept", "row", "shard", "slot"]
+    assert docs.count() and docs.filter("kept <> concat('own ', doc_id) or row <> doc_id").count() == 0
