@@ -8,10 +8,11 @@ with the number of phrases up to a fixed bound.
 
 Inside a task, words get numbers, and sequences of numbers are counted in a trie
 with hash containers (`hat_trie`). Once it is full, whole subtrees are spilled as
-runs of phrases in byte order. Runs are written to the shared folder and merged
-per range of phrases, which are prefix partitions of about equal size, as a
-prefix with very many phrases is cut at a longer one. Phrases are told apart by
-their words; hashes only leave out what cannot be frequent.
+runs, sorted by their words. Runs are merged per prefix partition: a first word,
+or, for words that make up a thousandth of a language or more, one of 64 parts of what
+follows, so that no first word holds too many phrases. A row of a run has all that
+follows one prefix in it. Phrases are told apart by their words; hashes only leave out what
+cannot be frequent.
 """
 
 from __future__ import annotations
@@ -27,21 +28,23 @@ from pyspark.sql import functions as F
 
 from litframe.llm import words as W
 from litframe.llm.frames import empty_text, ship, stage
-from litframe.llm.hat_trie import HatTrie
-from litframe.sources.scratch import staged
+from litframe.llm.hat_trie import HatTrie, summed
 
 #: Words of the longest phrase, and how often a phrase must occur.
 LONGEST, LEAST = 5, 100
 #: Phrases returned for a language.
 TOP = 2000
 #: Entries of a task's trie, and words that have a number in it.
-ENTRIES, NUMBERS = 500_000, 500_000
+ENTRIES, NUMBERS = 1_500_000, 500_000
 #: Bits of the bitmap for each phrase, and its bits at most (16 MB).
 BITS_EACH, MOST_BITS = 32, 1 << 27
 #: Rows of a run that are handed over at once.
 RUN_ROWS = 1 << 16
-#: Parts of a language that are ranked apart first.
+#: Parts of a hot first word's phrases that are merged apart, and of a language's that are
+#: ranked apart first.
 PARTS = 64
+#: Share of all words (one in so many) from which a first word is hot: at most so many are.
+HOT = 1000
 
 _BLANKS = W.byte_table([(0x20, 0x20), (0x09, 0x09)])
 _BREAKS = W.byte_table([(0x0A, 0x0D)]) | np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
@@ -108,11 +111,16 @@ def _cells(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Dictionar
     return made.dictionary_encode()
 
 
+def _changes(rows: np.ndarray) -> np.ndarray:
+    """True for rows that differ from the one before."""
+    return np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
+
+
 class _Counter:
     """Counts phrases of ``size`` words in the texts of a task."""
 
-    def __init__(self, size: int, shorter: Bitmap | None, entries: int, numbers: int):
-        self.size, self.shorter, self.numbers = size, shorter, numbers
+    def __init__(self, size: int, shorter: Bitmap | None, entries: int, numbers: int, hot: frozenset = frozenset()):
+        self.size, self.shorter, self.numbers, self.hot = size, shorter, numbers, hot
         self.trie = HatTrie(size + 1, entries)
         self.names: list[str] = []
         self.number: dict[str, int] = {}
@@ -160,10 +168,22 @@ class _Counter:
         ids = np.zeros(n, np.int32)
         ids[own] = self._number(cells.dictionary.to_pylist())[cells.indices.to_numpy()]
         rows = np.stack([self._number(names)[code[at]], *(ids[at + k] for k in range(size))], axis=1)
-        rows = rows[np.argsort(_grams(found.hash, seeds, size)[at], kind="stable")]
-        new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
-        first = np.flatnonzero(new)
-        self.trie.add(rows[first], np.diff(np.append(first, len(rows))))
+        self.trie.add(*summed(rows, np.ones(len(rows), np.int64)))
+
+    def _parts(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Which part of its first word's phrases a phrase is in; 0 unless that is hot."""
+        part = np.zeros(len(rows), np.int64)
+        if not self.hot or self.size < 2:
+            return part
+        begin = np.flatnonzero(_changes(rows[:, :2]))
+        names = self.names
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)], strict=True):
+            if (names[rows[a, 0]], names[rows[a, 1]]) in self.hot:
+                made = np.zeros(b - a, np.uint64)
+                for column in rows[a:b, 2:].T:
+                    made = made * _STEP + hashes[column]
+                part[a:b] = W.mix(made, 9) % np.uint64(PARTS)
+        return part
 
     def spill(self, last: bool = False) -> Iterator[pa.RecordBatch]:
         """Runs of the subtrees that have to go: half of a full trie, or all."""
@@ -171,30 +191,42 @@ class _Counter:
         if not (last or renumber or self.trie.full()):
             return
         names = pa.array(self.names, pa.large_string())
+        place = np.empty(len(names), np.int64)
+        place[pc.sort_indices(names).to_numpy()] = np.arange(len(names))
+        hashes = np.fromiter((zlib.crc32(n.encode()) for n in self.names), np.uint64, len(self.names))
         for rows, counts in self.trie.spill(0 if last or renumber else self.trie.limit // 2):
-            words = [names.take(pa.array(c)) for c in rows[:, 1:].T]
-            phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()))
-            run = pa.table([names.take(pa.array(rows[:, 0])), phrase, pa.array(counts)], ["lang", "phrase", "n"])
-            run = run.take(pc.sort_indices(run, [("lang", "ascending"), ("phrase", "ascending")]))
-            run = run.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]))
+            order = np.lexsort(place[rows].T[::-1])
+            rows, counts = rows[order], counts[order]
+            part = self._parts(rows, hashes)
+            if part.any():  # within a first word by part
+                order = np.lexsort((part, np.cumsum(_changes(rows[:, :2]))))
+                rows, counts, part = rows[order], counts[order], part[order]
+            first = np.flatnonzero(_changes(np.column_stack([rows[:, :2], part])))
+            cuts = pa.array(np.append(first, len(rows)).astype(np.int32))
+            words = [names.take(pa.array(c)).cast(pa.string()) for c in rows[:, 2:].T]
+            rest = pc.binary_join_element_wise(*words, " ") if words else pa.repeat(pa.scalar(""), len(rows))
+            lines = [pc.binary_join(pa.ListArray.from_arrays(cuts, x), "\n") for x in (rest, pa.array(counts).cast(pa.string()))]
+            own = [names.take(pa.array(rows[first, k])).cast(pa.string()) for k in (0, 1)]
+            run = pa.table([*own, pa.array(part[first].astype(np.int32)), *lines], ["lang", "first", "part", "rests", "ns"])
             yield from run.combine_chunks().to_batches(RUN_ROWS)
         if renumber:
             self.names, self.number = [], {}
 
 
-def _runs(docs: DataFrame, size: int, shorter: Bitmap | None, entries: int, numbers: int) -> DataFrame:
-    """``lang, phrase, n`` of ``size`` words, summed within runs."""
-    sent = docs.sparkSession.sparkContext.broadcast(shorter)
+def _runs(docs: DataFrame, size: int, shorter: Bitmap | None, entries: int, numbers: int, hot: frozenset) -> DataFrame:
+    """``lang, first, part, rests, ns``: phrases of ``size`` words by prefix, what follows
+    it and the counts a line each, summed within runs."""
+    sent = docs.sparkSession.sparkContext.broadcast((shorter, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter(size, sent.value, entries, numbers)
+        counter = _Counter(size, sent.value[0], entries, numbers, sent.value[1])
         for batch in batches:
             for row, end, data, offsets in W.chunks(batch.column(1)):
                 counter.read(batch.column(0)[row:end], data, offsets)
                 yield from counter.spill()
         yield from counter.spill(last=True)
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long")
+    return docs.mapInArrow(run, "lang string, first string, part int, rests string, ns string")
 
 
 def count_phrases(
@@ -210,13 +242,23 @@ def count_phrases(
     the number of all words."""
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), empty_text(text_col).alias("text"))
-    frequent, totals, shorter = [], None, None
+    frequent, totals, shorter, hot = [], None, None, frozenset()
     for size in range(1, longest + 1):
-        with staged(_runs(rows, size, shorter, entries, numbers), f"runs-{size}") as runs:
-            merged = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-            found = stage(merged.filter(F.col("f") >= least).withColumn("size", F.lit(size)), f"phrases-{size}")
-            if size == 1:
-                totals = stage(runs.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        runs = _runs(rows, size, shorter, entries, numbers, hot).repartition("lang", "first", "part")
+        pair = F.explode(F.arrays_zip(F.split("rests", "\n").alias("rest"), F.split("ns", "\n").alias("n"))).alias("x")
+        merged = runs.select("lang", "first", "part", pair).groupBy("lang", "first", "part", F.col("x.rest").alias("rest"))
+        phrase = F.when(F.col("rest") == "", F.col("first")).otherwise(F.concat_ws(" ", "first", "rest"))
+        merged = merged.agg(F.sum(F.col("x.n").cast("long")).alias("f")).select("lang", phrase.alias("phrase"), "f")
+        if size == 1:
+            merged = stage(merged, "words")
+            totals = merged.groupBy("lang").agg(F.sum("f").alias("n"))
+        found = merged.filter(F.col("f") >= least).withColumn("size", F.lit(size))
+        found = stage(found, f"phrases-{size}")
+        if size == 1:
+            # at most HOT words of each language, and of all of them those that matter
+            often = found.join(totals, "lang").filter(F.col("f") * HOT >= F.col("n"))
+            most = totals.agg(F.sum("n")).first()[0] or 0
+            hot = frozenset((r["lang"], r["phrase"]) for r in often.filter(F.col("f") * HOT * 10 >= most).collect())
         frequent.append(found)
         shorter = _bitmap(found, size)
         if shorter is None:

@@ -61,9 +61,7 @@ def rows_of(frame):
     ("least", "top", "sizes"),
     [(5, 2000, {}), (5, 3, {"entries": 30, "numbers": 6}), (40, 2000, {"entries": 1}), (10_000, 5, {})],
 )
-def test_against_plain_counts(spark, monkeypatch, least, top, sizes):
-    monkeypatch.setattr(hat_trie, "BURST", 16)
-    monkeypatch.setattr(hat_trie, "SPLIT", 3)
+def test_against_plain_counts(spark, least, top, sizes):
     rows = made(120, least)
     docs = spark.createDataFrame([(*r, "own") for r in rows], "lang string, text string, phrase string").repartition(3)
     got = rows_of(C.collocations(docs, least=least, top=top, **sizes))
