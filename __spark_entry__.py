@@ -27,7 +27,7 @@ from litframe.operators.hits import extract_hits, result_counts  # noqa: E402
 from litframe.operators.pages import extract_pages  # noqa: E402
 from litframe.plans import requests as plans  # noqa: E402
 from litframe.plans import workflow  # noqa: E402
-from litframe.sources import captures, files, store  # noqa: E402
+from litframe.sources import captures, files, manifest, store  # noqa: E402
 from litframe.sources.scratch import scratch_dir, stage  # noqa: E402
 from litframe.streaming import new_articles as feed  # noqa: E402
 
@@ -50,6 +50,7 @@ PAGE_SELECTORS = (
 FLAT = ("page_id", "PMID", "PMCID", "doi", "abstract", "affiliations", "keyword", "full_text_link")
 LAST_RUNS = 2
 TOP_TARGETS = 10
+MANIFEST_DIGITS = 2
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -82,10 +83,10 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.valid_requests(I.requests(spark, sf_dir))
 
 
-def _new_store(spark: SparkSession, name: str) -> store.RunStore:
+def _new_store(spark: SparkSession, name: str, buckets: int = 0) -> store.RunStore:
     location = scratch_dir(spark, name)
     database = "litframe_" + location.rsplit("-", 1)[-1]
-    return store.RunStore(spark, f"{database}.runs").create(location)
+    return store.RunStore(spark, f"{database}.runs", buckets).create(location)
 
 
 def _joined(batches: DataFrame) -> DataFrame:
@@ -232,12 +233,27 @@ def q_merge_details(spark, sf_dir):
     )
 
 
+def q_merge_latest(spark, sf_dir):
+    """The same from stored details, whose last ones are picked by number."""
+    rows = merge.ranked(flat_details(_details(spark, sf_dir)), "page_id", *merge.DETAIL_FIELDS)
+    latest = merge.pick_last(stage(rows, "details"), "PMID", *merge.DETAIL_FIELDS)
+    return merge.merge_latest(_numbered(spark, sf_dir), latest)
+
+
 def q_apply_details(spark, sf_dir):
     """The same merge as an update of stored records that have no detail yet."""
     bare = store.as_publications(_numbered(spark, sf_dir))
     return merge.apply_details(bare, flat_details(_details(spark, sf_dir)))
 
 
+def q_apply_details_buckets(spark, sf_dir):
+    """The update on a store in buckets, whose records stay where they are."""
+    runs = _new_store(spark, "buckets", buckets=8)
+    runs.append_hits(I.hits(spark, sf_dir))
+    runs.apply_details(flat_details(_details(spark, sf_dir)))
+    return runs.publications()
+
+
 def q_mark_saved(spark, sf_dir):
     """Existing files are recorded first, then what the fetch brought."""
     existing = fulltext.already_saved(_paths(spark, sf_dir), I.files(spark, sf_dir))
@@ -249,6 +265,20 @@ def q_already_saved(spark, sf_dir):
     return fulltext.already_saved(_paths(spark, sf_dir), I.files(spark, sf_dir))
 
 
+def q_already_saved_manifest(spark, sf_dir):
+    """The same from a stored inventory of files in folders by a hash of their names."""
+    folder = scratch_dir(spark, "library")
+    names = I.files(spark, sf_dir).select(F.substring_index("path", "/", -1).alias("name"))
+    I.write_library(names, f"{folder}/files", MANIFEST_DIGITS)
+    inventory = manifest.FileManifest(spark, f"{folder}/files", f"{folder}/manifest", MANIFEST_DIGITS)
+    for _ in range(2):
+        inventory.refresh()
+    plain = fulltext.plain_path(F.lit(f"{folder}/files"))
+    paths = fulltext.fulltext_paths(I.publications(spark, sf_dir), "", digits=MANIFEST_DIGITS)
+    there = paths.withColumn("savepath", F.concat(plain, F.col("savepath")))
+    return fulltext.already_saved(there, inventory.files()).select("run_id", "id", "PMCID", "PMID", "doctitle", "url")
+
+
 def q_fulltext_targets(spark, sf_dir):
     return _targets(spark, sf_dir)
 
@@ -610,6 +640,8 @@ def own_oracle_sql() -> dict[str, str]:
             + "'(?s)<article>(.*?)</article>', 1), '<[^>]*>')] if t <> ''], ' ') as article from pages"
         ),
         "merge_details": of(E.PUBLICATIONS, f"select {cols}, run_id from publications"),
+        "merge_latest": of(E.PUBLICATIONS, f"select {cols}, run_id from publications"),
+        "apply_details_buckets": of(E.PUBLICATIONS, f"select {cols}, run_id from publications"),
         "apply_details": of(E.PUBLICATIONS, f"select {cols}, run_id from publications"),
         "mark_saved": of(
             marked,
@@ -623,6 +655,7 @@ def own_oracle_sql() -> dict[str, str]:
             "left join by_file e on x.run_id = e.run_id and x.PMCID = e.PMCID "
             "left join by_fetch f on x.run_id = f.run_id and x.PMCID = f.PMCID",
         ),
+        "already_saved_manifest": of(E.FULLTEXT, "select run_id, id, PMCID, PMID, doctitle, url from existing"),
         "already_saved": of(E.FULLTEXT, f"select {target} from existing"),
         "fulltext_targets": of(E.FULLTEXT, f"select {target} from targets"),
         "fulltext_targets_limit": of(

@@ -6,6 +6,7 @@ decided by its own values (size, type, brand, name), never by a row limit.
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +161,23 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, FILE_SQL, "part")
 
 
+def write_library(names: DataFrame, folder: str, digits: int) -> None:
+    """A file for each ``name``, in the folder of ``digits`` hex digits it belongs to."""
+
+    def write(batches):
+        disk, base = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for place, name in zip(batch.column("place").to_pylist(), batch.column("name").to_pylist()):
+                disk.create_dir(f"{base}/{place}")
+                with disk.open_output_stream(f"{base}/{place}/{name}") as out:
+                    out.write(name.encode())
+            yield batch
+
+    place = F.left(F.md5(F.encode("name", "UTF-8")), F.lit(digits)).alias("place")
+    placed = names.distinct().select("name", place)
+    placed.mapInArrow(write, placed.schema).write.format("noop").mode("overwrite").save()
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored hits, as a search run leaves them."""
     from litframe.operators.hits import extract_hits

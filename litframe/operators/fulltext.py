@@ -28,8 +28,13 @@ def file_name(title: Column) -> Column:
     return F.regexp_replace(title, S.FILE_NAME_CHARS, " ")
 
 
-def save_path(title: Column, directory: str) -> Column:
-    return F.concat(F.lit(f"{directory}/"), file_name(title), F.lit(".pdf"))
+def save_path(title: Column, directory: str, digits: int = 0) -> Column:
+    """Path of a full text; with ``digits`` in a folder named by as many hex digits
+    of the MD5 of its name, which keeps folders small (``sources/manifest.py``)."""
+    name = F.concat(file_name(title), F.lit(".pdf"))
+    if not digits:
+        return F.concat(F.lit(f"{directory}/"), name)
+    return F.concat(F.lit(f"{directory}/"), F.left(F.md5(F.encode(name, "UTF-8")), F.lit(digits)), F.lit("/"), name)
 
 
 def fulltext_url(pmcid: Column, base: str = S.FULLTEXT_BASE_URL) -> Column:
@@ -37,12 +42,15 @@ def fulltext_url(pmcid: Column, base: str = S.FULLTEXT_BASE_URL) -> Column:
 
 
 def fulltext_paths(
-    publications: DataFrame, directory: str = S.FULLTEXT_DIR, base: str = S.FULLTEXT_BASE_URL
+    publications: DataFrame, directory: str = S.FULLTEXT_DIR, base: str = S.FULLTEXT_BASE_URL, digits: int = 0
 ) -> DataFrame:
-    """Eligible records with the path a full text would get and where it is fetched."""
+    """Eligible records with the path a full text would get and where it is fetched.
+
+    ``digits`` as in ``save_path``.
+    """
     return fulltext_eligible(publications).select(
         "run_id", "id", "PMCID", "PMID", "doctitle",
-        save_path(F.col("doctitle"), directory).alias("savepath"),
+        save_path(F.col("doctitle"), directory, digits).alias("savepath"),
         fulltext_url(F.col("PMCID"), base).alias("url"),
     )
 
@@ -61,9 +69,13 @@ def path_collisions(paths: DataFrame) -> DataFrame:
 
 
 def file_paths(files: DataFrame) -> DataFrame:
-    """Distinct plain paths of a file inventory (``file:`` scheme cut off)."""
-    plain = F.regexp_replace("path", "^file:(?://)?(?=/)", "")
-    return files.select(plain.alias("savepath")).distinct()
+    """Distinct plain paths of a file inventory."""
+    return files.select(plain_path(F.col("path")).alias("savepath")).distinct()
+
+
+def plain_path(path: Column) -> Column:
+    """Path of a local file without the scheme ``file:``; others stay as they are."""
+    return F.regexp_replace(path, "^file:(?://)?(?=/)", "")
 
 
 def _by_path(paths: DataFrame, files: DataFrame, how: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,15 +52,45 @@ def last_per_key(
     return rows.groupBy(*group, key).agg(last).select(*group, key, "last.*")
 
 
+def ranked(rows: DataFrame, order: str, *columns: str) -> DataFrame:
+    """Rows as ``pick_last`` wants them stored: with a number and a rank of their own.
+
+    The rank says what ``last_per_key`` says: the order, a whole number, then a hash of
+    ``columns``; rows without an order come first. Both are fixed-width numbers.
+    """
+    width = Decimal(1 << 62)
+    tie = F.shiftrightunsigned(F.xxhash64(*columns), 2).cast("decimal(19,0)")
+    place = F.col(order).cast("decimal(19,0)") * F.lit(width)
+    unplaced = F.lit(Decimal(-(1 << 125) - (1 << 62))).cast("decimal(38,0)")
+    rank = (F.coalesce(place, unplaced) + tie).cast("decimal(38,0)")
+    return rows.withColumns({"_rank": rank, "_row": F.monotonically_increasing_id()})
+
+
+def pick_last(stored: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``last_per_key`` of stored ``ranked`` rows that have a key, without moving losers.
+
+    A hash aggregate over key, rank and row number finds the winners, a join by row
+    number, which no two rows share, fetches their columns. The rows are read twice,
+    so they must come from a table; the first time only those three columns are.
+    """
+    best = stored.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("_row", "_rank").alias("_row"))
+    return stored.join(best.select("_row"), "_row", "left_semi").select(key, *columns)
+
+
 def merge_details(hits: DataFrame, details: DataFrame) -> DataFrame:
     """Set the detail fields on all hits of equal PMID; the later detail wins.
 
     ``hits``: hit columns plus ``id``; ``details``: flat details (see
     ``flat_details``). Hits without a detail keep NULL, hits whose page lacks a
     field get ``''``: the test is whether a detail row matched, never its values.
-    Result: ``PUBLICATION``.
+    Result: ``PUBLICATION``. The details are read once, so pages may be parsed on the
+    way; ``merge_latest`` takes stored ones.
     """
-    latest = last_per_key(details, "PMID", "page_id", *DETAIL_FIELDS)
+    return merge_latest(hits, last_per_key(details, "PMID", "page_id", *DETAIL_FIELDS))
+
+
+def merge_latest(hits: DataFrame, latest: DataFrame) -> DataFrame:
+    """``merge_details`` where ``latest`` has one detail per PMID (``pick_last``)."""
     left = hits.withColumn("_key", spread_key(F.col("PMID"), "page_id", "position"))
     right = latest.select(join_key(F.col("PMID")).alias("_key"), *DETAIL_FIELDS)
     joined = left.join(right, "_key", "left")
@@ -67,15 +99,28 @@ def merge_details(hits: DataFrame, details: DataFrame) -> DataFrame:
 
 def apply_details(publications: DataFrame, details: DataFrame) -> DataFrame:
     """``merge_details`` on stored records: unmatched rows keep what they hold."""
-    latest = last_per_key(details, "PMID", "page_id", *DETAIL_FIELDS).select(
-        join_key(F.col("PMID")).alias("_key"), F.lit(True).alias("_hit"),
+    return apply_latest(publications, last_per_key(details, "PMID", "page_id", *DETAIL_FIELDS))
+
+
+def apply_latest(publications: DataFrame, latest: DataFrame) -> DataFrame:
+    """``apply_details`` where ``latest`` has one detail per PMID (``pick_last``)."""
+    left = publications.withColumn("_key", spread_key(F.col("PMID"), "run_id", "id"))
+    return overlaid(left, latest, "_key").select(*S.PUBLICATION.names)
+
+
+def overlaid(records: DataFrame, latest: DataFrame, *keys: str) -> DataFrame:
+    """Records with a key column (``spread_key``), overlaid with the detail of their key.
+
+    ``latest`` may hold more of ``keys`` than ``_key``, which it then holds as columns.
+    """
+    right = latest.select(
+        join_key(F.col("PMID")).alias("_key"), *[k for k in keys if k != "_key"], F.lit(True).alias("_hit"),
         *[F.col(c).alias(f"_{c}") for c in DETAIL_FIELDS],
     )
-    left = publications.withColumn("_key", spread_key(F.col("PMID"), "run_id", "id"))
     new = {
         c: F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)) for c in DETAIL_FIELDS
     }
-    return left.join(latest, "_key", "left").withColumns(new).select(*S.PUBLICATION.names)
+    return records.join(right, list(keys), "left").withColumns(new).select(*records.columns)
 
 
 def mark_saved(publications: DataFrame, saved: DataFrame) -> DataFrame:

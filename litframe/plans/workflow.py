@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from litframe import schemas as S
-from litframe.operators import fulltext, merge
+from litframe.operators import fulltext
 from litframe.operators.details import extract_details, flat_details
 from litframe.operators.hits import extract_hits
 from litframe.sources.captures import spread_captures, usable, with_page_no, with_run
@@ -46,23 +46,25 @@ def enrich_run(
     """Captured article pages onto the stored hits of one run; counts as in ``search_run``."""
     pages, seen = _counted(spread_captures(captures, partitions), "detail_pages", "detail_pages_failed")
     details = flat_details(extract_details(pages))
-    store.replace_run(merge.apply_details(store.publications(run_id), details))
+    store.apply_details(details, run_id)
     store.record_counts(run_id, **seen.get)
 
 
 def plan_fulltexts(
     store: RunStore, files: DataFrame, run_id: str,
-    limit: int | DataFrame | None = None, directory: str = S.FULLTEXT_DIR,
+    limit: int | DataFrame | None = None, directory: str = S.FULLTEXT_DIR, digits: int = 0,
 ) -> DataFrame:
     """Record full texts that exist already; return the targets still to fetch.
 
     ``limit`` is a number of targets, or a frame of run_id and download_limit (as
     ``valid_requests`` gives it, with the run of each request); None plans all.
+    ``digits`` plans paths in folders (``fulltext.save_path``), as a ``FileManifest``
+    of as many digits lists them.
 
     The targets are staged: they stay the same while the fetch goes on and the
     store changes.
     """
-    paths = fulltext.fulltext_paths(store.publications(run_id), directory)
+    paths = fulltext.fulltext_paths(store.publications(run_id), directory, digits=digits)
     existing = fulltext.already_saved(paths, files)
     targets = stage(fulltext.fulltext_targets(paths, files, limit), "targets")
     store.record_paths(existing)

@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litframe import schemas as S
-from litframe.operators.merge import last_per_key, mark_saved
+from litframe.operators import merge
+from litframe.operators.merge import join_key, last_per_key, mark_saved, spread_key
 from litframe.operators.ordering import with_run_order
-from litframe.sources.scratch import staged, staged_at
+from litframe.sources.scratch import remove, scratch_dir, staged, staged_at
 
 _RUN_ID = "[0-9A-Za-z_-]+"
 #: Runs that one statement removes.
 DROPPED_AT_ONCE = 500
+#: Rows of one key in a bucketed store that lie in one bucket; more lie in several.
+ROWS_PER_SLOT = 100_000
+#: What places a record in a bucket.
+PLACE = ("_key", "_slot")
 
 
 def _literal(text: str) -> str:
@@ -86,13 +91,28 @@ class RunStore:
     Two narrow tables stand beside it: ``<table>_paths`` with full texts saved since
     a run was written, and ``<table>_counts`` with what each step of a run saw. One
     writer at a time may change a run.
+
+    With ``buckets`` a store is created whose records lie in that many buckets by
+    ``_key``, which is their PMID or, for records without one, one of very many keys,
+    and by ``_slot``: records of a key that has more than ``rows_per_slot`` of them lie
+    in several slots. ``apply_details`` then leaves the records where they are and
+    sends the new details to them.
     """
 
-    def __init__(self, spark: SparkSession, table: str):
+    def __init__(self, spark: SparkSession, table: str, buckets: int = 0, rows_per_slot: int = ROWS_PER_SLOT):
         self.spark = spark
         self.table = table
+        self._wanted, self.rows_per_slot = buckets, rows_per_slot
         self.paths, self.counts = f"{table}_paths", f"{table}_counts"
 
+    @property
+    def buckets(self) -> int:
+        """Buckets of the table as it is stored; 0 if it has none."""
+        if not self.spark.catalog.tableExists(self.table):
+            return self._wanted
+        told = self.spark.sql(f"DESCRIBE FORMATTED {self.table}").where("col_name = 'Num Buckets'").first()
+        return int(told.data_type) if told else 0
+
     def create(self, location: str | None = None) -> RunStore:
         """Create database (at ``location``, if given) and tables if missing."""
         if "." in self.table:
@@ -101,12 +121,16 @@ class RunStore:
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{place}")
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.PUBLICATION.fields)
         counts = ", ".join(f"{c} bigint" for c in S.RUN_COUNTS)
-        for table, own in (
-            (self.table, columns),
-            (self.paths, "PMCID string, savepath string, recorded bigint, run_id string"),
-            (self.counts, f"{counts}, run_id string"),
+        clustered = ""
+        if self._wanted:
+            columns += ", _key string, _slot bigint"
+            clustered = f" CLUSTERED BY ({', '.join(PLACE)}) INTO {self._wanted} BUCKETS"
+        for table, own, more in (
+            (self.table, columns, clustered),
+            (self.paths, "PMCID string, savepath string, recorded bigint, run_id string", ""),
+            (self.counts, f"{counts}, run_id string", ""),
         ):
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({own}) USING parquet PARTITIONED BY (run_id)")
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({own}) USING parquet PARTITIONED BY (run_id){more}")
         return self
 
     def _records(self, table: str, run_id: str | None) -> DataFrame:
@@ -119,7 +143,7 @@ class RunStore:
         Paths recorded since the run was written are joined in; where there are
         none, which the catalog tells, the stored rows are read as they are.
         """
-        frame = self._records(self.table, run_id)
+        frame = self._records(self.table, run_id).select(*S.PUBLICATION.names)
         if not self._has_paths(run_id):
             return frame
         recorded = self._records(self.paths, run_id)
@@ -221,7 +245,72 @@ class RunStore:
                 self._drop(self.paths, recorded.join(rows.select("run_id"), "run_id", "left_semi"))
         self.spark.catalog.refreshTable(self._qualified)
 
+    def apply_details(self, details: DataFrame, run_id: str | None = None) -> None:
+        """``merge.apply_details`` on the stored records of one run (or of all).
+
+        The details are staged once and the last of each article is picked from
+        there. In a bucketed store only details are exchanged; the records are joined
+        and written again bucket by bucket. Recorded paths stay recorded there.
+        """
+        columns = ("PMID", "page_id", *merge.DETAIL_FIELDS)
+        with staged(merge.ranked(details.select(*columns), "page_id", *merge.DETAIL_FIELDS), "details") as rows:
+            latest = merge.pick_last(rows, "PMID", *merge.DETAIL_FIELDS)
+            if not self.buckets:
+                self.replace_run(merge.apply_latest(self.publications(run_id), latest))
+                return
+            self._swap(self.overlaid(latest, run_id))
+
+    def overlaid(self, latest: DataFrame, run_id: str | None = None) -> DataFrame:
+        """Records of a bucketed store, with their place, under one detail per PMID.
+
+        A detail goes to slot 0 and to each further one that its key has.
+        """
+        records = self._records(self.table, run_id)
+        further = records.where(F.col("_slot") > 0).select(F.col("_key").alias("_own"), "_slot").distinct()
+        keyed = latest.withColumn("_own", join_key(F.col("PMID")))
+        more = keyed.join(further, "_own").drop("_own")
+        everywhere = keyed.drop("_own").withColumn("_slot", F.lit(0).cast("long")).unionByName(more)
+        return merge.overlaid(records, everywhere, *PLACE)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """Stored rows with the key and slot that say which bucket they lie in.
+
+        Counting the rows of a key reads keys alone; those of many rows are few.
+        """
+        keyed = rows.withColumn("_key", spread_key(F.col("PMID"), "run_id", "id"))
+        counts = keyed.groupBy(F.col("_key").alias("_many")).agg(F.count(F.lit(1)).alias("_n"))
+        many = counts.where(F.col("_n") > self.rows_per_slot)
+        slots = F.ceil(F.col("_n") / F.lit(self.rows_per_slot)).cast("long")
+        slot = F.coalesce(F.pmod(F.xxhash64("run_id", "id"), slots), F.lit(0).cast("long"))
+        placed = keyed.join(many, F.col("_key") == F.col("_many"), "left").withColumn("_slot", slot)
+        return placed.select(*S.PUBLICATION_COLUMNS, *PLACE, "run_id")
+
+    def _swap(self, records: DataFrame) -> None:
+        """Overwrite the runs of these placed records, which come from the table itself.
+
+        The copy that is made first is a bucketed table, so neither write moves a row.
+        """
+        database = self._qualified.rsplit(".", 1)[0]
+        path = scratch_dir(self.spark, "buckets")
+        copy = f"{database}.copy_{path.rsplit('-', 1)[-1]}"
+        columns = (*S.PUBLICATION_COLUMNS, *PLACE, "run_id")
+        records.select(*columns).write.format("parquet").bucketBy(self.buckets, *PLACE).option("path", path).saveAsTable(copy)
+        try:
+            own = self.spark.newSession()
+            own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+            own.table(copy).write.insertInto(self._qualified, overwrite=True)
+        except Exception as error:
+            error.add_note(f"the staged rows are kept at {path}")
+            raise
+        self.spark.sql(f"DROP TABLE {copy}")
+        remove(self.spark, path)
+        self.spark.catalog.refreshTable(self._qualified)
+
     def _write(self, rows: DataFrame, overwrite: bool) -> None:
+        if buckets := self.buckets:
+            placed = self._placed(rows).repartition(buckets, *PLACE)
+            placed.write.insertInto(self._qualified, overwrite=overwrite)
+            return
         # a rebalance by run makes few files per run, and splits a run that
         # holds much of the table over many tasks
         even = rows.select(*S.PUBLICATION.names).hint("rebalance", "run_id")

@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+from hashlib import md5
 
 import pytest
 from pyspark.errors import AnalysisException, ParseException
@@ -13,9 +14,11 @@ from litframe import exports
 from litframe import schemas as S
 from litframe.operators.details import extract_details, flat_details
 from litframe.operators.hits import extract_hits
-from litframe.operators.merge import apply_details
+from litframe.operators.merge import DETAIL_FIELDS as S_DETAIL
+from litframe.operators.merge import apply_details, pick_last, ranked
+from litframe.operators import fulltext
 from litframe.plans import workflow
-from litframe.sources import captures, files, scratch
+from litframe.sources import captures, files, manifest, scratch
 from litframe.sources import store as store_module
 from litframe.sources.store import RunStore
 from litframe.streaming import key_index
@@ -404,6 +407,85 @@ def test_recorded_paths_are_folded_and_forgotten(spark, store):
         store.record_paths(spark.createDataFrame([("a/b", 1, "PMC1", "p")], one.schema))
 
 
+# ---- records in buckets ----------------------------------------------------------
+
+HOT_DETAIL = "page_id long, PMID string, PMCID string, doi string, abstract string, keyword string, affiliations string"
+
+
+@pytest.fixture
+def bucketed(spark, tmp_path):
+    name = f"bk_{abs(hash(str(tmp_path)))}"
+    yield RunStore(spark, f"{name}.runs", buckets=6, rows_per_slot=40).create(str(tmp_path / "buckets"))
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+def hot_records(spark, n=900):
+    """A third of the records name one article, a third none, in two runs."""
+    key = "case when id % 3 = 0 then '7' when id % 6 = 1 then '' when id % 3 = 1 then null else cast(id as string) end"
+    found = spark.range(n).selectExpr("if(id % 2 = 0, 'a', 'b') as run_id", "id", f"{key} as PMID", "concat('t', id) as doctitle")
+    return store_module.as_publications(found)
+
+
+def hot_details(spark):
+    last = [(i, str(i), f"PMC{i}", "d", "a", "k", "f") for i in range(2, 900, 6)]
+    return spark.createDataFrame([(3, "7", "PMCold", "", "", "", ""), (9000, "7", "PMC7", "d7", "", "", ""),
+                                  (1, None, "none", "", "", "", ""), (1, "", "blank", "", "", "", ""), *last], HOT_DETAIL)
+
+
+def test_details_reach_records_in_buckets(spark, bucketed, store):
+    for one in (bucketed, store):
+        one.replace_run(hot_records(spark))
+        one.record_paths(spark.createDataFrame([("a", 1, "PMC7", "/p")], "run_id string, id long, PMCID string, savepath string"))
+    bucketed.apply_details(hot_details(spark), "a")
+    assert bucketed.publications("b").where("PMCID is not null").isEmpty()
+    assert bucketed.publications("a").where("savepath = '/p'").count() == 150
+    bucketed.apply_details(hot_details(spark))
+    bucketed.apply_details(hot_details(spark).limit(0))
+    store.replace_run(apply_details(store.publications(), hot_details(spark)))
+    names = [c for c in S.PUBLICATION.names if c != "savepath"]
+    assert rows(bucketed.publications(), *names) == rows(store.publications(), *names)
+    assert rows(bucketed.publications().where("PMID = '7'").distinct(), "PMCID")[0] == ("PMC7",)
+    assert RunStore(spark, bucketed.table).buckets == 6 and store.buckets == 0
+    assert not [t.name for t in spark.catalog.listTables(bucketed.table.split(".")[0]) if t.name.startswith("copy_")]
+
+
+def test_records_in_buckets_are_not_exchanged(spark, bucketed, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    bucketed.replace_run(hot_records(spark))
+    latest = hot_details(spark).where("page_id > 9").select("PMID", *S_DETAIL)
+    over = bucketed.overlaid(latest)
+    over.collect()
+    plan = over._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0] if "Initial Plan" in plan else plan
+    left = final.split("SortMergeJoin", 1)[1].splitlines()
+    # what is read for the left side of the join, up to its scan
+    scan = next(i for i, line in enumerate(left) if "FileScan" in line)
+    assert "Bucketed: true" in left[scan] and not [line for line in left[:scan] if "Exchange" in line]
+    # one article on a third of the records, and none on another third, lie in many buckets
+    per = spark.table(bucketed.table).groupBy("_key", "_slot").count().agg(F.max("count")).first()[0]
+    assert per <= 80
+    hot = spark.table(bucketed.table).where("PMID = '7'").select("_slot").distinct().count()
+    assert hot == 8
+
+
+def test_a_late_pick_sorts_no_abstracts(spark, tmp_path):
+    columns = ("PMCID", "abstract")
+    details = hot_details(spark).unionByName(spark.createDataFrame(
+        [(None, "7", "PMCnull", "", "", "", ""), (9000, "7", "PMCtie", "", "", "", ""), (None, "5001", "x", "", "", "", ""),
+         (-4, "5002", "neg", "", "", "", ""), (None, "5002", "null", "", "", "", ""),
+         (2**63 - 1, "5003", "top", "", "", "", ""), (2**63 - 2, "5003", "below", "", "", "", "")], HOT_DETAIL))
+    ranked(details, "page_id", *columns).write.parquet(f"{tmp_path}/d")
+    picked = pick_last(spark.read.parquet(f"{tmp_path}/d"), "PMID", *columns)
+    got = {r.PMID: r.PMCID for r in picked.collect()}
+    assert len(got) == picked.count() == details.where("PMID is not null").select("PMID").distinct().count()
+    assert got["7"] in ("PMC7", "PMCtie") and (got["5001"], got["5002"], got["5003"]) == ("x", "neg", "top")
+    again = ranked(details.orderBy(F.desc("PMCID")), "page_id", *columns)
+    again.write.parquet(f"{tmp_path}/again")
+    assert {r.PMID: r.PMCID for r in pick_last(spark.read.parquet(f"{tmp_path}/again"), "PMID", *columns).collect()} == got
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 # ---- the feed ------------------------------------------------------------------
 
 
@@ -496,3 +578,43 @@ def test_state_feed(spark, tmp_path):
     assert fed() == [("2",), ("3",), ("4",), ("5",)]
     start().awaitTermination()
     assert len(fed()) == 4
+
+
+# ---- very many files ---------------------------------------------------------------
+
+
+def test_manifest_takes_in_new_files(spark, tmp_path):
+    def write(*names):
+        inputs.write_library(spark.createDataFrame([(n,) for n in names], "name string"), f"{tmp_path}/lib", 1)
+
+    kept = manifest.FileManifest(spark, f"{tmp_path}/lib", f"{tmp_path}/manifest", 1)
+    kept.refresh()
+    assert kept.files().isEmpty()
+    titles = [f"Title {i}" for i in range(40)] + ["Ünï=1 %2F#"]
+    write(*[f"{t}.pdf" for t in titles], "Title 1.txt")
+    (tmp_path / "lib" / "elsewhere").mkdir()
+    (tmp_path / "lib" / "elsewhere" / "x.pdf").write_bytes(b"x")
+    kept.refresh(tasks=3)
+    first = files_of(kept.files())
+    assert kept.files().count() == 41 and kept.files().where("length = 11").count() == 10
+    kept.refresh()
+    write("Title 40.pdf")
+    kept.refresh()
+    assert kept.files().count() == 42 and set(first) <= set(files_of(kept.files()))
+
+    pubs = spark.createDataFrame([("a", i, f"PMC{i}", "1", t) for i, t in enumerate([*titles, "Title 50"])],
+                                 "run_id string, id long, PMCID string, PMID string, doctitle string")
+    paths = fulltext.fulltext_paths(pubs, f"{tmp_path}/lib", digits=1)
+    assert fulltext.already_saved(paths, kept.files()).count() == 41
+    assert rows(fulltext.fulltext_targets(paths, kept.files()), "doctitle") == [("Title 50",)]
+
+
+def test_a_manifest_is_read_without_listing(spark, tmp_path):
+    inputs.write_library(spark.createDataFrame([("a.pdf",)], "name string"), f"{tmp_path}/lib", 2)
+    kept = manifest.FileManifest(spark, f"file:{tmp_path}/lib", f"{tmp_path}/manifest")
+    kept.refresh()
+    plan = kept.files()._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and str(tmp_path / "lib") not in plan
+    assert rows(fulltext.file_paths(kept.files()), "savepath") == [(f"{tmp_path}/lib/{md5(b'a.pdf').hexdigest()[:2]}/a.pdf",)]
+    # folders are dealt out over tasks
+    assert kept.listed(16).rdd.getNumPartitions() == 16
