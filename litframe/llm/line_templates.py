@@ -10,8 +10,10 @@ its words are fixed at every count from two to that of short lines, and each of
 these templates counts.
 
 Everything is a count by key with partial sums, so a leaf or line that a third
-of all documents share costs no task more than others. Only lines in frequented
-leaves are taken apart into words.
+of all documents share costs no task more than others. Words of lines in frequented
+leaves are counted as 64-bit hashes of leaf, place and word; a line is put together from
+its words again only if it recurs as it is or has enough fixed words. That two such
+hashes collide is as good as impossible for one pair of words (2^-64).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litframe.llm.frames import empty_text, stage
+from litframe.llm.frames import empty_text, release, stage
 
 #: Leading words that are levels of the tree.
 DEPTH = 2
@@ -45,12 +47,18 @@ def _leaf(words: Column, depth: int) -> Column:
     return F.xxhash64(F.size(words), F.array_join(masked(F.slice(words, 1, depth)), " "))
 
 
+def _place(at: Column, word: Column) -> Column:
+    """A word at a place of a leaf."""
+    return F.xxhash64("leaf", at, word)
+
+
 def _key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_docs: int = LEAST_DOCS, depth: int = DEPTH) -> DataFrame:
     """``line`` (a hash), ``docs`` and ``template`` of distinct lines that recur."""
+    spark = docs.sparkSession
     # numbered first: an explode beside it would number the lines
     rows = docs.select(F.monotonically_increasing_id().alias("row"), empty_text(text_col).alias("text"))
     lines = rows.select(
@@ -65,38 +73,56 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         lines.join(frequented, "leaf", "left_semi").groupBy("leaf", "long", "text")
         .agg(F.count(F.lit(1)).alias("docs"), F.min("row").alias("first"), F.max("row").alias("last")), "lines"
     )
+    release(spark)
     # a leaf of one line has no template but that line
     mixed = stage(own.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"), "mixed")
     words = masked(F.split("text", r"\s+"))
     alone = own.filter(F.col("docs") >= least).join(mixed, "leaf", "left_anti").select(
         _key(F.col("text")).alias("line"), "docs", F.array_join(words, " ").alias("template")
     )
-    apart = own.join(mixed, "leaf", "left_semi").select(
-        "leaf", "long", _key(F.col("text")).alias("line"), "docs", "first", "last", F.posexplode(words).alias("at", "word")
+    together = stage(own.join(mixed, "leaf", "left_semi").withColumn("no", F.monotonically_increasing_id()), "together")
+    release(spark)
+    # words at their places are counted as numbers, without the lines that hold them;
+    # a variable one is at none
+    spelt = F.filter(F.transform(words, lambda w, at: F.when(w != VARIABLE, _place(at, w))), lambda k: k.isNotNull())
+    fixed = stage(
+        together.select("long", "docs", F.explode(spelt).alias("place"))
+        .groupBy("place", "long").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least).select("place", "n"), "fixed"
     )
-    fixed = (
-        apart.groupBy("leaf", "long", "at", "word").agg(F.sum("docs").alias("n"))
-        .filter((F.col("n") >= least) & (F.col("word") != VARIABLE))
-        .select("leaf", "at", "word", "n")
+
+    def general(n_fixed, n_words):
+        return (n_fixed >= FIXED_SHARE * n_words) & (n_words >= LEAST_WORDS)
+
+    # lines that fixed words make general, told by their numbers; then only those, and
+    # lines that recur as they are, are taken apart as text
+    general_ones = (
+        together.filter(F.col("docs") < least)
+        .select("no", F.size(words).alias("n_words"), spelt.alias("places"))
+        .filter(general(F.size("places"), F.col("n_words")))
+        .select("no", "n_words", F.explode("places").alias("place"))
+        .join(fixed, "place", "left_semi")
+        .groupBy("no", "n_words").agg(F.count(F.lit(1)).alias("n")).filter(general(F.col("n"), F.col("n_words"))).select("no")
     )
+    kept = together.filter(F.col("docs") >= least).unionByName(together.join(stage(general_ones, "general"), "no", "left_semi").select(*together.columns))
+    release(spark)
+    apart = kept.select(
+        "leaf", "long", _key(F.col("text")).alias("line"), "docs", "first", "last", F.posexplode(words).alias("at", "word")
+    ).withColumn("place", _place(F.col("at"), F.col("word")))
 
     def shown(level):
         return F.array_join(F.transform("words", lambda w: F.when(w["n"] >= level, w["word"]).otherwise(VARIABLE)), " ")
 
-    def general(n_fixed):
-        return (n_fixed >= FIXED_SHARE * F.size("words")) & (F.size("words") >= LEAST_WORDS)
-
     # the more documents a fixed word needs, the more general is the template
     levels = F.when(F.col("long"), F.sequence(least, F.lit(least_docs))).otherwise(F.array(F.lit(least_docs)))
     templates = F.transform(
-        F.filter(levels, lambda level: general(F.size(F.filter("words", lambda w: w["n"] >= level)))), shown
+        F.filter(levels, lambda level: general(F.size(F.filter("words", lambda w: w["n"] >= level)), F.size("words"))), shown
     )
     # a line's words come together again: the group is one line
     made = (
-        apart.join(fixed, ["leaf", "at", "word"], "left")
+        apart.join(fixed, "place", "left")
         .groupBy("leaf", "long", "line", "docs", "first", "last")
         .agg(F.sort_array(F.collect_list(F.struct("at", "word", "n"))).alias("words"), F.count("n").alias("n_fixed"))
-        .withColumn("templates", F.when(general(F.col("n_fixed")), F.array_distinct(templates)))
+        .withColumn("templates", F.when(general(F.col("n_fixed"), F.size("words")), F.array_distinct(templates)))
         .withColumn("exact", F.when(F.col("docs") >= least, shown(least)))
         .filter("templates is not null or exact is not null").drop("words", "n_fixed")
     )
