@@ -11,9 +11,8 @@ these templates counts.
 
 Everything is a count by key with partial sums, so a leaf or line that a third
 of all documents share costs no task more than others. Words of lines in frequented
-leaves are counted as 64-bit hashes of leaf, place and word; a line is put together from
-its words again only if it recurs as it is or has enough fixed words. That two such
-hashes collide is as good as impossible for one pair of words (2^-64).
+leaves are counted as 64-bit hashes of leaf, place and word, and a line looks the counts
+of its words up by such hashes and its number. That two of them collide is as good as impossible for one pair of words (2^-64).
 """
 
 from __future__ import annotations
@@ -52,6 +51,19 @@ def _place(at: Column, word: Column) -> Column:
     return F.xxhash64("leaf", at, word)
 
 
+def _counted(words: Column, counts: Column) -> Column:
+    """Words with the counts of their places, 0 where there is none."""
+    none = F.transform(words, lambda w, at: F.struct(at.alias("at"), F.lit(0).cast("long").alias("n")))
+    found = F.coalesce(counts, F.array().cast("array<struct<at:int,n:bigint>>"))
+    # of two entries of a place the second one has the count
+    entries = F.sort_array(F.concat(none, found))
+    last = F.filter(
+        F.zip_with(entries, F.slice(entries, 2, F.size(entries)), lambda e, after: F.when(after.isNull() | (after["at"] != e["at"]), e)),
+        lambda e: e.isNotNull(),
+    )
+    return F.zip_with(words, last, lambda w, e: F.struct(w.alias("word"), e["n"].alias("n")))
+
+
 def _key(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
@@ -80,34 +92,31 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     alone = own.filter(F.col("docs") >= least).join(mixed, "leaf", "left_anti").select(
         _key(F.col("text")).alias("line"), "docs", F.array_join(words, " ").alias("template")
     )
-    together = stage(own.join(mixed, "leaf", "left_semi").withColumn("no", F.monotonically_increasing_id()), "together")
+    numbered = {"no": F.monotonically_increasing_id(), "n_words": F.size(words)}
+    together = stage(own.join(mixed, "leaf", "left_semi").withColumns(numbered), "together")
     release(spark)
+
+    def general(n_fixed):
+        return (n_fixed >= FIXED_SHARE * F.col("n_words")) & (F.col("n_words") >= LEAST_WORDS)
+
     # words at their places are counted as numbers, without the lines that hold them;
     # a variable one is at none
-    spelt = F.filter(F.transform(words, lambda w, at: F.when(w != VARIABLE, _place(at, w))), lambda k: k.isNotNull())
+    spelt = F.transform(words, lambda w, at: F.struct(at.alias("at"), F.when(w != VARIABLE, _place(at, w)).alias("place")))
+    placed = F.filter(spelt, lambda x: x["place"].isNotNull())
     fixed = stage(
-        together.select("long", "docs", F.explode(spelt).alias("place"))
-        .groupBy("place", "long").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least).select("place", "n"), "fixed"
+        together.select("long", "docs", F.explode(placed).alias("x"))
+        .groupBy("x.place", "long").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least).select("place", "n"), "fixed"
     )
-
-    def general(n_fixed, n_words):
-        return (n_fixed >= FIXED_SHARE * n_words) & (n_words >= LEAST_WORDS)
-
-    # lines that fixed words make general, told by their numbers; then only those, and
-    # lines that recur as they are, are taken apart as text
-    general_ones = (
-        together.filter(F.col("docs") < least)
-        .select("no", F.size(words).alias("n_words"), spelt.alias("places"))
-        .filter(general(F.size("places"), F.col("n_words")))
-        .select("no", "n_words", F.explode("places").alias("place"))
-        .join(fixed, "place", "left_semi")
-        .groupBy("no", "n_words").agg(F.count(F.lit(1)).alias("n")).filter(general(F.col("n"), F.col("n_words"))).select("no")
+    # a line looks its fixed words up by its number; its text stays where it is
+    hopeful = together.select("no", "n_words", "docs", "long", placed.alias("places")).filter(
+        general(F.size("places")) | (F.col("docs") >= least)
+    )
+    counts = stage(
+        hopeful.select("no", F.explode("places").alias("x")).select("no", "x.at", "x.place")
+        .join(fixed, "place").groupBy("no").agg(F.collect_list(F.struct("at", "n")).alias("counts")), "counts"
     )
-    kept = together.filter(F.col("docs") >= least).unionByName(together.join(stage(general_ones, "general"), "no", "left_semi").select(*together.columns))
     release(spark)
-    apart = kept.select(
-        "leaf", "long", _key(F.col("text")).alias("line"), "docs", "first", "last", F.posexplode(words).alias("at", "word")
-    ).withColumn("place", _place(F.col("at"), F.col("word")))
+    marked = together.join(counts, "no", "left").filter(general(F.coalesce(F.size("counts"), F.lit(0))) | (F.col("docs") >= least))
 
     def shown(level):
         return F.array_join(F.transform("words", lambda w: F.when(w["n"] >= level, w["word"]).otherwise(VARIABLE)), " ")
@@ -115,16 +124,13 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     # the more documents a fixed word needs, the more general is the template
     levels = F.when(F.col("long"), F.sequence(least, F.lit(least_docs))).otherwise(F.array(F.lit(least_docs)))
     templates = F.transform(
-        F.filter(levels, lambda level: general(F.size(F.filter("words", lambda w: w["n"] >= level)), F.size("words"))), shown
+        F.filter(levels, lambda level: general(F.size(F.filter("words", lambda w: w["n"] >= level)))), shown
     )
-    # a line's words come together again: the group is one line
     made = (
-        apart.join(fixed, "place", "left")
-        .groupBy("leaf", "long", "line", "docs", "first", "last")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "word", "n"))).alias("words"), F.count("n").alias("n_fixed"))
-        .withColumn("templates", F.when(general(F.col("n_fixed"), F.size("words")), F.array_distinct(templates)))
+        marked.select("leaf", "long", _key(F.col("text")).alias("line"), "docs", "first", "last", "n_words", _counted(words, F.col("counts")).alias("words"))
+        .withColumn("templates", F.array_distinct(templates))
         .withColumn("exact", F.when(F.col("docs") >= least, shown(least)))
-        .filter("templates is not null or exact is not null").drop("words", "n_fixed")
+        .filter("size(templates) > 0 or exact is not null").drop("words", "n_words")
     )
     made = stage(made, "templates")
     fits = made.select("leaf", "long", "line", "docs", "first", "last", F.explode("templates").alias("template"))
@@ -156,6 +162,7 @@ def drop_recurring(
     rows count as documents of their own. An empty table gives no rows.
     """
     gone = stage(recurring(docs, id_col, text_col, least_docs, depth).select("line").distinct(), "recurring")
+    release(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), empty_text(text_col).alias("text")).withColumn(
         "row", F.xxhash64("doc_id", F.md5("text"))
     )
