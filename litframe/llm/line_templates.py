@@ -92,7 +92,10 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     alone = own.filter(F.col("docs") >= least).join(mixed, "leaf", "left_anti").select(
         _key(F.col("text")).alias("line"), "docs", F.array_join(words, " ").alias("template")
     )
-    numbered = {"no": F.monotonically_increasing_id(), "n_words": F.size(words)}
+    numbered = {
+        "no": F.monotonically_increasing_id(), "n_words": F.size(words),
+        "n_places": F.size(F.filter(words, lambda w: w != VARIABLE)),
+    }
     together = stage(own.join(mixed, "leaf", "left_semi").withColumns(numbered), "together")
     release(spark)
 
@@ -108,11 +111,9 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         .groupBy("x.place", "long").agg(F.sum("docs").alias("n")).filter(F.col("n") >= least).select("place", "n"), "fixed"
     )
     # a line looks its fixed words up by its number; its text stays where it is
-    hopeful = together.select("no", "n_words", "docs", "long", placed.alias("places")).filter(
-        general(F.size("places")) | (F.col("docs") >= least)
-    )
+    hopeful = together.filter(general(F.col("n_places")) | (F.col("docs") >= least))
     counts = stage(
-        hopeful.select("no", F.explode("places").alias("x")).select("no", "x.at", "x.place")
+        hopeful.select("no", F.explode(placed).alias("x")).select("no", "x.at", "x.place")
         .join(fixed, "place").groupBy("no").agg(F.collect_list(F.struct("at", "n")).alias("counts")), "counts"
     )
     release(spark)
@@ -127,7 +128,11 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         F.filter(levels, lambda level: general(F.size(F.filter("words", lambda w: w["n"] >= level)))), shown
     )
     made = (
-        marked.select("leaf", "long", _key(F.col("text")).alias("line"), "docs", "first", "last", "n_words", _counted(words, F.col("counts")).alias("words"))
+        marked.select(
+            "leaf", "long", _key(F.col("text")).alias("line"), "docs", "first", "last", "n_words",
+            # out of a generator, so that the words of a line are counted once, not for each template
+            F.explode(F.array(_counted(words, F.col("counts")))).alias("words"),
+        )
         .withColumn("templates", F.array_distinct(templates))
         .withColumn("exact", F.when(F.col("docs") >= least, shown(least)))
         .filter("size(templates) > 0 or exact is not null").drop("words", "n_words")
