@@ -373,13 +373,14 @@ def q_run_summary(spark, sf_dir):
 
 
 def q_run_counts(spark, sf_dir):
-    """Search and enrich each run of a store; what the steps counted as they went."""
+    """Search the runs of a store, then enrich them; what the steps counted as they went."""
     runs = _new_store(spark, "counts")
     pages = stage(I.search_captures(spark, sf_dir), "search")
     articles = stage(I.article_captures(spark, sf_dir), "articles")
-    for (run_id,) in pages.select("run_id").distinct().orderBy("run_id").collect():
+    run_ids = [r.run_id for r in pages.select("run_id").distinct().orderBy("run_id").collect()]
+    for run_id in run_ids:
         workflow.search_run(runs, pages.where(F.col("run_id") == run_id), run_id, I.SPREAD)
-        workflow.enrich_run(runs, articles, run_id, I.SPREAD)
+    workflow.enrich_runs(runs, articles, run_ids, I.SPREAD)
     return runs.run_counts()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -44,10 +46,18 @@ def enrich_run(
     store: RunStore, captures: DataFrame, run_id: str, partitions: int | None = None
 ) -> None:
     """Captured article pages onto the stored hits of one run; counts as in ``search_run``."""
+    enrich_runs(store, captures, [run_id], partitions)
+
+
+def enrich_runs(
+    store: RunStore, captures: DataFrame, run_ids: Sequence[str], partitions: int | None = None
+) -> None:
+    """``enrich_run`` of several runs with the same pages, which are parsed once for all of them."""
     pages, seen = _counted(spread_captures(captures, partitions), "detail_pages", "detail_pages_failed")
     details = flat_details(extract_details(pages))
-    store.apply_details(details, run_id)
-    store.record_counts(run_id, **seen.get)
+    store.apply_details(details, run_ids)
+    for run_id in run_ids:
+        store.record_counts(run_id, **seen.get)
 
 
 def plan_fulltexts(

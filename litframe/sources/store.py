@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -245,8 +246,8 @@ class RunStore:
                 self._drop(self.paths, recorded.join(rows.select("run_id"), "run_id", "left_semi"))
         self.spark.catalog.refreshTable(self._qualified)
 
-    def apply_details(self, details: DataFrame, run_id: str | None = None) -> None:
-        """``merge.apply_details`` on the stored records of one run (or of all).
+    def apply_details(self, details: DataFrame, run_id: str | Sequence[str] | None = None) -> None:
+        """``merge.apply_details`` on the stored records of one run, of several one by one, or of all.
 
         The details are staged once and the last of each article is picked from
         there. In a bucketed store only details are exchanged; the records are joined
@@ -255,10 +256,11 @@ class RunStore:
         columns = ("PMID", "page_id", *merge.DETAIL_FIELDS)
         with staged(merge.ranked(details.select(*columns), "page_id", *merge.DETAIL_FIELDS), "details") as rows:
             latest = merge.pick_last(rows, "PMID", *merge.DETAIL_FIELDS)
-            if not self.buckets:
-                self.replace_run(merge.apply_latest(self.publications(run_id), latest))
-                return
-            self._swap(self.overlaid(latest, run_id))
+            for run in [run_id] if run_id is None or isinstance(run_id, str) else run_id:
+                if not self.buckets:
+                    self.replace_run(merge.apply_latest(self.publications(run), latest))
+                else:
+                    self._swap(self.overlaid(latest, run))
 
     def overlaid(self, latest: DataFrame, run_id: str | None = None) -> DataFrame:
         """Records of a bucketed store, with their place, under one detail per PMID.

@@ -618,3 +618,16 @@ def test_a_manifest_is_read_without_listing(spark, tmp_path):
     assert rows(fulltext.file_paths(kept.files()), "savepath") == [(f"{tmp_path}/lib/{md5(b'a.pdf').hexdigest()[:2]}/a.pdf",)]
     # folders are dealt out over tasks
     assert kept.listed(16).rdd.getNumPartitions() == 16
+
+
+def test_pages_are_parsed_once_for_several_runs(spark, store, monkeypatch):
+    for run in ("a", "b", "c"):
+        store.append_hits(extract_hits(search_captures(spark, run, search_page("1", "2"))))
+    parsed = []
+    monkeypatch.setattr(workflow, "extract_details", lambda p: parsed.append(p) or extract_details(p))
+    pages = spark.createDataFrame([(1, "u", article_page("1", "PMC1")), (2, "u", None)], ARTICLE)
+    workflow.enrich_runs(store, pages, ["a", "b"])
+    assert len(parsed) == 1
+    assert rows(store.publications().where("PMCID is not null"), "run_id", "PMID", "PMCID") == [
+        ("a", "1", "PMC1"), ("b", "1", "PMC1")]
+    assert rows(store.run_counts(), "run_id", "detail_pages", "detail_pages_failed") == [("a", 2, 1), ("b", 2, 1)]
