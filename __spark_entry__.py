@@ -117,7 +117,7 @@ def q_src_captures_detail(spark, sf_dir):
 def q_src_html_files(spark, sf_dir):
     folder = scratch_dir(spark, "html")
     html = captures.spread_captures(I.table(spark, sf_dir, "pages"), I.SPREAD).select("html")
-    html.write.option("maxRecordsPerFile", 1).text(folder)
+    I.write_files(html, folder, ".txt")
     return captures.read_html_dir(spark, folder).select("html")
 
 

@@ -6,7 +6,10 @@ decided by its own values (size, type, brand, name), never by a row limit.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -178,6 +181,23 @@ def write_library(names: DataFrame, folder: str, digits: int) -> None:
     placed.mapInArrow(write, placed.schema).write.format("noop").mode("overwrite").save()
 
 
+def write_files(lines: DataFrame, folder: str, suffix: str) -> None:
+    """A file for each row of the one column: its text and a line end; NULL is an empty line."""
+
+    def write(batches):
+        disk, base = fs.FileSystem.from_uri(folder)
+        disk.create_dir(base, recursive=True)
+        # a task that is run again writes over its files
+        names = (f"{base}/{TaskContext.get().partitionId()}-{n}{suffix}" for n in count())
+        for batch in batches:
+            for text, name in zip(batch.column(0).to_pylist(), names):
+                with disk.open_output_stream(name) as out:
+                    out.write(f"{text or ''}\n".encode())
+            yield batch.slice(0, 0)
+
+    lines.mapInArrow(write, lines.schema).write.format("noop").mode("overwrite").save()
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored hits, as a search run leaves them."""
     from litframe.operators.hits import extract_hits

@@ -631,3 +631,11 @@ def test_pages_are_parsed_once_for_several_runs(spark, store, monkeypatch):
     assert rows(store.publications().where("PMCID is not null"), "run_id", "PMID", "PMCID") == [
         ("a", "1", "PMC1"), ("b", "1", "PMC1")]
     assert rows(store.run_counts(), "run_id", "detail_pages", "detail_pages_failed") == [("a", 2, 1), ("b", 2, 1)]
+
+
+def test_a_file_for_each_row_is_written_over_when_done_again(spark, tmp_path):
+    texts = spark.createDataFrame([("één\nzwei",), (None,), ("x",)], "value string").repartition(2)
+    for _ in range(2):
+        inputs.write_files(texts, f"file:{tmp_path}/files", ".txt")
+    assert files.saved_files(spark, f"{tmp_path}/files", "*.txt").count() == 3
+    assert rows(captures.read_html_dir(spark, f"{tmp_path}/files"), "html") == [("\n",), ("x\n",), ("één\nzwei\n",)]
