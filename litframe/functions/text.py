@@ -32,8 +32,10 @@ def strip(col: Column) -> Column:
 
 def squeeze(col: Column, by: str = " ") -> Column:
     """Replace every run of two or more white-space characters with ``by``."""
-    # the lookahead passes over printable ASCII, which is most of any text
-    return F.regexp_replace(col, "(?![!-~])" + WHITESPACE_CLASS + "{2,}", by)
+    # most texts have no two neighbours that are not printable ASCII, which is found at a
+    # fraction of the cost; the lookahead passes over printable ASCII in the others
+    pattern = "(?![!-~])" + WHITESPACE_CLASS + "{2,}"
+    return bind(col, lambda t: F.when(t.rlike("[^!-~][^!-~]"), F.regexp_replace(t, pattern, by)).otherwise(t))
 
 
 def blank_to_null(col: Column) -> Column:
@@ -50,18 +52,18 @@ _ENTITY_NAMES = ",".join(
 
 def _entity_piece(piece: Column, names: Column) -> Column:
     """Decode one piece of text that stood right after an ampersand."""
-    decimal = F.regexp_extract(piece, r"^#([0-9]+);?", 1)
-    hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9A-Fa-f]+);?", 1)
-    name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*);", 1)
+    # each pattern also matches nothing at all, so none looks for its ``^`` along the piece
+    decimal = F.regexp_extract(piece, r"^(?:#([0-9]+);?)?", 1)
+    hexadecimal = F.regexp_extract(piece, r"^(?:#[xX]([0-9A-Fa-f]+);?)?", 1)
+    name = F.regexp_extract(piece, r"^(?:([A-Za-z][A-Za-z0-9]*);)?", 1)
     code = (
         # numbers beyond the type are no characters either
         F.when(decimal != "", F.ltrim(decimal, F.lit("0")).try_cast("int"))
         .when(hexadecimal != "", F.conv(F.right(F.ltrim(hexadecimal, F.lit("0")), F.lit(9)), 16, 10).try_cast("int"))
         .when(name != "", F.try_element_at(names, name).try_cast("int"))
     )
-    rest = F.regexp_replace(
-        piece, r"^(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?", ""
-    )
+    reference = F.regexp_extract(piece, r"^(?:(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);?)?", 0)
+    rest = F.substr(piece, F.length(reference) + 1)
 
     def decoded(point: Column) -> Column:
         valid = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)

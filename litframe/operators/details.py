@@ -107,8 +107,12 @@ def _part(sections: Column, name: str) -> Column:
 
 
 def _plain_text(block: Column) -> Column:
-    nodes = F.flatten(F.transform(M.paragraphs(block), M.direct_texts))
-    return F.coalesce(F.get(nodes, F.lit(0)), F.lit(""))
+    # paragraphs after the first that has a text of its own are not looked into
+    first = F.aggregate(
+        M.paragraphs(block), F.lit(None).cast("string"),
+        lambda found, p: F.coalesce(found, F.get(M.direct_texts(p), F.lit(0))),
+    )
+    return F.coalesce(first, F.lit(""))
 
 
 def extract_details(captures: DataFrame, keep: Sequence[str] = ("page_id",)) -> DataFrame:

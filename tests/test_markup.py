@@ -1,6 +1,7 @@
 """Extraction rules: edge rows by hand, and whole pages against a tree walker."""
 
 import random
+import re
 
 import pytest
 import walker
@@ -480,3 +481,16 @@ def test_entities_of_any_length(spark):
     given = ["&#00000065;", "&#x0000041;", "&apos;", "&#" + "9" * 40 + ";", "&#x" + "f" * 40 + ";", "&#x110000;"]
     want = ["A", "A", "'", *given[3:]]
     assert column(spark, given, X.decode_entities) == want
+
+
+def test_texts_without_neighbouring_spaces_are_not_searched_for_them(spark):
+    """A cheap test comes first, on a text that is made once; results are as before."""
+    pick = random.Random(5)
+    texts = ["".join(pick.choices("ab \n\t 　é&;#1x", k=12)) for _ in range(300)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    squeezed = frame.select("t", X.squeeze(F.col("t")).alias("s"), X.squeeze(F.col("t"), "").alias("e"))
+    for t, s, e in squeezed.collect():
+        assert s == re.sub(X.WHITESPACE_CLASS + "{2,}", " ", t)
+        assert e == re.sub(X.WHITESPACE_CLASS + "{2,}", "", t)
+    plan = squeezed._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan
