@@ -147,7 +147,7 @@ def q_saved_files(spark, sf_dir):
     """Lengths of the files of a folder that holds a file for each content."""
     folder = scratch_dir(spark, "files")
     contents = I.fetched(_targets(spark, sf_dir)).where("content is not null")
-    contents.select(F.decode("content", "UTF-8").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    I.write_files(contents.select(F.decode("content", "UTF-8").alias("value")), folder, ".txt")
     return files.saved_files(spark, folder, "*.txt").select("length")
 
 
