@@ -97,6 +97,31 @@ class TokenCodes:
             shift += CHUNK_BITS
         return ids
 
+    def span(self, start: int, stop: int) -> np.ndarray:
+        """Ids of the tokens from ``start`` up to ``stop``, in order.
+
+        Those of a run that go on stand side by side in the next level too, so the
+        rank of its ends is enough and no token is looked up by itself.
+        """
+        ids, of, shift = np.zeros(stop - start, np.uint32), None, 0
+        for chunks, bits, ranks in self.levels:
+            part = chunks[start:stop].astype(np.uint32) << np.uint32(shift)
+            if of is None:
+                ids[:] = part
+            else:
+                ids[of] |= part
+            if start == stop:
+                break
+            on = np.unpackbits(bits.view(np.uint8)[start // 8 : -(-stop // 8)], bitorder="little")
+            on = np.flatnonzero(on[start % 8 : start % 8 + stop - start])
+            if not len(on):
+                break
+            of = on if of is None else of[on]
+            first = int(self._rank(bits, ranks, np.array([start], np.int64))[0])
+            start, stop = first, first + len(on)
+            shift += CHUNK_BITS
+        return ids
+
     @staticmethod
     def _rank(bits: np.ndarray, ranks: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Ones before each place: the directory, then the words of its block.
@@ -174,10 +199,11 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]
     starts = inside & (text_start[:n] | (before == 0) | parts)
     start = np.flatnonzero(starts)
     kept = data[inside]
-    sizes = np.diff(np.append(np.cumsum(inside)[start] - 1, len(kept))) if len(start) else np.zeros(0, np.int64)
-    high = np.concatenate([[0], np.cumsum(kept >= 0x80)])
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    foreign = high[ends[1:]] > high[ends[:-1]]
+    # the first byte that is kept starts a part
+    begin = np.flatnonzero(starts[inside])
+    ends = np.append(begin, len(kept))
+    sizes = np.diff(ends)
+    foreign = np.maximum.reduceat(kept, begin) >= 0x80 if len(begin) else np.zeros(0, bool)
     lower = LOWER[kept]
     kept = np.where(np.repeat(foreign, sizes), kept, lower) if foreign.any() else lower
     cells = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(kept)])
@@ -373,7 +399,7 @@ def documents(codes: DataFrame) -> DataFrame:
                 codes = TokenCodes(row["levels"])
                 lengths = np.array(row["lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
-                raw = memoryview(codes.get(np.arange(len(codes))).astype("<u4").tobytes())
+                raw = memoryview(codes.span(0, len(codes)).astype("<u4", copy=False).tobytes())
                 sums = [zlib.crc32(raw[4 * s : 4 * (s + n)]) for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays(

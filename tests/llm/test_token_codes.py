@@ -24,6 +24,18 @@ def test_codes_give_back_any_token(top, n):
         assert codes.get(np.array([i])).tolist() == [ids[i]]
 
 
+def test_a_run_is_read_without_looking_up_each_token(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = rng.choice(np.array([3, 300, 49_000, 1 << 24], np.uint32), 3000)
+    codes = C.TokenCodes(C.encode(ids))
+    places = []
+    rank = C.TokenCodes._rank
+    monkeypatch.setattr(C.TokenCodes, "_rank", staticmethod(lambda b, r, at: places.append(len(at)) or rank(b, r, at)))
+    for start, stop in ((0, 3000), (0, 0), (3000, 3000), (511, 1025), (513, 514), (1021, 2999)):
+        assert (codes.span(start, stop) == ids[start:stop]).all()
+    assert places and max(places) == 1
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
