@@ -76,7 +76,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_details(captures.spread_captures(I.article_captures(spark, sf_dir), I.SPREAD))
+    return extract_details(I.spread(I.article_captures(spark, sf_dir)))
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,7 +116,7 @@ def q_src_captures_detail(spark, sf_dir):
 
 def q_src_html_files(spark, sf_dir):
     folder = scratch_dir(spark, "html")
-    html = captures.spread_captures(I.table(spark, sf_dir, "pages"), I.SPREAD).select("html")
+    html = I.spread(I.table(spark, sf_dir, "pages")).select("html")
     I.write_files(html, folder, ".txt")
     return captures.read_html_dir(spark, folder).select("html")
 
@@ -198,7 +198,7 @@ def q_detail_requests(spark, sf_dir):
 
 
 def q_extract_hits(spark, sf_dir):
-    return extract_hits(captures.spread_captures(I.search_captures(spark, sf_dir), I.SPREAD))
+    return extract_hits(I.spread(I.search_captures(spark, sf_dir)))
 
 
 def q_extract_details(spark, sf_dir):
@@ -218,7 +218,7 @@ def q_affiliations_text(spark, sf_dir):
 
 
 def q_extract_pages(spark, sf_dir):
-    pages = captures.spread_captures(I.table(spark, sf_dir, "pages"), I.SPREAD)
+    pages = I.spread(I.table(spark, sf_dir, "pages"))
     return extract_pages(pages, PAGE_SELECTORS, keep=("page_id", "url")).withColumn(
         "links", F.array_join("links", " ")
     )
@@ -304,7 +304,7 @@ def q_new_articles_feed(spark, sf_dir):
     first = F.col("page_id") < I.SECOND_CAPTURE
     for name, part in (("a", first), ("b", ~first)):
         arrived = I.article_captures(spark, sf_dir).where(part)
-        captures.spread_captures(arrived, I.SPREAD).write.parquet(f"{folder}/captures/{name}")
+        I.spread(arrived).write.parquet(f"{folder}/captures/{name}")
         feed.start_feed(
             pages, I.publications(spark, sf_dir), f"{folder}/new", f"{folder}/checkpoint"
         ).awaitTermination()
@@ -318,7 +318,7 @@ def q_new_articles_state(spark, sf_dir):
     first = F.col("page_id") < I.SECOND_CAPTURE
     for name, part in (("a", first), ("b", ~first)):
         arrived = I.article_captures(spark, sf_dir).where(part)
-        captures.spread_captures(arrived, I.SPREAD).write.parquet(f"{folder}/captures/{name}")
+        I.spread(arrived).write.parquet(f"{folder}/captures/{name}")
         feed.start_state_feed(
             pages, I.publications(spark, sf_dir), f"{folder}/new", f"{folder}/checkpoint"
         ).awaitTermination()
@@ -375,12 +375,13 @@ def q_run_summary(spark, sf_dir):
 def q_run_counts(spark, sf_dir):
     """Search the runs of a store, then enrich them; what the steps counted as they went."""
     runs = _new_store(spark, "counts")
+    tasks = captures.parse_tasks(spark, I.SPREAD)
     pages = stage(I.search_captures(spark, sf_dir), "search")
     articles = stage(I.article_captures(spark, sf_dir), "articles")
     run_ids = [r.run_id for r in pages.select("run_id").distinct().orderBy("run_id").collect()]
     for run_id in run_ids:
-        workflow.search_run(runs, pages.where(F.col("run_id") == run_id), run_id, I.SPREAD)
-    workflow.enrich_runs(runs, articles, run_ids, I.SPREAD)
+        workflow.search_run(runs, pages.where(F.col("run_id") == run_id), run_id, tasks)
+    workflow.enrich_runs(runs, articles, run_ids, tasks)
     return runs.run_counts()
 
 

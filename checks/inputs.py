@@ -13,11 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litframe.sources.captures import spread_captures
+from litframe.sources.captures import parse_tasks, spread_captures
 from litframe.sources.scratch import stage
 
 DIRECTORY = "/library/pub"
-SPREAD = 16  # tasks that rendered pages are dealt to
+SPREAD = 16  # tasks that rendered pages are dealt to at least
 SECOND_CAPTURE = 1_000_000_000_000  # page_id offset of a later capture
 
 SEARCH_SQL = """
@@ -118,6 +118,11 @@ from part where p_brand in ('Brand#1', 'Brand#2', 'Brand#3')
 """
 
 
+def spread(captures: DataFrame) -> DataFrame:
+    """Rendered pages, which come in few splits, dealt out to be parsed."""
+    return spread_captures(captures, parse_tasks(captures.sparkSession, SPREAD))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -203,7 +208,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litframe.operators.hits import extract_hits
 
     return _staged(
-        spark, sf_dir, "hits", lambda: extract_hits(spread_captures(search_captures(spark, sf_dir), SPREAD))
+        spark, sf_dir, "hits", lambda: extract_hits(spread(search_captures(spark, sf_dir)))
     )
 
 
@@ -214,7 +219,7 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     from litframe.operators.ordering import with_run_order
 
     def build() -> DataFrame:
-        articles = spread_captures(article_captures(spark, sf_dir), SPREAD)
+        articles = spread(article_captures(spark, sf_dir))
         details = flat_details(extract_details(articles))
         return merge_details(with_run_order(hits(spark, sf_dir)), details)
 

@@ -43,6 +43,15 @@ def spread_captures(captures: DataFrame, partitions: int | None = None) -> DataF
     return captures if partitions is None else captures.repartition(partitions)
 
 
+def parse_tasks(spark: SparkSession, least: int) -> int:
+    """Tasks to deal captures out to: four per core of the session, ``least`` or more.
+
+    With a fixed number a larger cluster does not parse faster, and where the
+    tasks are few more than the cores, most cores wait for the last ones.
+    """
+    return max(least, 4 * spark.sparkContext.defaultParallelism)
+
+
 def read_html_dir(spark: SparkSession, directory: str) -> DataFrame:
     """Saved HTML files as captures, one row per file: page_id, path, url, html.
 

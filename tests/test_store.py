@@ -639,3 +639,12 @@ def test_a_file_for_each_row_is_written_over_when_done_again(spark, tmp_path):
         inputs.write_files(texts, f"file:{tmp_path}/files", ".txt")
     assert files.saved_files(spark, f"{tmp_path}/files", "*.txt").count() == 3
     assert rows(captures.read_html_dir(spark, f"{tmp_path}/files"), "html") == [("\n",), ("x\n",), ("één\nzwei\n",)]
+
+
+def test_pages_are_dealt_to_tasks_by_cores(spark, sf_dir):
+    from checks import inputs
+
+    cores = spark.sparkContext.defaultParallelism
+    assert captures.parse_tasks(spark, 4 * cores + 1) == 4 * cores + 1
+    pages = inputs.spread(spark.range(100).toDF("page_id"))
+    assert pages.rdd.getNumPartitions() == max(inputs.SPREAD, 4 * cores)
