@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litframe.llm import words as W
-from litframe.llm.components import components
+from litframe.llm.components import components, joined
 from litframe.llm.frames import empty_text, packed, release, ship, stage
 from litframe.sources.scratch import remove, scratch_dir
 
@@ -531,7 +531,7 @@ def _roots(pairs: DataFrame, sets: DataFrame, percent: int, block_sets: int) ->
         .mapInArrow(lambda b: _throughout(b, percent), "a long, b long"),
         "second-links",
     )
-    return components(first.unionByName(second))
+    return roots if second.isEmpty() else joined(roots, second)
 
 
 def _pairs_of_blocks(open_: DataFrame, data: DataFrame, columns: list[str], block_sets: int) -> DataFrame:

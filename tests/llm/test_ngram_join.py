@@ -148,3 +148,19 @@ def test_components_of_random_links(spark):
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["node"]: r["root"] for r in rows} == want and len(rows) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_that_are_stars_need_no_round(spark, monkeypatch):
+    from litframe.llm import components as C
+
+    staged = []
+    stage = C.stage
+    monkeypatch.setattr(C, "stage", lambda frame, name: staged.append(name) or stage(frame, name))
+    links = spark.createDataFrame([(5, 1), (7, 1), (9, 2)], "a long, b long")
+    roots = C.components(links)
+    assert staged == ["links"]
+    assert sorted(map(tuple, roots.collect())) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)]
+    more = spark.createDataFrame([(7, 9), (20, 21), (21, 0), (5, 7), (3, 3)], "a long, b long")
+    found = C.joined(roots, more)
+    whole = C.components(links.unionByName(more))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
