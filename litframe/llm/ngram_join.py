@@ -21,19 +21,20 @@ Sets under one index entry form a star around the smallest of them. Sets are
 compared with their stars' centres first; linked ones are joined into components.
 Only stars that then hold several components are compared throughout, in blocks
 of bounded size, where blocks of the same component are left out. Before whole
-sets travel, 2048 parity bits of each are compared: an element that only one of
-two sets has flips one bit at most, so sets with more differing bits than they may
-have differences are not similar. All other comparisons are of whole sets.
+sets travel, parity bits of each are compared, 2048 or, of larger sets, two for each
+n-gram at least: an element that only one of two sets has flips one bit at most, so
+sets with more differing bits than they may have differences are not similar. All
+other comparisons are of whole sets, made from the texts of those that are left.
 N-grams are 64-bit hashes, and equal sets are recognised by a 64-bit hash of theirs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litframe.llm import words as W
@@ -50,7 +51,7 @@ SPARE = 100
 #: Sets of a star that are compared at once, and n-grams of these.
 BLOCK_SETS = 512
 BLOCK_GRAMS = 1 << 20
-#: Parity bits of a set.
+#: Parity bits of a set that has at most half as many n-grams; a power of two.
 PARITY = 2048
 
 U64 = np.uint64
@@ -217,37 +218,67 @@ def _gather(rows: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(_stars, "value long, cls long, centre long")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _wanted_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], pa.RecordBatch]]:
+    """Of rows of ``cls, text, ...`` runs of those whose set is the class's: classes, sets, rows."""
     for batch in batches:
         for row, end, data, offsets in W.chunks(batch.column(1)):
             grams, begins = W.Words(data, offsets, W.SPACES).shingles(n)
             grams, begins = W.distinct(grams, begins)
             own = set_hash(grams, begins)
-            wanted = batch.column(0)[row:end].to_numpy()
-            at = np.flatnonzero(own == wanted)
-            sets = [grams[begins[i] : begins[i + 1]] for i in at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(own[at]), pa.array(np.diff(begins)[at]),
-                    pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([_parity(s) for s in sets], pa.binary()),
-                ],
-                ["cls", "size", "grams", "parity"],
-            )
+            at = np.flatnonzero(own == batch.column(0)[row:end].to_numpy())
+            yield own[at], [grams[begins[i] : begins[i + 1]] for i in at], batch.slice(row, end - row).take(pa.array(at))
+
+
+def _described(batches: Iterator[pa.RecordBatch], bands: Bands, n: int) -> Iterator[pa.RecordBatch]:
+    """Sizes and parity bits of sets, and one-deletion entries in place of their costly values."""
+    for own, sets, rows in _wanted_sets(batches, n):
+        size = np.array([len(x) for x in sets], np.int64)
+        costly = [np.sort(np.array(c or [], np.int64).view(U64)) for c in rows.column(2).to_pylist()]
+        have = np.array([i for i, c in enumerate(costly) if len(c)], np.int64)
+        value, of = np.zeros(0, U64), np.zeros(0, np.int64)
+        if len(have):
+            begins = np.concatenate([[0], np.cumsum(size[have])])
+            value, of, form = entries(np.concatenate([sets[i] for i in have]), begins, bands, [costly[i] for i in have])
+            value, of = value[form], have[of[form]]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(own), pa.array(size), pa.array([_parity(x) for x in sets], pa.binary()),
+                _lists(value.view(np.int64), of, len(sets)),
+            ],
+            ["cls", "size", "parity", "deleted"],
+        )
+
+
+def _grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for own, sets, _ in _wanted_sets(batches, n):
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "grams"])
 
 
 def _parity(grams: np.ndarray) -> bytes:
-    bits = (W.mix(grams, 12) % U64(PARITY)).astype(np.int64)
-    return np.packbits(np.bincount(bits, minlength=PARITY) & 1).tobytes()
+    size = max(PARITY, 1 << (2 * len(grams) - 1).bit_length())
+    bits = (W.mix(grams, 12) & U64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(bits, minlength=size) & 1).tobytes()
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    """Parity bits as rows of 64-bit words."""
-    return np.frombuffer(b"".join(column.to_pylist()), U64).reshape(len(column), PARITY // 64)
+def _folded(bits: list[bytes], length: int) -> np.ndarray:
+    """Parity bits of one length, as rows of 64-bit words, folded to a shorter length."""
+    return np.bitwise_xor.reduce(np.frombuffer(b"".join(bits), U64).reshape(len(bits), -1, length // 8), axis=1)
 
 
-def _may_link(apart: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of so many elements in sum may differ in so many and be similar."""
-    return apart * (100 + percent) <= both * (100 - percent)
+def _apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many parity bits differ, pair by pair."""
+    lengths = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)])
+    apart = np.zeros(len(a), np.int64)
+    for pair in np.unique(lengths, axis=0):
+        at = np.flatnonzero((lengths == pair).all(1))
+        one, other = (_folded([x[i] for i in at], int(pair.min())) for x in (a, b))
+        apart[at] = np.bitwise_count(one ^ other).sum(1, dtype=np.int64)
+    return apart
+
+
+def _may_link(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that differ in so many elements or more may be similar."""
+    return np.maximum(apart, abs(a - b)) * (100 + percent) <= (a + b) * (100 - percent)
 
 
 def _near_centre(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -255,9 +286,8 @@ def _near_centre(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
     for batch in batches:
         if not batch.num_rows:
             continue
-        apart = np.bitwise_count(_bits(batch.column(4)) ^ _bits(batch.column(5))).sum(1, dtype=np.int64)
-        both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-        good = pa.array(_may_link(apart, both, percent))
+        apart = _apart(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+        good = pa.array(_may_link(apart, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent))
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["cls", "centre"])
 
 
@@ -265,33 +295,26 @@ def _active(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
     """Members of two blocks of a star that may link with another component's."""
     for (centre, i, j), rows in _units(batches, 3):
         side, cls, comp, size = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), U64).reshape(len(rows), PARITY // 64)
+        bits = [r[4] for r in rows]
+        length = np.array([len(x) for x in bits])
         found = np.zeros(len(rows), bool)
-        right = np.flatnonzero(side == 1) if i != j else np.arange(len(rows))
-        for k in np.flatnonzero(side == 0):
-            apart = np.bitwise_count(bits[right] ^ bits[k]).sum(1, dtype=np.int64)
-            good = _may_link(apart, size[right] + size[k], percent) & (comp[right] != comp[k])
-            if good.any():
-                found[k] = True
-                found[right[good]] = True
+        right = side == 1 if i != j else np.ones(len(rows), bool)
+        for a, b in ((a, b) for a in np.unique(length) for b in np.unique(length)):
+            left, others = np.flatnonzero((side == 0) & (length == a)), np.flatnonzero(right & (length == b))
+            if not len(left) or not len(others):
+                continue
+            mine, theirs = (_folded([bits[k] for k in x], int(min(a, b))) for x in (left, others))
+            for own, k in zip(mine, left):
+                apart = np.bitwise_count(theirs ^ own).sum(1, dtype=np.int64)
+                good = _may_link(apart, size[others], size[k], percent) & (comp[others] != comp[k])
+                if good.any():
+                    found[k] = True
+                    found[others[good]] = True
         at = np.flatnonzero(found)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array([centre] * len(at), pa.int64()), pa.array(cls[at])], ["centre", "cls"])
 
 
-def _deleted(batches: Iterator[pa.RecordBatch], bands: Bands) -> Iterator[pa.RecordBatch]:
-    """One-deletion entries of sets in place of their costly values."""
-    for batch in batches:
-        sets = [np.frombuffer(g.as_py(), U64) for g in batch.column(1)]
-        begins = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-        costly = [np.sort(np.array(c.as_py(), np.int64).view(U64)) for c in batch.column(2)]
-        value, of, form = entries(np.concatenate(sets), begins, bands, costly)
-        value, of = value[form].view(np.int64), of[form]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(value), pa.array(batch.column(0).to_numpy()[of])], ["value", "cls"]
-        )
-
-
 def _units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list]]:
     """Rows of each unit, from rows sorted by their first ``keys`` columns."""
     current, rows = None, []
@@ -417,11 +440,23 @@ def similar_groups(
     del indexed
     remove(spark, path)  # stars and classes hold all that is still needed
     release(spark)
-    sets = stage(_members(rows, kept, stars, n), "members")
+    named = stage(_named(kept, stars), "named")
+    costly = _costly(stars, spare)
+    wanted = named.join(stars.join(costly, "value", "left_semi").groupBy("cls").agg(F.collect_set("value").alias("costly")), "cls", "left")
+    sets = stage(
+        _texts(rows, wanted, "costly").mapInArrow(lambda b: _described(b, bands, n), "cls long, size long, parity binary, deleted array<long>"),
+        "members",
+    )
     release(spark)
-    pairs = stage(_pairs(stars, sets, bands, spare), "stars")
+    pairs = stage(_pairs(stars, costly, sets), "stars")
     release(spark)
-    roots = _roots(pairs, sets, percent, block_sets)
+
+    def grams(of: DataFrame) -> DataFrame:
+        """``cls, grams`` of the classes that ``of`` holds."""
+        some = named.join(of.select("cls").distinct(), "cls", "left_semi")
+        return _texts(rows, some).mapInArrow(lambda b: _grams(b, n), "cls long, grams binary")
+
+    roots = _roots(pairs, sets, grams, percent, block_sets)
     found = kept.select("doc_id", "size", "cls").join(roots, F.col("cls") == F.col("node"), "left")
     found = found.withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "cls")))
     least = found.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -445,38 +480,36 @@ def _all_stars(kept: DataFrame) -> DataFrame:
     return stage(stars.unionByName(late).unionByName(alone), "entries-all")
 
 
-def _members(rows: DataFrame, kept: DataFrame, stars: DataFrame, n: int) -> DataFrame:
-    """``cls, size, grams`` of the sets in stars, from one document of each."""
-    wanted = stars.select("cls").distinct()
+def _named(kept: DataFrame, stars: DataFrame) -> DataFrame:
+    """``cls`` of the sets in stars, and where the text of one document of each is found."""
     # null ids and ids that repeat find their own text by its hash
-    key = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "mark"]
-    first = kept.filter("indexed").select("cls", F.struct(*key).alias("key")).groupBy("cls").agg(F.min("key").alias("key"))
-    first = first.join(wanted, "cls", "left_semi").select("key.*", "cls")
-    texts = rows.select(*key, "text").join(first, ["id", "mark", "none"])
+    first = kept.filter("indexed").select("cls", F.struct(*_place()).alias("key")).groupBy("cls").agg(F.min("key").alias("key"))
+    return first.join(stars.select("cls").distinct(), "cls", "left_semi").select("key.*", "cls")
+
+
+def _place() -> list[Column]:
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("mark")]
+
+
+def _texts(rows: DataFrame, named: DataFrame, *more: str) -> DataFrame:
+    """``cls, text`` of named sets, and further columns of them."""
+    texts = rows.select(*_place(), "text").join(named, ["id", "mark", "none"])
     # repeated rows give their set once; grouped by the join's key, so nothing moves again
-    texts = texts.groupBy("id", "mark", "none", "cls").agg(F.first("text").alias("text")).select("cls", "text")
-    return texts.mapInArrow(lambda b: _sets(b, n), "cls long, size long, grams binary, parity binary")
+    return texts.groupBy("id", "mark", "none", "cls").agg(*(F.first(c).alias(c) for c in ("text", *more))).select("cls", "text", *more)
 
 
-def _pairs(stars: DataFrame, sets: DataFrame, bands: Bands, spare: int) -> DataFrame:
-    """Distinct ``cls, centre``, with costly values in their one-deletion form."""
-    many = stars.groupBy("value").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > 2 * spare)
-    plain = stars.filter("cls <> centre").select("cls", "centre").distinct()
-    if not many.take(1):
-        return plain
+def _costly(stars: DataFrame, spare: int) -> DataFrame:
+    """``value`` of entries that are not to be used alone."""
     weight = stars.groupBy("cls", "centre").agg((1 / F.count(F.lit(1))).alias("w"))
     # comparisons among c sets that only this value brings together: c c / 2
-    costly = stage(
-        stars.join(weight, ["cls", "centre"]).groupBy("value").agg(F.sum("w").alias("w"))
-        .filter(F.col("w") > 2 * spare).select("value"), "costly"
-    )
-    if not costly.take(1):
-        return plain
-    hit = stars.join(costly, "value", "left_semi").groupBy("cls").agg(F.collect_set("value").alias("costly"))
-    more = sets.join(hit, "cls").select("cls", "grams", "costly").mapInArrow(
-        lambda b: _deleted(b, bands), "value long, cls long"
-    )
+    weighed = stars.join(weight, ["cls", "centre"]).groupBy("value").agg(F.sum("w").alias("w"))
+    return stage(weighed.filter(F.col("w") > 2 * spare).select("value"), "costly")
+
+
+def _pairs(stars: DataFrame, costly: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct ``cls, centre``, with costly values in their one-deletion form."""
     rest = stars.join(costly, "value", "left_anti").filter("cls <> centre").select("cls", "centre")
+    more = sets.filter(F.size("deleted") > 0).select(F.explode("deleted").alias("value"), "cls")
     return rest.unionByName(_gather(more).filter("cls <> centre").select("cls", "centre")).distinct()
 
 
@@ -488,7 +521,9 @@ def _blocks(members: DataFrame, by: list[str], block_sets: int) -> DataFrame:
     return members.join(counts, by).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
 
 
-def _roots(pairs: DataFrame, sets: DataFrame, percent: int, block_sets: int) -> DataFrame:
+def _roots(
+    pairs: DataFrame, sets: DataFrame, grams: Callable[[DataFrame], DataFrame], percent: int, block_sets: int
+) -> DataFrame:
     middle = sets.select(F.col("cls").alias("centre"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"))
     near = stage(
         pairs.join(sets.select("cls", "size", "parity"), "cls").join(middle, "centre")
@@ -502,7 +537,7 @@ def _roots(pairs: DataFrame, sets: DataFrame, percent: int, block_sets: int) ->
     one = blocked.select("centre", "block", F.lit(1).alias("side"), "cls").unionByName(
         blocked.select("centre", "block", F.lit(0).alias("side"), F.col("centre").alias("cls")).distinct()
     )
-    units = one.join(sets.select("cls", "grams"), "cls").select("centre", "block", "side", "cls", "grams")
+    units = one.join(grams(one), "cls").select("centre", "block", "side", "cls", "grams")
     first = stage(
         units.repartition("centre", "block").sortWithinPartitions("centre", "block", "side", "cls")
         .mapInArrow(lambda b: _with_centre(b, percent), "a long, b long"),
@@ -525,9 +560,10 @@ def _roots(pairs: DataFrame, sets: DataFrame, percent: int, block_sets: int) ->
         .mapInArrow(lambda b: _active(b, percent), "centre long, cls long").distinct(),
         "active",
     )
+    release(pairs.sparkSession)
     left = open_.join(active, ["centre", "cls"], "left_semi")
     second = stage(
-        _pairs_of_blocks(left, sets.select("cls", "grams"), ["grams"], block_sets)
+        _pairs_of_blocks(left, grams(active), ["grams"], block_sets)
         .mapInArrow(lambda b: _throughout(b, percent), "a long, b long"),
         "second-links",
     )

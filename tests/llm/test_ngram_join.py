@@ -164,3 +164,37 @@ def test_links_that_are_stars_need_no_round(spark, monkeypatch):
     found = C.joined(roots, more)
     whole = C.components(links.unionByName(more))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_large_sets_that_are_not_alike_do_not_travel():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    union = np.unique(rng.integers(0, 1 << 62, 12_000).astype(np.uint64))
+    a = union[:8000]
+    # one pair each: similar, also over a boundary of lengths; too few in common; nothing in common
+    others = [union[500:8300], union[100:9000], union[2000:10_000], union[8000:], union[:3000]]
+    alike = [100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in others]
+    assert alike == [True, True, False, False, False]
+    small = [union[:700], union[20:720], union[:1030], union[1000:1700]]
+    pairs = [(a, b) for b in others] + [(small[0], small[1]), (small[2], small[2][:1000]), (small[0], small[3])]
+    rows = [(i, -i, len(x), len(y), N._parity(x), N._parity(y)) for i, (x, y) in enumerate(pairs)]
+    assert len({len(r[4]) for r in rows} | {len(r[5]) for r in rows}) > 2
+    batch = pa.RecordBatch.from_pylist([dict(zip("abcdef", r)) for r in rows])
+    assert [b.column(0).to_pylist() for b in N._near_centre(iter([batch]), 80)] == [[0, 1, 5, 6]]
+    # the same between members of a star
+    units = [(7, 0, 0, 0, i, i, len(x), N._parity(x)) for i, x in enumerate([a, *others])]
+    batch = pa.RecordBatch.from_pylist([dict(zip("abcdefgh", r)) for r in units])
+    found = [b.column(1).to_pylist() for b in N._active(iter([batch]), 80)]
+    assert found == [[0, 1, 2]]
+
+
+def test_large_sets_against_all_pairs(spark):
+    rng = random.Random(5)
+    texts = [t for size in (450, 900, 1000, 2100) for t in family(rng, size, 5, 0.02)]
+    texts += [" ".join(f"y{rng.randint(0, 10**6)}" for _ in range(3000)) for _ in range(6)]
+    rows = list(enumerate(texts + texts[:2]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for spare in (1, 100):
+        got = N.similar_groups(docs, 5, 80, spare=spare).collect()
+        assert sorted(map(tuple, got), key=str) == expected(rows, 5, 80)
