@@ -80,52 +80,60 @@ def _search(batches: Iterator[pa.RecordBatch], block: _Block, shard_bytes: int)
     place = place.reshape(block.words.shape)
     for batch in batches:
         for row, end, data, offsets in W.chunks(batch.column(1), shard_bytes):
-            found = W.Words(data, offsets, W.NON_ALNUM)
-            n = end - row
-            hit = np.zeros(len(found.hash) + 1, np.int64)
-            items: list[list[str]] = [[] for _ in range(n)]
-            if len(found.hash) and len(block.lengths):
-                known, numbers = np.unique(found.hash, return_inverse=True)
-                at = np.searchsorted(known, vocabulary)
-                there = known[np.minimum(at, len(known) - 1)] == vocabulary
-                index = FMIndex(numbers + 1, found.count, len(known))
-                low, high = index.search(np.where(there, at + 1, 0)[place], block.lengths)
-                sizes = high - low
-                phrase = np.repeat(np.arange(len(sizes)), sizes)
-                rows = np.arange(len(phrase)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[phrase]
-                where = index.locate(rows)
-                text = np.searchsorted(found.first[1:] + np.arange(1, n + 1), where, side="right")
-                word = where - text  # marks of the texts before
-                np.add.at(hit, word, 1)
-                np.add.at(hit, word + block.lengths[phrase], -1)
-                for t, p in np.unique(np.stack([text, phrase], 1), axis=0):
-                    items[t] += block.items[block.first[p] : block.first[p + 1]]
-            covered = np.cumsum(hit)[:-1] > 0
-            before = np.concatenate([[0], np.cumsum(covered)])
-            edge = covered.copy()
-            edge[1:] &= ~covered[:-1] | (found.text[1:] != found.text[:-1])
-            close = covered.copy()
-            close[:-1] &= ~covered[1:] | (found.text[1:] != found.text[:-1])
-            a, b = np.flatnonzero(edge), np.flatnonzero(close)
-            of = found.text[a]
-            spans = pa.StructArray.from_arrays(
-                [
-                    pa.array((a - found.first[of]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32)),
-                    pa.array((found.start[a] - offsets[of]).astype(np.int32)),
-                    pa.array((found.end[b] - offsets[of]).astype(np.int32)),
-                ],
-                ["word", "words", "start", "end"],
-            )
-            cuts = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0)[row:end], batch.column(2)[row:end], pa.array(found.count),
-                    pa.array(before[found.first[1:]] - before[found.first[:-1]]),
-                    pa.ListArray.from_arrays(pa.array(cuts), spans),
-                    pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
-                ],
-                ["doc_id", "digest", "n_words", "n_hit", "spans", "items"],
-            )
+            # a call of its own, so that a shard's index is gone before the next one is built
+            yield _searched(batch.slice(row, end - row), data, offsets, block, vocabulary, place)
+
+
+def _searched(
+    batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, block: _Block, vocabulary: np.ndarray, place: np.ndarray
+) -> pa.RecordBatch:
+    """What is found in the texts of one shard."""
+    found = W.Words(data, offsets, W.NON_ALNUM)
+    n = len(offsets) - 1
+    hit = np.zeros(len(found.hash) + 1, np.int64)
+    items: list[list[str]] = [[] for _ in range(n)]
+    if len(found.hash) and len(block.lengths):
+        known, numbers = np.unique(found.hash, return_inverse=True)
+        at = np.searchsorted(known, vocabulary)
+        there = known[np.minimum(at, len(known) - 1)] == vocabulary
+        index = FMIndex(numbers + 1, found.count, len(known))
+        low, high = index.search(np.where(there, at + 1, 0)[place], block.lengths)
+        sizes = high - low
+        phrase = np.repeat(np.arange(len(sizes)), sizes)
+        rows = np.arange(len(phrase)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + low[phrase]
+        where = index.locate(rows)
+        text = np.searchsorted(found.first[1:] + np.arange(1, n + 1), where, side="right")
+        word = where - text  # marks of the texts before
+        np.add.at(hit, word, 1)
+        np.add.at(hit, word + block.lengths[phrase], -1)
+        for t, p in np.unique(np.stack([text, phrase], 1), axis=0):
+            items[t] += block.items[block.first[p] : block.first[p + 1]]
+    covered = np.cumsum(hit)[:-1] > 0
+    before = np.concatenate([[0], np.cumsum(covered)])
+    edge = covered.copy()
+    edge[1:] &= ~covered[:-1] | (found.text[1:] != found.text[:-1])
+    close = covered.copy()
+    close[:-1] &= ~covered[1:] | (found.text[1:] != found.text[:-1])
+    a, b = np.flatnonzero(edge), np.flatnonzero(close)
+    of = found.text[a]
+    spans = pa.StructArray.from_arrays(
+        [
+            pa.array((a - found.first[of]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32)),
+            pa.array((found.start[a] - offsets[of]).astype(np.int32)),
+            pa.array((found.end[b] - offsets[of]).astype(np.int32)),
+        ],
+        ["word", "words", "start", "end"],
+    )
+    cuts = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column(0), batch.column(2), pa.array(found.count),
+            pa.array(before[found.first[1:]] - before[found.first[:-1]]),
+            pa.ListArray.from_arrays(pa.array(cuts), spans),
+            pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
+        ],
+        ["doc_id", "digest", "n_words", "n_hit", "spans", "items"],
+    )
 
 
 def find_passages(

@@ -57,7 +57,7 @@ def _power(base: U64, n: int) -> np.ndarray:
         size = max(n, CHUNK_BYTES + 1)
         steps = np.full(size, base, U64)
         steps[0] = 1
-        made = np.cumprod(steps, dtype=U64)
+        made = np.cumprod(steps, dtype=U64, out=steps)
         if size > CHUNK_BYTES + 1:  # for one very long text; not kept
             return made[:n]
         _powers[key] = made
@@ -86,7 +86,10 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         total = np.zeros(n + 1, U64)
-        np.cumsum(_BYTE[low] * _power(_BASE, n), dtype=U64, out=total[1:])
+        # in place: these are eight bytes for each of the texts
+        np.take(_BYTE, low, out=total[1:])
+        total[1:] *= _power(_BASE, n)
+        np.cumsum(total, dtype=U64, out=total)
         self.hash = (total[self.end] - total[self.start]) * _power(_BACK, n)[self.start]
         self.hash = mix(self.hash, 1) if len(self.hash) else self.hash
         self.first = np.searchsorted(self.start, offsets).astype(np.int64)

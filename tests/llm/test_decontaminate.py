@@ -104,3 +104,33 @@ def test_rule():
     import pyspark.sql.functions as F
 
     assert decontaminate.contaminated(F.lit(1), F.lit(20)) is not None
+
+
+def test_one_shard_has_an_index_at_a_time(monkeypatch):
+    import weakref
+
+    import numpy as np
+    import pyarrow as pa
+
+    from litframe.llm import decontaminate as C
+    from litframe.llm import words as W
+
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(C.FMIndex):
+        def __init__(self, *args):
+            most.append(len(alive))
+            alive.add(self)
+            super().__init__(*args)
+
+    monkeypatch.setattr(C, "FMIndex", Counted)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[i : i + 20]) for i in range(20)]
+    item = W.Words(*W.text_buffers(pa.array([" ".join(words[:13])])), W.NON_ALNUM).hash
+    block = C._Block([("x", item.tobytes())], 13)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(texts), pa.nulls(20, pa.binary())], ["a", "b", "c"])
+    found = [b.to_pylist() for b in C._search(iter([batch]), block, 100)]
+    assert len(most) > 5 and set(most) == {0}
+    rows = [r for b in found for r in b]
+    assert [r["doc_id"] for r in rows] == list(range(20)) and [r["n_hit"] for r in rows] == [13] + [0] * 19
+    assert np.array_equal([r["n_words"] for r in rows], [20] * 20)
