@@ -10,7 +10,8 @@ its words are fixed at every count from two to that of short lines, and each of
 these templates counts.
 
 Everything is a count by key with partial sums, so a leaf or line that a third
-of all documents share costs no task more than others. Words of lines in frequented
+of all documents share costs no task more than others. Lines and templates are counted
+by 128-bit hashes; texts move once, each line's once per task. Words of lines in frequented
 leaves are counted as 64-bit hashes of leaf, place and word, and a line looks the counts
 of its words up by such hashes and its number. That two of them collide is as good as impossible for one pair of words (2^-64).
 """
@@ -73,31 +74,33 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     spark = docs.sparkSession
     # numbered first: an explode beside it would number the lines
     rows = docs.select(F.monotonically_increasing_id().alias("row"), empty_text(text_col).alias("text"))
-    lines = rows.select(
-        "row", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("text")
-    ).filter("text <> ''").withColumn("words", F.split("text", r"\s+"))
-    lines = lines.select("row", _leaf(F.col("words"), depth).alias("leaf"), (F.size("words") >= LONG_WORDS).alias("long"), "text")
-    least = F.when(F.col("long"), min(LONG_DOCS, least_docs)).otherwise(least_docs)
-    frequented = stage(
-        lines.groupBy("leaf", "long").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select("leaf"), "leaves"
+    lines = F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.trim(x)))).alias("text")
+    # lines are counted by their hash; only those that may recur are fetched with their text
+    marks = rows.select("row", lines).filter("text <> ''").withColumn("words", F.split("text", r"\s+")).select(
+        "row", _leaf(F.col("words"), depth).alias("leaf"), (F.size("words") >= LONG_WORDS).alias("long"), _key(F.col("text")).alias("line")
     )
+    least = F.when(F.col("long"), min(LONG_DOCS, least_docs)).otherwise(least_docs)
     own = stage(
-        lines.join(frequented, "leaf", "left_semi").groupBy("leaf", "long", "text")
-        .agg(F.count(F.lit(1)).alias("docs"), F.min("row").alias("first"), F.max("row").alias("last")), "lines"
+        marks.groupBy("leaf", "long", "line").agg(F.count(F.lit(1)).alias("docs"), F.min("row").alias("first"), F.max("row").alias("last")),
+        "lines",
     )
     release(spark)
+    frequented = own.groupBy("leaf", "long").agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("lines")).filter(F.col("n") >= least)
     # a leaf of one line has no template but that line
-    mixed = stage(own.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf"), "mixed")
-    words = masked(F.split("text", r"\s+"))
-    alone = own.filter(F.col("docs") >= least).join(mixed, "leaf", "left_anti").select(
-        _key(F.col("text")).alias("line"), "docs", F.array_join(words, " ").alias("template")
+    wanted = stage(
+        own.join(frequented.select("leaf", "long", (F.col("lines") > 1).alias("mixed")), ["leaf", "long"])
+        .filter(F.col("mixed") | (F.col("docs") >= least)), "wanted"
     )
+    texts = rows.select(lines).filter("text <> ''").groupBy(_key(F.col("text")).alias("line")).agg(F.first("text").alias("text"))
+    words = masked(F.split("text", r"\s+"))
     numbered = {
         "no": F.monotonically_increasing_id(), "n_words": F.size(words),
         "n_places": F.size(F.filter(words, lambda w: w != VARIABLE)),
     }
-    together = stage(own.join(mixed, "leaf", "left_semi").withColumns(numbered), "together")
+    known = stage(wanted.join(texts, "line").withColumns(numbered), "known")
     release(spark)
+    alone = known.filter("not mixed").select("line", "docs", F.array_join(words, " ").alias("template"))
+    together = known.filter("mixed")
 
     def general(n_fixed):
         return (n_fixed >= FIXED_SHARE * F.col("n_words")) & (F.col("n_words") >= LEAST_WORDS)
@@ -117,7 +120,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         .join(fixed, "place").groupBy("no").agg(F.collect_list(F.struct("at", "n")).alias("counts")), "counts"
     )
     release(spark)
-    marked = together.join(counts, "no", "left").filter(general(F.coalesce(F.size("counts"), F.lit(0))) | (F.col("docs") >= least))
+    marked = hopeful.join(counts, "no", "left").filter(general(F.coalesce(F.size("counts"), F.lit(0))) | (F.col("docs") >= least))
 
     def shown(level):
         return F.array_join(F.transform("words", lambda w: F.when(w["n"] >= level, w["word"]).otherwise(VARIABLE)), " ")
@@ -129,7 +132,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     )
     made = (
         marked.select(
-            "leaf", "long", _key(F.col("text")).alias("line"), "docs", "first", "last", "n_words",
+            "leaf", "long", "line", "docs", "first", "last", "n_words",
             # out of a generator, so that the words of a line are counted once, not for each template
             F.explode(F.array(_counted(words, F.col("counts")))).alias("words"),
         )
@@ -138,15 +141,17 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         .filter("size(templates) > 0 or exact is not null").drop("words", "n_words")
     )
     made = stage(made, "templates")
-    fits = made.select("leaf", "long", "line", "docs", "first", "last", F.explode("templates").alias("template"))
+    fits = made.select("leaf", "long", "line", "docs", "first", "last", F.explode("templates").alias("template")).withColumn(
+        "kind", _key(F.col("template"))
+    )
     # the lines of one template may be of one document; two documents have two numbers
     several = F.when(F.col("long"), F.col("first") < F.col("last")).otherwise(F.col("d") >= least_docs)
     often = (
-        fits.groupBy("leaf", "long", "template")
+        fits.groupBy("leaf", "long", "kind")
         .agg(F.sum("docs").alias("d"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .filter(several).select("leaf", "template")
+        .filter(several).select("leaf", "kind")
     )
-    by_template = fits.join(often, ["leaf", "template"], "left_semi").select("line", "docs", "template")
+    by_template = fits.join(often, ["leaf", "kind"], "left_semi").select("line", "docs", "template")
     by_itself = made.filter("exact is not null").select("line", "docs", F.col("exact").alias("template"))
     return alone.unionByName(by_template).unionByName(by_itself).groupBy("line", "docs").agg(F.min("template").alias("template"))
 

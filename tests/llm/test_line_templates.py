@@ -112,3 +112,14 @@ def test_a_documents_own_long_lines_do_not_recur(spark):
 def test_words_from_which_two_documents_are_enough(spark):
     got = dropped(spark, [(1, passage(0, 50)), (2, passage(0, 50)), (3, passage(1, 49)), (4, passage(1, 49))])
     assert [got[i][0] for i in (1, 2, 3, 4)] == [1, 1, 0, 0]
+
+
+def test_only_lines_that_may_recur_are_staged_with_their_text(spark, monkeypatch):
+    staged = {}
+    stage = L.stage
+    monkeypatch.setattr(L, "stage", lambda frame, name: staged.setdefault(name, stage(frame, name)))
+    rows = [(i, f"a line that stands in all\n{chr(97 + i)} own {i}") for i in range(12)]
+    assert {r["docs"] for r in L.recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {12}
+    held = {name: frame for name, frame in staged.items() if "text" in frame.columns}
+    assert [r["text"] for frame in held.values() for r in frame.collect()] == ["a line that stands in all"]
+    assert sum("docs" in f.columns and f.count() == 13 for f in staged.values()) == 1
