@@ -441,14 +441,15 @@ def similar_groups(
     remove(spark, path)  # stars and classes hold all that is still needed
     release(spark)
     named = stage(_named(kept, stars), "named")
-    costly = _costly(stars, spare)
-    wanted = named.join(stars.join(costly, "value", "left_semi").groupBy("cls").agg(F.collect_set("value").alias("costly")), "cls", "left")
+    shared = stage(stars.groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("values")), "shared")
+    costly = _costly(stars, shared, spare)
+    wanted = named.join(costly.groupBy("cls").agg(F.collect_set("value").alias("costly")), "cls", "left")
     sets = stage(
         _texts(rows, wanted, "costly").mapInArrow(lambda b: _described(b, bands, n), "cls long, size long, parity binary, deleted array<long>"),
         "members",
     )
     release(spark)
-    pairs = stage(_pairs(stars, costly, sets), "stars")
+    pairs = stage(_pairs(shared, costly, sets), "stars")
     release(spark)
 
     def grams(of: DataFrame) -> DataFrame:
@@ -498,17 +499,21 @@ def _texts(rows: DataFrame, named: DataFrame, *more: str) -> DataFrame:
     return texts.groupBy("id", "mark", "none", "cls").agg(*(F.first(c).alias(c) for c in ("text", *more))).select("cls", "text", *more)
 
 
-def _costly(stars: DataFrame, spare: int) -> DataFrame:
-    """``value`` of entries that are not to be used alone."""
-    weight = stars.groupBy("cls", "centre").agg((1 / F.count(F.lit(1))).alias("w"))
+def _costly(stars: DataFrame, shared: DataFrame, spare: int) -> DataFrame:
+    """Rows of ``stars`` whose entries' values are not to be used alone."""
     # comparisons among c sets that only this value brings together: c c / 2
-    weighed = stars.join(weight, ["cls", "centre"]).groupBy("value").agg(F.sum("w").alias("w"))
-    return stage(weighed.filter(F.col("w") > 2 * spare).select("value"), "costly")
+    weighed = stars.join(shared, ["cls", "centre"]).groupBy("value").agg(F.sum(1 / F.col("values")).alias("w"))
+    return stage(stars.join(weighed.filter(F.col("w") > 2 * spare).select("value"), "value", "left_semi"), "costly")
 
 
-def _pairs(stars: DataFrame, costly: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct ``cls, centre``, with costly values in their one-deletion form."""
-    rest = stars.join(costly, "value", "left_anti").filter("cls <> centre").select("cls", "centre")
+def _pairs(shared: DataFrame, costly: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct ``cls, centre``, with costly values in their one-deletion form.
+
+    ``shared`` has the number of values of each pair; a pair whose values are all
+    costly goes by these forms only.
+    """
+    gone = costly.groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("gone"))
+    rest = shared.filter("cls <> centre").join(gone, ["cls", "centre"], "left").filter("values > coalesce(gone, 0)").select("cls", "centre")
     more = sets.filter(F.size("deleted") > 0).select(F.explode("deleted").alias("value"), "cls")
     return rest.unionByName(_gather(more).filter("cls <> centre").select("cls", "centre")).distinct()
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from helpers import EDGE, ascii_lower, edge_docs, empty_docs, space_words
+from pyspark.sql import functions as F
 
 from litframe.llm import ngram_join as N
 from litframe.llm import words as W
@@ -198,3 +199,26 @@ def test_large_sets_against_all_pairs(spark):
     for spare in (1, 100):
         got = N.similar_groups(docs, 5, 80, spare=spare).collect()
         assert sorted(map(tuple, got), key=str) == expected(rows, 5, 80)
+
+
+def test_pairs_go_without_the_rows_of_their_stars(spark):
+    # value, set, centre; (1, 7) shares two values, of which one is costly; rows may repeat
+    rows = [(50, 1, 1), (50, 2, 1), (60, 2, 1), (50, 3, 1), (50, 3, 1), (60, 1, 1), (70, 7, 7), (70, 8, 7), (50, 9, 1), (60, 9, 1), (60, 9, 1)]
+    stars = spark.createDataFrame(rows, "value long, cls long, centre long")
+    shared = stars.groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("values"))
+    sets = spark.createDataFrame([(1, []), (3, [5, 6]), (8, [6])], "cls long, deleted array<long>")
+    for gone, want in (((50,), {(2, 1), (9, 1), (8, 7), (8, 3)}), ((), {(2, 1), (3, 1), (9, 1), (8, 7), (8, 3)}), ((50, 60, 70), {(8, 3)})):
+        costly = stars.filter(F.col("value").isin(*gone)) if gone else stars.limit(0)
+        pairs = N._pairs(shared, costly, sets)
+        got = [tuple(r) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert "LeftAnti" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_costly_rows_are_those_of_heavy_values(spark):
+    # 9 sets meet under value 1 only, two more of its sets under others too
+    rows = [(1, k, 0) for k in range(11)] + [(2, 9, 0), (2, 10, 0), (2, 0, 0), (3, 20, 19), (3, 19, 19)]
+    stars = spark.createDataFrame(rows, "value long, cls long, centre long")
+    shared = stars.groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("values"))
+    assert sorted(map(tuple, N._costly(stars, shared, 4).collect())) == sorted(r for r in rows if r[0] == 1)
+    assert N._costly(stars, shared, 5).count() == 0
