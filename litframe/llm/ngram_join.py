@@ -25,6 +25,8 @@ sets travel, parity bits of each are compared, 2048 or, of larger sets, two for
 n-gram at least: an element that only one of two sets has flips one bit at most, so
 sets with more differing bits than they may have differences are not similar. All
 other comparisons are of whole sets, made from the texts of those that are left.
+Texts that no join asks for do not travel: a filter of the wanted keys' hashes,
+one bit each, goes to all tasks first.
 N-grams are 64-bit hashes, and equal sets are recognised by a 64-bit hash of theirs.
 """
 
@@ -53,6 +55,11 @@ BLOCK_SETS = 512
 BLOCK_GRAMS = 1 << 20
 #: Parity bits of a set that has at most half as many n-grams; a power of two.
 PARITY = 2048
+#: Bits of the filter of keys for each key, and at most: beyond, more rows travel in vain.
+FILTER_BITS = 16
+MOST_FILTER_BITS = 1 << 26
+#: Bits of one of Spark's bitmaps, as a power of two.
+BITMAP = 15
 
 U64 = np.uint64
 
@@ -444,20 +451,25 @@ def similar_groups(
     shared = stage(stars.groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("values")), "shared")
     costly = _costly(stars, shared, spare)
     wanted = named.join(costly.groupBy("cls").agg(F.collect_set("value").alias("costly")), "cls", "left")
+    path = scratch_dir(spark, "texts")
+    _texts(rows, named, wanted, "costly").write.parquet(path)
+    texts = spark.read.schema("cls long, text string, costly array<long>").parquet(path)
+    release(spark)
     sets = stage(
-        _texts(rows, wanted, "costly").mapInArrow(lambda b: _described(b, bands, n), "cls long, size long, parity binary, deleted array<long>"),
+        texts.mapInArrow(lambda b: _described(b, bands, n), "cls long, size long, parity binary, deleted array<long>"),
         "members",
     )
-    release(spark)
     pairs = stage(_pairs(shared, costly, sets), "stars")
     release(spark)
 
     def grams(of: DataFrame) -> DataFrame:
         """``cls, grams`` of the classes that ``of`` holds."""
-        some = named.join(of.select("cls").distinct(), "cls", "left_semi")
-        return _texts(rows, some).mapInArrow(lambda b: _grams(b, n), "cls long, grams binary")
+        some = stage(of.select("cls").distinct(), "some")
+        found = _likely(texts.select("cls", "text"), some, "cls").join(some, "cls", "left_semi")
+        return found.mapInArrow(lambda b: _grams(b, n), "cls long, grams binary")
 
     roots = _roots(pairs, sets, grams, percent, block_sets)
+    remove(spark, path)  # links are staged
     found = kept.select("doc_id", "size", "cls").join(roots, F.col("cls") == F.col("node"), "left")
     found = found.withColumn("root", F.when(F.col("size") > 0, F.coalesce("root", "cls")))
     least = found.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -492,9 +504,24 @@ def _place() -> list[Column]:
     return [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("mark")]
 
 
-def _texts(rows: DataFrame, named: DataFrame, *more: str) -> DataFrame:
-    """``cls, text`` of named sets, and further columns of them."""
-    texts = rows.select(*_place(), "text").join(named, ["id", "mark", "none"])
+def _likely(rows: DataFrame, keys: DataFrame, *by: str) -> DataFrame:
+    """Rows that may have one of the (staged) keys: all that have one, and a few more.
+
+    The others need not travel to a join. Each key sets one bit, by its hash.
+    """
+    bits = min(max(1 << BITMAP, 1 << (FILTER_BITS * keys.count()).bit_length()), MOST_FILTER_BITS)
+    bit = F.pmod(F.xxhash64(*by), F.lit(bits))
+    place = [F.shiftright(bit, BITMAP).alias("_map"), bit.bitwiseAND((1 << BITMAP) - 1).alias("_bit")]
+    # dealt by map first: tasks would else make all the maps each
+    maps = keys.select(*place).repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_set"))
+    byte = F.conv(F.hex(F.substring("_set", (F.shiftright("_bit", 3) + 1).cast("int"), 1)), 16, 10).cast("int")
+    found = rows.select("*", *place).join(F.broadcast(maps), "_map")
+    return found.filter(F.getbit(byte, F.col("_bit").bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+
+
+def _texts(rows: DataFrame, named: DataFrame, wanted: DataFrame, *more: str) -> DataFrame:
+    """``cls, text`` of named sets, and further columns that ``wanted`` has of them."""
+    texts = _likely(rows.select(*_place(), "text"), named, "id", "mark", "none").join(wanted, ["id", "mark", "none"])
     # repeated rows give their set once; grouped by the join's key, so nothing moves again
     return texts.groupBy("id", "mark", "none", "cls").agg(*(F.first(c).alias(c) for c in ("text", *more))).select("cls", "text", *more)
 
@@ -542,7 +569,8 @@ def _roots(
     one = blocked.select("centre", "block", F.lit(1).alias("side"), "cls").unionByName(
         blocked.select("centre", "block", F.lit(0).alias("side"), F.col("centre").alias("cls")).distinct()
     )
-    units = one.join(grams(one), "cls").select("centre", "block", "side", "cls", "grams")
+    ends = near.select("cls").unionByName(near.select(F.col("centre").alias("cls")))
+    units = one.join(grams(ends), "cls").select("centre", "block", "side", "cls", "grams")
     first = stage(
         units.repartition("centre", "block").sortWithinPartitions("centre", "block", "side", "cls")
         .mapInArrow(lambda b: _with_centre(b, percent), "a long, b long"),

@@ -222,3 +222,34 @@ def test_costly_rows_are_those_of_heavy_values(spark):
     shared = stars.groupBy("cls", "centre").agg(F.count(F.lit(1)).alias("values"))
     assert sorted(map(tuple, N._costly(stars, shared, 4).collect())) == sorted(r for r in rows if r[0] == 1)
     assert N._costly(stars, shared, 5).count() == 0
+
+
+def test_few_rows_travel_that_no_key_asks_for(spark):
+    rows = spark.range(40_000).select(F.col("id"), (F.col("id") * 7).alias("mark"), F.col("id").cast("string").alias("text"))
+    for wanted in (0, 1, 600, 20_000):
+        keys = spark.range(wanted).select("id", (F.col("id") * 7).alias("mark")).repartition(3)
+        found = N._likely(rows, keys, "id", "mark")
+        assert found.columns == rows.columns
+        got = [r[0] for r in found.collect()]
+        assert len(got) == len(set(got)) and set(range(wanted)) <= set(got)
+        assert len(got) <= wanted + 0.07 * (40_000 - wanted)
+
+
+def test_only_texts_of_wanted_sets_are_shuffled(spark, settings):
+    settings(autoBroadcastJoinThreshold="-1")
+    rows = spark.range(5000).selectExpr("id as doc_id", "repeat('word ', 40) || id as text", "id * 3 as mark")
+    named = rows.filter("doc_id < 50").select(*N._place(), F.col("doc_id").alias("cls"))
+    texts = N._texts(rows, named, named)
+    assert sorted(r[0] for r in texts.collect()) == list(range(50))
+    plan, moved = texts._jdf.queryExecution().executedPlan().finalPhysicalPlan(), []
+
+    def walk(node):
+        if node.nodeName() == "Exchange" and "text" in node.output().toString():
+            moved.append(node.metrics().apply("shuffleRecordsWritten").value())
+        inner = node.plan() if node.nodeName().endswith("QueryStage") else None
+        children = [inner] if inner is not None else [node.children().apply(i) for i in range(node.children().size())]
+        for x in children:
+            walk(x)
+
+    walk(plan)
+    assert moved and max(moved) < 1000
